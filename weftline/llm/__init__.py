@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("decontaminate",)
+MODULES = ("decontaminate", "packing")
 
 
 def queries() -> dict:
