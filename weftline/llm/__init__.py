@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "packing")
+MODULES = ("decontaminate", "packing", "ngram_join")
 
 
 def queries() -> dict:
