@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "packing", "ngram_join")
+MODULES = ("decontaminate", "packing", "ngram_join", "warc")
 
 
 def queries() -> dict:

@@ -257,9 +257,9 @@ with recursive w as (
   from w
 ), e as (select doc_id, unnest(g) as g from s),
 p as (
-  select a.doc_id as a, b.doc_id as b, count(*) as both from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by all
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by all
 ), l as (
-  select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * both >= 90 * (len(x.g) + len(y.g) - both)
+  select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * shared >= 90 * (len(x.g) + len(y.g) - shared)
 ), r as (
   select doc_id as a, doc_id as b from s union select r.a, l.b from r join l on r.b = l.a
 )
