@@ -249,11 +249,11 @@ QUERIES = {"op2_ngram_jaccard_join": query}
 ORACLE_SQL = {
     "op2_ngram_jaccard_join": r"""
 with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as t
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as t
   from documents
 ), s as (
   select doc_id, case when len(t) = 0 then [] when len(t) < 3 then [array_to_string(t, ' ')]
-    else list_distinct(list_transform(range(1, len(t) - 1), i -> t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) end as g
+    else list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) end as g
   from w
 ), e as (select doc_id, unnest(g) as g from s),
 p as (

@@ -25,9 +25,9 @@ from .scratch import stored
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: Distinct words that a task remembers with their ids; beyond it, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Pieces of one length that are ranked together.
-RANKED = 100_000
+RANKED = 10_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -58,7 +58,10 @@ def breaks(raw: np.ndarray) -> np.ndarray:
     before = (b == 0x20) & _SOLID[a] & _AFTER[c]
     letter = _LETTER[b] | ((a == 0xC3) & (b >= 0x80) & (b != 0x97) & (b != 0xB7))
     after = letter & _PUNCTUATION[c] | (b == 0x0A) & _PUNCTUATION[a] & _LETTER[c]
-    return np.concatenate([np.flatnonzero(before) + 1, np.flatnonzero(after) + 2])
+    mark = np.zeros(len(raw), bool)
+    mark[1:-1] = before
+    mark[2:] |= after
+    return np.flatnonzero(mark)
 
 
 _encoders: dict = {}
@@ -112,14 +115,16 @@ class WordwiseEncoder:
         whole, cut = raw.tobytes(), breaks(raw)
         for m in self.special.finditer(whole):
             cut = cut[(cut <= m.start()) | (cut >= m.end())]
-        edges = np.unique(np.concatenate([cut, off]))
+        mark = np.zeros(len(raw) + 1, bool)
+        mark[cut] = mark[off] = True
+        edges = np.flatnonzero(mark)
         start, end = edges[:-1], edges[1:]
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         hashes = W.span_hashes(W.prefix(raw, lower=False), start, end).tolist()
         slots = list(map(self.slots.get, hashes))
-        new = {h: k for k, (h, slot) in enumerate(zip(hashes, slots)) if slot is None}
-        if new:
+        if None in slots:
+            new = {h: k for k, (h, slot) in enumerate(zip(hashes, slots)) if slot is None}
             self._learn(list(new), [whole[start[k] : end[k]].decode() for k in new.values()])
             slots = list(map(self.slots.__getitem__, hashes))
         slot = np.array(slots, np.int64)
