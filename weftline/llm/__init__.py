@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "packing", "ngram_join", "warc", "katz")
+MODULES = ("line_dedup", "decontaminate", "packing", "ngram_join", "warc", "katz")
 
 
 def queries() -> dict:

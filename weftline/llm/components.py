@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import stored
 
 MAX_ROUNDS = 60
+STAR_ROUNDS = 6
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -38,3 +41,40 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Components of ids that share a bucket and are linked; None without any bucket.
+
+    ``buckets`` has rows ``key, id``; ``linked`` takes candidate pairs ``a, b`` and gives those that are
+    links. In each bucket the members pair with one member only; buckets whose members are not yet in
+    one component are taken up again with another member, the last time with all members of other
+    components. So a bucket of n similar members costs n pairs, and no link between components is lost.
+    """
+    links, found = None, None
+    members = buckets.withColumn("component", F.col("id"))
+    for turn in range(STAR_ROUNDS + 1):
+        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+        work = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("n")).first()
+        if not work["n"]:
+            break
+        last = work["pairs"] <= 4 * work["n"] or turn == STAR_ROUNDS
+        if last:
+            x, y = (members.select("key", F.col("id").alias(i), F.col("component").alias(f"c_{i}")) for i in "ab")
+            pairs = x.join(y, "key").where("a < b and c_a != c_b").select("a", "b").distinct()
+        else:
+            star = Window.partitionBy("key")
+            order = F.xxhash64("id", F.lit(turn))
+            top = members.withColumn("hub", F.min(F.struct(order.alias("o"), "id", "component")).over(star))
+            pairs = top.where("hub.component != component").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = stored(linked(pairs), "pairs")
+        links = new if links is None else links.unionByName(new)
+        found = components(links, "a", "b")
+        if last:
+            break
+        members = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = Window.partitionBy("key")
+        members = members.withColumn("lo", F.min("component").over(mixed)).withColumn("hi", F.max("component").over(mixed))
+        members = stored(members.where("lo < hi").select("key", "id", "component"), "members")
+    return found

@@ -22,14 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .components import components
+from .components import bucket_components
 from .scratch import stored
 
 SETS = "doc_id long, n_shingles long, set_id long, segments array<long>, sketch binary"
 #: Steps of the similarity that a band of sizes spans.
 SPAN = 3
 SPARE = 1.3
-STAR_ROUNDS = 6
 
 
 class Bands:
@@ -195,34 +194,9 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = close_sketches(pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "s_a", "s_b"), num, den)
-        return stored(exact_links(near.join(h_b, "b").join(h_a, "a").select("a", "b", "h_a", "h_b"), num, den), "pairs")
-
-    links, found = None, None
-    members = buckets.withColumn("component", F.col("id"))
-    for turn in range(STAR_ROUNDS + 1):
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-        work = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-        if not work["n"]:
-            break
-        last = work["pairs"] <= 4 * work["n"] or turn == STAR_ROUNDS
-        if last:
-            x, y = (members.select("key", F.col("id").alias(i), F.col("component").alias(f"c_{i}")) for i in "ab")
-            pairs = x.join(y, "key").where("a < b and c_a != c_b").select("a", "b").distinct()
-        else:
-            star = Window.partitionBy("key")
-            order = F.xxhash64("id", F.lit(turn))
-            top = members.withColumn("hub", F.min(F.struct(order.alias("o"), "id", "component")).over(star))
-            pairs = top.where("hub.component != component").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = linked(pairs)
-        links = new if links is None else links.unionByName(new)
-        found = components(links, "a", "b")
-        if last:
-            break
-        members = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = Window.partitionBy("key")
-        members = members.withColumn("lo", F.min("component").over(mixed)).withColumn("hi", F.max("component").over(mixed))
-        members = stored(members.where("lo < hi").select("key", "id", "component"), "members")
+        return exact_links(near.join(h_b, "b").join(h_a, "a").select("a", "b", "h_a", "h_b"), num, den)
+
+    found = bucket_components(buckets, linked)
     own = classes.select("set_id", "doc_id")
     if found is not None:
         own = own.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
