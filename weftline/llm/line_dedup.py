@@ -2,7 +2,7 @@
 
 Lines are compared in lower case and trimmed, as sets of their five-character shingles. The signature
 of a line is a bottom-k MinHash: the five least hashes of a sample of its character shingles, those
-that start a word; each two of the five make a band, and lines that share a band are candidates. A
+that follow a space; each two of the five make a band, and lines that share a band are candidates. A
 line of few words is signed by all of its shingles, one in between by both samples. Candidates are
 verified by the exact Jaccard similarity of their sets, links are joined to components by distributed
 union-find, and the first line of each component is kept: that of the smallest document, then the
@@ -20,10 +20,10 @@ from .components import bucket_components
 from .scratch import stored
 
 SHINGLE = 5
-#: Characters of the shingles at word starts that sign a line.
-SIGNED = 12
+#: Characters of the shingles after spaces that sign a line.
+SIGNED = 11
 LEAST = 5
-#: Lines of up to FEW words are signed by all shingles, lines of MANY words or more at word starts.
+#: Lines of up to FEW words are signed by all shingles, lines of MANY words or more after spaces.
 FEW, MANY = 9, 6
 LATE = (1 << 63) - 1
 
@@ -58,7 +58,7 @@ def lines(docs: DataFrame) -> DataFrame:
 def signed(found: DataFrame) -> DataFrame:
     """``lines`` with two hashes of each line and its bands."""
     n_words = F.size(F.split("line", " "))
-    some = F.regexp_extract_all("line", F.lit(f"(?s)(?<![^ ])(?=(.{{{SIGNED}}}))"), 1)
+    some = F.regexp_extract_all("line", F.lit(f"(?s) (?=(.{{{SIGNED}}}))"), 1)
     every = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), 1)
     out = found.withColumn("n_words", n_words)
     out = out.withColumn("many", F.when(F.col("n_words") >= MANY, _least(some))).withColumn("few", F.when(F.col("n_words") <= FEW, _least(every)))
