@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("line_dedup", "quality", "decontaminate", "packing", "ngram_join", "warc", "katz", "suffix_dedup", "embedding_dedup")
+MODULES = ("line_dedup", "quality", "decontaminate", "packing", "ngram_join", "warc", "katz", "suffix_dedup", "embedding_dedup", "quote_linking")
 
 
 def queries() -> dict:
