@@ -43,13 +43,13 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], dense: tuple[float, float] = (4, 4)) -> DataFrame | None:
     """Components of ids that share a bucket and are linked; None without any bucket.
 
     ``buckets`` has rows ``key, id``; ``linked`` takes candidate pairs ``a, b`` and gives those that are
     links. In each bucket the members pair with one member only; buckets whose members are not yet in
-    one component are taken up again with another member, the last time with all members of other
-    components. So a bucket of n similar members costs n pairs, and no link between components is lost.
+    one component are taken up again with another member, the last time (or once all pairs are at most
+    ``dense`` times the members, at first and later) with all members of other components. So a bucket of n similar members costs n pairs, and no link between components is lost.
     """
     links, found = None, None
     members = buckets.withColumn("component", F.col("id"))
@@ -58,7 +58,7 @@ def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFram
         work = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("n")).first()
         if not work["n"]:
             break
-        last = work["pairs"] <= 4 * work["n"] or turn == STAR_ROUNDS
+        last = work["pairs"] <= dense[turn > 0] * work["n"] or turn == STAR_ROUNDS
         if last:
             x, y = (members.select("key", F.col("id").alias(i), F.col("component").alias(f"c_{i}")) for i in "ab")
             pairs = x.join(y, "key").where("a < b and c_a != c_b").select("a", "b").distinct()

@@ -1,9 +1,9 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions alone.
 
 Lines are compared in lower case and trimmed, as sets of their five-character shingles. The signature
-of a line is a bottom-k MinHash: the five least hashes of a sample of its character shingles, those
-that follow a space; each two of the five make a band, and lines that share a band are candidates. A
-line of few words is signed by all of its shingles, one in between by both samples. Candidates are
+of a line is a bottom-k MinHash: the least hashes of a sample of its longer character shingles, those
+that follow a space; each two of them make a band, and lines that share a band are candidates. A
+line of few words is signed by shingles from every place, one in between by both. Candidates are
 verified by the exact Jaccard similarity of their sets, links are joined to components by distributed
 union-find, and the first line of each component is kept: that of the smallest document, then the
 smallest line number. Lines that are equal are one class before all that.
@@ -20,11 +20,13 @@ from .components import bucket_components
 from .scratch import stored
 
 SHINGLE = 5
-#: Characters of the shingles after spaces that sign a line.
-SIGNED = 11
-LEAST = 5
-#: Lines of up to FEW words are signed by all shingles, lines of MANY words or more after spaces.
-FEW, MANY = 9, 6
+#: (characters of the shingles that sign a line, least hashes of them) after spaces, and from every place.
+AFTER_SPACE, ANYWHERE = (11, 5), (8, 6)
+#: Lines with up to FEW shingles after spaces are signed from every place, with MANY or more after spaces.
+FEW, MANY = 8, 5
+#: Least hashes of all shingles that estimate the similarity of candidates, and how far an estimate may
+#: be below the wanted one (over three standard deviations) before the exact test is spared.
+SKETCH, BELOW = 48, 0.2
 LATE = (1 << 63) - 1
 
 
@@ -32,39 +34,39 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(F.rtrim(line, F.lit("\r"))))
 
 
-def shingles(line: Column) -> Column:
-    """All distinct five-character shingles; a lookahead takes them from every place in one pass."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), 1))
+def shingles(line: Column, size: int = SHINGLE) -> Column:
+    """All character shingles, repeats included; a lookahead takes them from every place in one pass."""
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
 
 
-def _least(found: Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))), 1, LEAST)
+def _least(found: Column, n: int) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))), 1, n)
 
 
-def _bands(least: Column, salt: int) -> list[Column]:
-    both = [F.xxhash64(F.lit(salt), F.get(least, F.lit(i)), F.get(least, F.lit(j))) for i, j in combinations(range(LEAST), 2)]
-    whole = [F.when(F.size(least) > j, x) for (_, j), x in zip(combinations(range(LEAST), 2), both, strict=True)]
-    return [*whole, F.when(F.size(least) == 1, F.xxhash64(F.lit(salt), F.get(least, F.lit(0))))]
+def _bands(least: Column, n: int, salt: int) -> list[Column]:
+    pairs = [F.when(F.size(least) > j, F.xxhash64(F.lit(salt), F.get(least, F.lit(i)), F.get(least, F.lit(j)))) for i, j in combinations(range(n), 2)]
+    return [*pairs, F.when(F.size(least) == 1, F.xxhash64(F.lit(salt), F.get(least, F.lit(0))))]
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, line_no, line`` of every line; line is null if it is too short to compare."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    line = normal(F.col("raw"))
-    return split.select("doc_id", "text_hash", "line_no", line.alias("line")).withColumn("line", F.when(F.length("line") >= SHINGLE, F.col("line")))
+    # hashed before lines are taken out, once for each text
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("all")).select("doc_id", "text_hash", F.posexplode("all").alias("line_no", "raw"))
+    return split.select("doc_id", "text_hash", "line_no", normal(F.col("raw")).alias("line")).withColumn("line", F.when(F.length("line") >= SHINGLE, F.col("line")))
 
 
 def signed(found: DataFrame) -> DataFrame:
-    """``lines`` with two hashes of each line and its bands."""
-    n_words = F.size(F.split("line", " "))
-    some = F.regexp_extract_all("line", F.lit(f"(?s) (?=(.{{{SIGNED}}}))"), 1)
-    every = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), 1)
-    out = found.withColumn("n_words", n_words)
-    out = out.withColumn("many", F.when(F.col("n_words") >= MANY, _least(some))).withColumn("few", F.when(F.col("n_words") <= FEW, _least(every)))
-    bands = F.concat(F.when(F.col("many").isNotNull(), F.array(*_bands(F.col("many"), 1))).otherwise(F.array()), F.when(F.col("few").isNotNull(), F.array(*_bands(F.col("few"), 2))).otherwise(F.array()))
-    out = out.withColumn("bands", F.array_compact(bands))
-    return out.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check"), "bands")
+    """``lines`` with two hashes of each line and its bands, null for lines that are too short."""
+    some = F.regexp_extract_all("line", F.lit(f"(?s) (?=(.{{{AFTER_SPACE[0]}}}))"), 1)
+    every, short = shingles(F.col("line"), ANYWHERE[0]), shingles(F.col("line"))
+    out = found.withColumn("some", some).withColumn("n", F.size("some"))
+    every = F.when(F.length("line") >= 2 * ANYWHERE[0], every).otherwise(short)
+    out = out.withColumn("many", F.when(F.col("n") >= MANY, _least(F.col("some"), AFTER_SPACE[1]))).withColumn("few", F.when(F.col("n") <= FEW, _least(every, ANYWHERE[1])))
+    bands = [F.when(F.col(c).isNotNull(), F.array(*_bands(F.col(c), how[1], salt))).otherwise(F.array()) for salt, (c, how) in enumerate((("many", AFTER_SPACE), ("few", ANYWHERE)))]
+    out = out.withColumn("bands", F.array_compact(F.concat(*bands)))
+    long = F.col("line").isNotNull()
+    return out.select("doc_id", "text_hash", "line_no", F.when(long, F.xxhash64("line")).alias("id"), F.when(long, F.xxhash64(F.lit(1), "line")).alias("check"), F.when(long, F.col("bands")).alias("bands"))
 
 
 def _first(*more: str) -> Column:
@@ -82,7 +84,8 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     repeat a doc_id and its text are one document, whose decisions hold for all of them; a line with
     a null doc_id is kept only where no other document has its like. An empty table gives no rows.
     """
-    found = stored(signed(lines(docs).where("line is not null")), "lines")
+    every = stored(signed(lines(docs)), "lines")
+    found = every.where("id is not null")
     classes = stored(found.groupBy("id").agg(_first("check", "bands").alias("x")).select("id", "x.*"), "classes")
     spread = classes.select("id", F.explode(F.array_distinct("bands")).alias("key"))
     group = Window.partitionBy("key")
@@ -91,17 +94,20 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     wanted = buckets.select("id").distinct().join(classes.drop("bands"), "id").select("id", F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"))
     at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("line_no") == F.col("l"))
     texts = lines(docs).where("line is not null").withColumn("own", F.xxhash64("line")).join(wanted, at & (F.col("own") == F.col("id")))
-    texts = stored(texts.select("id", "line").dropDuplicates(["id"]), "texts")
+    texts = stored(texts.select("id", "line").dropDuplicates(["id"]).withColumn("set", F.array_distinct(shingles(F.col("line")))).select("id", "line", F.size("set").alias("n"), _least(F.col("set"), SKETCH).alias("sketch")), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
+        x, y = (texts.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("sketch").alias(f"k_{i}")) for i in "ab")
+        near = pairs.join(x, "a").join(y, "b")
+        # sets of such different sizes are not similar enough, whatever they share
+        near = near.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+        least = F.slice(F.sort_array(F.array_union("k_a", "k_b")), 1, SKETCH)
+        near = near.withColumn("least", least).where(F.size(F.array_intersect(F.array_intersect("least", "k_a"), "k_b")) >= (num / den - BELOW) * F.size("least"))
         x, y = (texts.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "ab")
-        both = pairs.join(x, "a").join(y, "b")
-        # a set's size is its line's length at most, and the union's is that of the larger set at least
-        sets = both.select("a", "b", shingles(F.col("line_a")).alias("s_a"), shingles(F.col("line_b")).alias("s_b"))
-        sets = sets.withColumn("shared", F.size(F.array_intersect("s_a", "s_b")))
-        return sets.where(F.col("shared") * den >= (F.size("s_a") + F.size("s_b") - F.col("shared")) * num).select("a", "b")
+        sets = near.select("a", "b", "n_a", "n_b").join(x, "a").join(y, "b").withColumn("shared", F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b")))))
+        return sets.where(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b")
 
-    components = bucket_components(buckets, linked)
+    components = bucket_components(buckets, linked, dense=(1, 8))
     own = classes.drop("bands")
     first = ("first_doc_id", "first_text_hash", "first_line_no")
     if components is not None:
@@ -118,7 +124,7 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
         out = out.withColumn(c, F.when(same, F.col(c)).otherwise(F.col(c.removeprefix("first_"))))
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_hash") == F.col("first_text_hash")) & (F.col("line_no") == F.col("first_line_no"))
     compared = out.select("doc_id", "text_hash", "line_no", "first_doc_id", "first_line_no", kept.alias("kept"))
-    short = lines(docs).where("line is null").select("doc_id", "text_hash", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"), F.lit(True).alias("kept"))
+    short = every.where("id is null").select("doc_id", "text_hash", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"), F.lit(True).alias("kept"))
     return compared.unionByName(short)
 
 
