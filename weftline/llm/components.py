@@ -43,7 +43,7 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], dense: tuple[float, float] = (4, 4)) -> DataFrame | None:
+def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], dense: tuple[float, float] = (4, 16)) -> DataFrame | None:
     """Components of ids that share a bucket and are linked; None without any bucket.
 
     ``buckets`` has rows ``key, id``; ``linked`` takes candidate pairs ``a, b`` and gives those that are
