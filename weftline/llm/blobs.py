@@ -15,7 +15,7 @@ def packed(*arrays: np.ndarray) -> bytes:
         if x.dtype.kind in "iu" and x.dtype != np.uint64:
             most, least = (int(x.max()), int(x.min())) if len(x) else (0, 0)
             x = x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
-        raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()  # bytes of equal weight together
+        raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()  # bytes of equal weight together
         parts += [struct.pack("<2sq", x.dtype.str[1:].encode(), len(x)), raw]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 

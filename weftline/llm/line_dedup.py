@@ -136,16 +136,17 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """
     found = line_components(docs, num, den)
     gone = found.where("not kept").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_set("line_no").alias("gone"))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("t")), "left")
-    split = F.split(F.col("text").cast("string"), "\n")
+    # the document stands as one value beside the keys, so that no column of its own can clash with them
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    joined = whole.join(gone, F.col("own").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("t")), "left")
+    split = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    text = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
-    out = joined.withColumn("_left", F.when(F.col("gone").isNotNull(), text))
-    out = out.where(F.col("gone").isNull() | (F.trim(F.regexp_replace("_left", r"\s+", "")) != ""))
-    new = {"text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.col("_left"))}
+    left = F.when(F.col("gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    out = joined.select("doc", left.alias("left")).where(F.col("left").isNull() | F.col("left").rlike(r"\S"))
+    new = {"text": F.coalesce("left", "doc.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("_left").cast(docs.schema["n_chars"].dataType))
-    return out.withColumns(new).select(docs.columns)
+        new["n_chars"] = F.when(F.col("left").isNull(), F.col("doc.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
