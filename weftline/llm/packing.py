@@ -25,7 +25,7 @@ from .scratch import stored
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: Distinct words that a task remembers with their ids; beyond it, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_250_000
 #: Pieces of one length that are ranked together.
 RANKED = 10_000
 
