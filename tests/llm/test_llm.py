@@ -249,6 +249,39 @@ def test_katz_equals_brute_force(spark):
         assert r.score == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip(["<s>", *t], t)))
 
 
+@pytest.mark.parametrize(("order", "bucket_keys"), [(3, 2_000_000), (4, 2_000_000), (3, 5)])
+def test_katz_of_longer_contexts_equals_brute_force(spark, monkeypatch, order, bucket_keys):
+    monkeypatch.setattr(katz, "BUCKET_KEYS", bucket_keys)  # so few that some contexts are hot
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(list("abcde"), rng.integers(0, 9), p=[0.5, 0.2, 0.1, 0.1, 0.1])) for _ in range(24)] + ["a b c d e a b", "a b c d e", None, "zz a b zz", "a a b a c"]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r for r in katz.katz_scores(docs, F.col("doc_id") % 3 == 0, order).collect()}
+    token = lambda t: [*(t or "").split(), None]
+    train = [token(t) for k, t in enumerate(texts) if k % 3]
+    grams = {n: Counter(tuple(["<s>", *t][k : k + n]) for t in train for k in range(len(t) + 2 - n)) for n in range(2, order + 1)}
+    uni = Counter(w for t in train for w in t)
+    losses = {n: katz.discounts([sum(c == r for c in grams[n].values()) for r in range(1, katz.CLASSES + 1)]) for n in grams}
+
+    def p(context, w):
+        if not context:
+            return (uni[w] + 0.5) / (sum(uni.values()) + 0.5 * (len(uni) + 1))
+        counts, loss = grams[len(context) + 1], losses[len(context) + 1]
+        seen = {g[-1]: c for g, c in counts.items() if g[:-1] == context}
+        whole, lost = sum(seen.values()), lambda c: loss[min(c, katz.CLASSES)]
+        if not seen:
+            return p(context[1:], w)
+        if w in seen:
+            return (seen[w] - lost(seen[w])) / whole
+        return sum(map(lost, seen.values())) / whole * p(context[1:], w) / (1 - sum(p(context[1:], x) for x in seen))
+
+    for context in (("<s>", "a"), ("a", "b"), ("a", "a"), ("b", "zz")):
+        assert sum(p(context, w) for w in uni) + p(context, "never seen") == pytest.approx(1)
+    for k, t in enumerate(texts):
+        t = token(t)
+        all_words = ["<s>", *t]
+        assert got[k].score == pytest.approx(sum(math.log10(p(tuple(all_words[max(0, j + 2 - order) : j + 1]), w)) for j, w in enumerate(t)))
+
+
 def test_suffix_dedup_equals_brute_force(spark, table):
     rng = np.random.default_rng(5)
     passage = "".join(rng.choice(list("abcdefg "), 300))

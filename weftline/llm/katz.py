@@ -1,15 +1,16 @@
-"""Katz backoff bigram scoring with Good-Turing discounts.
+"""Katz backoff n-gram scoring with Good-Turing discounts.
 
-``P(w | h) = (c(h, w) - loss(c)) / c(h)`` for pairs seen in training, else ``a(h) * P(w)``, where a(h)
-makes the sum over all words exactly one; a word that does not follow a seen h has P(w) itself.
+``P(w | h) = (c(h, w) - loss(c)) / c(h)`` for n-grams seen in training, else ``a(h) * P(w | h')``, where
+h' is h without its first word and a(h) makes the sum over all words exactly one; a word that does not
+follow a seen h has ``P(w | h')`` itself. A context reaches back to the start of the text and no further.
 ``P(w) = (c + 0.5) / (N + 0.5 * (V + 1))`` is normalised over the V words and one unknown word.
 
 Texts are dealt into blocks of some millions of tokens. A block asks for each distinct word once,
-and then for each distinct pair once, with its own training counts: the questions, hashed into
-buckets of bounded size, are summed where they meet, kept as the model's table, and answered to every
-block. Pairs go by their first word, so that a bucket has all of its followers, unless it is so
-frequent that it would fill a bucket alone: then by both words, and its sums are added up after.
-Arrays travel as Zstandard-compressed columns, as they are as large as the distinct pairs.
+and then, order by order, for each distinct n-gram once, with its own training counts: the questions,
+hashed into buckets of bounded size, are summed where they meet, kept as the model's table, and answered
+to every block. N-grams go by their context, so that a bucket has all of its followers, unless it is so
+frequent that it would fill a bucket alone: then by the word too, and its sums are added up after.
+Arrays travel as Zstandard-compressed columns, as they are as large as the distinct n-grams.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from . import words as W
 from .blobs import packed, unpacked
 from .scratch import stored
 
+ORDER = 3
 BLOCK_TOKENS = 2_000_000
 BUCKET_KEYS = 2_000_000
 #: Counts up to this one have a Good-Turing discount; higher ones lose as much as this one does.
@@ -34,7 +36,7 @@ START, END, FIRST_ID = 0, 1, 2
 BLOCKS = "block long, doc_id binary, held_out binary, size binary, local binary, words binary, counts binary, n_words long, n_tokens long"
 QUESTIONS = "bucket long, block long, body binary"
 WORD_ANSWERS = "kind string, bucket long, block long, body binary, n long, v long"
-PAIR_ANSWERS = "kind string, bucket long, block long, body binary, seen array<long>"
+GRAM_ANSWERS = "kind string, bucket long, block long, body binary, rest binary, seen array<long>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -136,22 +138,37 @@ class Block:
         self.before = np.concatenate([[START], self.word[:-1]])
         self.before[last - n + 1] = START
         self.text = np.repeat(np.arange(len(n)), n)
+        self.place = np.arange(len(is_word)) - np.repeat(last - n + 1, n)
         self.count = np.zeros(len(is_word), np.int64)
         self.count[is_word] = self.counts[self.local]
         self.is_word = is_word
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs in order of both words, as positions of one token each, and every token's pair."""
-        order = np.lexsort((self.word, self.before))
-        a, b = self.before[order], self.word[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        which = np.zeros(len(a), np.int64)
-        which[order] = np.cumsum(new) - 1
-        return order[new], which
-
-
-def pair_buckets(a: np.ndarray, b: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    h = W.scramble(np.where(hot, W.scramble(b.astype(np.uint64)) + a.astype(np.uint64), a.astype(np.uint64)))
+    def grams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For n = 2..order, distinct n-grams in order of their words, as positions of one token each, and every token's n-gram.
+
+        The latter is -1 for tokens that have no context of n - 1 words, the start included.
+        """
+        context = self.before
+        for n in range(2, order + 1):
+            order_of = np.flatnonzero(self.place >= n - 2)
+            order_of = order_of[np.lexsort((self.word[order_of], context[order_of]))]
+            a, b = context[order_of], self.word[order_of]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+            which = np.full(len(self.word), -1, np.int64)
+            which[order_of] = np.cumsum(new) - 1
+            yield n, order_of[new], which
+            context = np.concatenate([[-1], which[:-1]])
+
+    def contexts(self, n: int, first: np.ndarray) -> list[np.ndarray]:
+        """The n - 1 words before tokens that have as many."""
+        return [self.before[first - (n - 2)], *(self.word[first - k] for k in range(n - 2, 0, -1))]
+
+
+def gram_buckets(context: list[np.ndarray], word: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    h = np.zeros(len(word), np.uint64)
+    for x in context:
+        h = W.scramble(h + x.astype(np.uint64))
+    h = np.where(hot, W.scramble(h + W.scramble(word.astype(np.uint64))), h)
     return (h % np.uint64(buckets)).astype(np.int64)
 
 
@@ -160,101 +177,132 @@ def _by_block(table: DataFrame, answers: DataFrame, f, schema: str) -> DataFrame
 
 
 class Settings:
-    def __init__(self, word_buckets: int, buckets: int, tokens: int, ends: int, distinct: int):
-        self.word_buckets, self.buckets = word_buckets, buckets
+    def __init__(self, word_buckets: int, tokens: int, all_tokens: int, ends: int, distinct: int):
+        self.word_buckets, self.all_tokens, self.bucket_keys = word_buckets, all_tokens, BUCKET_KEYS
         self.ends, self.tokens, self.distinct = ends, tokens, distinct
         self.scale = tokens + 0.5 * (distinct + 1)
 
-    def hot(self, before: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return np.where(before == START, self.ends, count) > BUCKET_KEYS
+    def buckets(self, n: int) -> int:
+        return 1 + (n - 1) * self.all_tokens // self.bucket_keys
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.5) / self.scale
 
 
-def _context_counts(block: Block, s: Settings) -> np.ndarray:
-    """Training count of the word before each token."""
-    out = np.concatenate([[0], block.count[:-1]])
-    out[block.before == START] = s.ends
-    return out
+def _word_counts(block: Block, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts of each token and of the word before it."""
+    count = np.where(block.is_word, block.count, s.ends)
+    before = np.concatenate([[0], count[:-1]])
+    before[block.before == START] = s.ends
+    return count, before
+
+
+def _dealt(block: Block, n: int, first: np.ndarray, before: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams in order of their buckets, each bucket's part of them, and which are hot; ``before`` is their contexts' count."""
+    hot = before > s.bucket_keys
+    bucket = gram_buckets(block.contexts(n, first), block.word[first], hot, s.buckets(n))
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(s.buckets(n) + 1)), hot
+
+
+def _block(left: pa.Table, right: pa.Table, s: Settings) -> tuple[Block, int, list[tuple]]:
+    """The block, its number, and its answers: (kind, bucket, body, and rest if it was read)."""
+    row = left.to_pylist()[0]
+    names = ("kind", "bucket", "body", *(["rest"] if "rest" in right.column_names else []))
+    got = list(zip(*(right[c].to_pylist() for c in names)))
+    return Block(row, [x[1:3] for x in got if x[0] == "words"], s.word_buckets), row["block"], got
+
 
+def ask_grams(table: DataFrame, answers: DataFrame, s: Settings, n: int) -> DataFrame:
+    """Each block's distinct n-grams; ``answers`` has those for words and all shorter n-grams."""
 
-def ask_pairs(table: DataFrame, answers: DataFrame, s: Settings) -> DataFrame:
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows:
-            row = left.to_pylist()[0]
-            block = Block(row, list(zip(right["bucket"].to_pylist(), right["body"].to_pylist())), s.word_buckets)
-            first, which = block.pairs()
-            seen = np.bincount(which[~block.held[block.text]], minlength=len(first))
-            a, b = block.before[first], block.word[first]
-            lower = np.where(b == END, s.ends, block.count[first])
-            hot = s.hot(a, _context_counts(block, s)[first])
-            bucket = pair_buckets(a, b, hot, s.buckets)
-            a = np.where(hot, -1 - a, a)  # a hot word is marked by its sign
+            block, number, got = _block(left, right, s)
+            lower, before = _word_counts(block, s)
+            for m, first, which in block.grams(n):
+                if m == n:
+                    break
+                order, edges, _ = _dealt(block, m, first, before[first], s)
+                count = np.zeros(len(first) + 1, np.int64)  # the last is that of no n-gram
+                for kind, k, body, *_ in got:
+                    if kind == str(m):
+                        count[order[edges[k] : edges[k + 1]]] = unpacked(body)[0]
+                lower = count[which]
+                before = np.concatenate([[0], lower[:-1]])
+            del got
+            seen = np.bincount(which[(which >= 0) & ~block.held[block.text]], minlength=len(first))
+            order, edges, hot = _dealt(block, n, first, before[first], s)
+            a, *more = block.contexts(n, first)
+            a = np.where(hot, -1 - a, a)  # a hot context is marked by its sign
+            b, lower = block.word[first], np.where(seen > 0, lower[first], 0)
             # neighbours in a bucket have the same first word: only steps of it travel
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(s.buckets + 1))
-            for k in range(s.buckets):
+            for k in range(s.buckets(n)):
                 mine = order[edges[k] : edges[k + 1]]
                 if len(mine):
-                    out.append((k, row["block"], packed(np.diff(a[mine], prepend=0), b[mine], seen[mine], np.where(seen[mine] > 0, lower[mine], 0))))
+                    out.append((k, number, packed(np.diff(a[mine], prepend=0), *(x[mine] for x in more), b[mine], seen[mine], lower[mine])))
         return pa.Table.from_batches([_batch(QUESTIONS, *(zip(*out, strict=True) if out else ([], [], [])))])
 
     return _by_block(table, answers, ask, QUESTIONS)
 
 
-def answer_pairs(questions: DataFrame, s: Settings) -> DataFrame:
-    """The pair table of each bucket (kind model), sums of hot first words (hot), and each block's counts in the order asked.
+def answer_grams(questions: DataFrame, s: Settings, n: int, lower_loss: np.ndarray | None) -> DataFrame:
+    """The n-gram table of each bucket (kind model), sums of hot contexts (hot), and each block's counts in the order asked.
 
-    For pairs that training has not seen, the answer has the base probability and number of the
-    first word's followers, by how often they follow.
+    For n-grams that training has not seen, the answer has the sum of the context's followers by the
+    model of one order less (times the count of the shorter context, from pairs on), and their number
+    by how often they follow. ``lower_loss`` is what counts of that model lose, None for single words.
     """
 
     def answer(group: pa.Table) -> pa.Table:
         asked = [(b, *unpacked(x)) for b, x in sorted(zip(group["block"].to_pylist(), group["body"].to_pylist()))]
-        a = np.concatenate([np.cumsum(x[1]) for x in asked])
-        b, c, lower = (np.concatenate([x[k] for x in asked]) for k in (2, 3, 4))
-        order = np.lexsort((b, a))
-        new = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
-        which = np.zeros(len(a), np.int64)
+        context = [np.concatenate([np.cumsum(x[1]) for x in asked]), *(np.concatenate([x[k] for x in asked]) for k in range(2, n))]
+        b, c, lower = (np.concatenate([x[k] for x in asked]) for k in (n, n + 1, n + 2))
+        numbers, sizes = [x[0] for x in asked], [len(x[1]) for x in asked]
+        del asked
+        order = np.lexsort((b, *context[::-1]))
+        new_context = np.ones(len(b), bool)
+        new_context[1:] = np.any([np.diff(x[order]) != 0 for x in context], axis=0)
+        new = new_context.copy()
+        new[1:] |= np.diff(b[order]) != 0
+        which = np.zeros(len(b), np.int64)
         which[order] = np.cumsum(new) - 1
-        n = int(new.sum())
-        total = np.bincount(which, c.astype(np.float64), n).astype(np.int64)
-        below = np.zeros(n, np.int64)
+        size = int(new.sum())
+        total = np.bincount(which, c.astype(np.float64), size).astype(np.int64)
+        below = np.zeros(size, np.int64)
         np.maximum.at(below, which, lower)
-        first, second = a[order][new], b[order][new]
-        # sums by first word
-        start = np.flatnonzero(np.concatenate([[True], np.diff(first) != 0]))
-        mass = np.add.reduceat(np.where(total > 0, s.base(below), 0.0), start)
-        whole = np.add.reduceat(total, start)
+        context, second = [x[order][new] for x in context], b[order][new]
+        # sums by context
+        start = np.flatnonzero(new_context[new])
+        worth = s.base(below) if lower_loss is None else below - lower_loss[np.minimum(below, CLASSES)]
+        mass = np.add.reduceat(np.where(total > 0, worth, 0.0), start)
         kind = np.minimum(total, CLASSES)
         seen = np.stack([np.add.reduceat((kind == r).astype(np.int64), start) for r in range(1, CLASSES + 1)], 1)
-        context = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+        of_gram = np.repeat(np.arange(len(start)), np.diff(np.append(start, size)))
         histogram = np.bincount(np.minimum(total, CLASSES + 1), minlength=CLASSES + 2)[1 : CLASSES + 1].tolist()
         bucket = group["bucket"][0].as_py()
         model = total > 0
-        rows = [("model", bucket, -1, packed(np.diff(first[model], prepend=0), second[model], total[model]), histogram)]
-        hot = np.flatnonzero(first[start] < 0)
+        rows = [("model", bucket, -1, packed(np.diff(context[0][model], prepend=0), *(x[model] for x in context[1:]), second[model], total[model]), None, histogram)]
+        hot = np.flatnonzero(context[0][start] < 0)
         if len(hot):
-            rows.append(("hot", bucket, -1, packed(first[start[hot]], mass[hot].view(np.uint64), whole[hot], seen[hot].reshape(-1)), None))
+            rows.append(("hot", bucket, -1, packed(*(x[start[hot]] for x in context), mass[hot].view(np.uint64), seen[hot].reshape(-1)), None, None))
         at = 0
-        for block, steps, *_ in asked:
-            mine = which[at : at + len(steps)]
-            at += len(steps)
-            of = context[mine[total[mine] == 0]]
-            own, back = np.unique(of, return_inverse=True)
-            rows.append(("answer", bucket, block, packed(total[mine], back, first[start[own]], mass[own].view(np.uint64), whole[own], seen[own].reshape(-1)), None))
-        return pa.Table.from_batches([_batch(PAIR_ANSWERS, *zip(*rows, strict=True))])
+        for block, k in zip(numbers, sizes):
+            mine = which[at : at + k]
+            at += k
+            own, back = np.unique(of_gram[mine[total[mine] == 0]], return_inverse=True)
+            rows.append((str(n), bucket, block, packed(total[mine]), packed(back, mass[own].view(np.uint64), seen[own].reshape(-1)), None))
+        return pa.Table.from_batches([_batch(GRAM_ANSWERS, *zip(*rows, strict=True))])
 
-    return questions.groupBy("bucket").applyInArrow(answer, PAIR_ANSWERS)
+    return questions.groupBy("bucket").applyInArrow(answer, GRAM_ANSWERS)
 
 
 def discounts(histogram: list[int]) -> np.ndarray:
-    """What a pair seen r times loses, for r = 0..RELIABLE and more, from the numbers of pairs seen 1..RELIABLE+1 times.
+    """What an n-gram seen r times loses, for r = 0..RELIABLE and more, from the numbers of n-grams seen 1..RELIABLE+1 times.
 
-    Where Good-Turing gives no proper value (too few pairs), it is that of absolute discounting.
-    Every seen pair loses something, so that every word leaves some mass to back off with.
+    Where Good-Turing gives no proper value (too few n-grams), it is that of absolute discounting.
+    Every seen n-gram loses something, so that every context leaves some mass to back off with.
     """
     n = [0, *histogram]
     k = RELIABLE
@@ -267,56 +315,52 @@ def discounts(histogram: list[int]) -> np.ndarray:
     return np.array([*out, out[-1]])
 
 
-def backoff_weights(mass: np.ndarray, whole: np.ndarray, seen: np.ndarray, loss: np.ndarray) -> np.ndarray:
-    """What discounting leaves, over the base probability of all words that were not seen to follow."""
-    free = (seen * loss[1:]).sum(1) / np.maximum(whole, 1)
-    return np.where(whole > 0, free / np.maximum(1 - mass, 1e-300), 1.0)
-
-
-def score_blocks(table: DataFrame, answers: DataFrame, s: Settings, loss: np.ndarray, hot: dict[int, tuple]) -> DataFrame:
+def score_blocks(table: DataFrame, answers: DataFrame, s: Settings, losses: dict[int, np.ndarray], hot_sums: dict[tuple, tuple]) -> DataFrame:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([_batch(SCORES, *([] for _ in range(7)))])
-        got = list(zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["body"].to_pylist()))
-        block = Block(left.to_pylist()[0], [(b, x) for k, b, x in got if k == "words"], s.word_buckets)
-        first, which = block.pairs()
-        a, b = block.before[first], block.word[first]
-        before = _context_counts(block, s)[first]
-        is_hot = s.hot(a, before)
-        bucket = pair_buckets(a, b, is_hot, s.buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(s.buckets + 1))
-        base = s.base(np.where(b == END, s.ends, block.count[first]))
-        p = base.copy()
-        for k, n, body in got:
-            if k != "pairs":
-                continue
-            total, back, ids, mass, whole, seen = unpacked(body)
-            mass, seen = mass.view(np.float64).copy(), seen.reshape(-1, CLASSES)
-            whole, seen = whole.copy(), seen.copy()
-            for j in np.flatnonzero(np.isin(ids, list(hot))) if hot else ():
-                mass[j], whole[j], seen[j] = hot[int(ids[j])]
-            mine = order[edges[n] : edges[n + 1]]
-            known = total > 0
-            p[mine[known]] = (total[known] - loss[np.minimum(total[known], CLASSES)]) / before[mine[known]]
-            p[mine[~known]] *= backoff_weights(mass, whole, seen, loss)[back]
-        token = np.log10(p)[which]
+        block, _, got = _block(left, right, s)
+        count, before = _word_counts(block, s)
+        lowest = s.base(count)
+        p, lower, shorter = lowest.copy(), count, np.ones(len(count), np.int64)
+        # from single words up to the longest context: what an order has not seen keeps the weighted value of the one before
+        for n, first, which in block.grams(max(losses, default=1)):
+            loss, whole = losses[n], before[first]
+            order, edges, is_hot = _dealt(block, n, first, whole, s)
+            total, weight = np.zeros(len(first) + 1, np.int64), np.ones(len(first) + 1)
+            for kind, k, body, rest in got:
+                if kind != str(n):
+                    continue
+                mine = order[edges[k] : edges[k + 1]]
+                (total[mine],) = unpacked(body)
+                back, mass, seen = unpacked(rest)
+                left_over, mass = (seen.reshape(-1, CLASSES) * loss[1:]).sum(1)[back], mass.view(np.float64)[back]
+                mine = mine[total[mine] == 0]
+                for j in np.flatnonzero(is_hot[mine]) if hot_sums else ():
+                    mass[j], x = hot_sums[tuple(int(y[0]) for y in block.contexts(n, first[mine[j] : mine[j] + 1]))]
+                    left_over[j] = (x * loss[1:]).sum()
+                known = whole[mine] > 0
+                here = left_over / np.maximum(whole[mine], 1) / np.maximum(1 - mass / np.maximum(shorter[first[mine]], 1), 1e-300)
+                weight[mine] = np.where(known, here, 1.0)
+            lower = total[which]
+            p = np.where(lower > 0, (lower - loss[np.minimum(lower, CLASSES)]) / np.maximum(before, 1), p * weight[which])
+            shorter, before = before, np.concatenate([[0], lower[:-1]])
         n = len(block.size)
-        count = np.where(block.is_word, block.count, s.ends)
         add = lambda x: np.bincount(block.text, x, n)
         return pa.Table.from_batches([
             _batch(
                 SCORES, pa.array(block.doc, mask=block.null.astype(bool)), block.held, block.size + 1, add((count > 0).astype(float)).astype(np.int64),
-                np.full(n, s.tokens), add(np.log10(s.base(count))), add(token),
+                np.full(n, s.tokens), add(np.log10(lowest)), add(np.log10(p)),
             )
         ])
 
     return _by_block(table, answers, score, SCORES)
 
 
-def katz_scores(docs: DataFrame, held_out) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, a row for each row of ``docs``.
 
+    ``score`` is by n-grams of up to ``order`` words, ``base_score`` by single words.
     ``docs`` needs doc_id and text; other columns are ignored. Training texts are those where the
     column expression ``held_out`` is not true. A null text is empty: its end is its only token.
     Null ids stay, rows may repeat (each counts), an empty table gives no rows; without training
@@ -325,29 +369,32 @@ def katz_scores(docs: DataFrame, held_out) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     table = stored(blocks(docs), "blocks")
     size = table.agg(F.sum("n_words"), F.sum("n_tokens"), F.count("*")).first()
-    word_buckets, pair_count = 1 + int(size[0] or 0) // BUCKET_KEYS, 1 + int(size[1] or 0) // BUCKET_KEYS
+    word_buckets = 1 + int(size[0] or 0) // BUCKET_KEYS
     ends = docs.where("not held_out").count()
     words = stored(answer_words(ask_words(table, word_buckets), word_buckets), "katz-words")
     total = words.where("kind = 'model'").agg(F.sum("n"), F.sum("v")).first()
-    s = Settings(word_buckets, pair_count, int(total[0] or 0) + ends, ends, int(total[1] or 0) + (ends > 0))
-    told = words.where("kind = 'answer'").select("block", "bucket", "body")
-    pairs = stored(answer_pairs(ask_pairs(table, told, s), s), "katz-pairs")
-    seen = pairs.where("kind = 'model'").agg(*(F.sum(F.col("seen")[k]) for k in range(CLASSES))).first()
-    loss = discounts([int(x or 0) for x in seen])
-    hot: dict[int, tuple] = {}
-    for (body,) in pairs.where("kind = 'hot'").select("body").toLocalIterator():  # at most a row for each bucket and hot word
-        ids, mass, whole, n = unpacked(body)
-        for i, m, w, x in zip(ids.tolist(), mass.view(np.float64).tolist(), whole.tolist(), n.reshape(-1, CLASSES)):
-            o = hot.get(i, (0.0, 0, 0))
-            hot[i] = (o[0] + m, o[1] + w, o[2] + x)
-    answers = told.withColumn("kind", F.lit("words")).unionByName(pairs.where("kind = 'answer'").select("block", "bucket", "body").withColumn("kind", F.lit("pairs")))
-    return score_blocks(table, answers, s, loss, hot)
+    s = Settings(word_buckets, int(total[0] or 0) + ends, int(size[1] or 0), ends, int(total[1] or 0) + (ends > 0))
+    answers = words.where("kind = 'answer'").select(F.lit("words").alias("kind"), "bucket", "block", "body", F.lit(None).cast("binary").alias("rest"))
+    losses: dict[int, np.ndarray] = {}
+    hot: dict[tuple, tuple] = {}
+    for n in range(2, order + 1):
+        grams = stored(answer_grams(ask_grams(table, answers.drop("rest"), s, n), s, n, losses.get(n - 1)), f"katz-{n}")
+        seen = grams.where("kind = 'model'").agg(*(F.sum(F.col("seen")[k]) for k in range(CLASSES))).first()
+        losses[n] = discounts([int(x or 0) for x in seen])
+        for (body,) in grams.where("kind = 'hot'").select("body").toLocalIterator():  # at most a row for each bucket and hot context
+            *context, mass, x = unpacked(body)
+            context[0] = -1 - context[0]
+            for key, m, y in zip(zip(*(c.tolist() for c in context)), mass.view(np.float64).tolist(), x.reshape(-1, CLASSES)):
+                o = hot.get(key, (0.0, 0))
+                hot[key] = (o[0] + m, o[1] + y)
+        answers = answers.unionByName(grams.where(F.col("kind") == str(n)).drop("seen"))
+    return score_blocks(table, answers, s, losses, hot)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op9: all documents, scored by a model of those whose crc32 modulo 5 is not 1."""
+    """op9: all documents, scored by a trigram model of those whose crc32 modulo 5 is not 1."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return katz_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+    return katz_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, ORDER)
 
 
 QUERIES = {"op9_katz_backoff": query}
