@@ -105,6 +105,22 @@ def test_line_dedup_equals_brute_force(spark, table):
     assert all(got[k] == k for k in want if want[k] == k)  # and nothing is removed that stands alone
 
 
+def test_line_dedup_links_lines_around_sixteen_characters(spark):
+    rng = np.random.default_rng(6)
+    base = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz  "), n)).strip() for n in range(10, 29) for _ in range(8)]
+    lines = [y for x in base for y in (x, x[:-1], "q" + x)]
+    lines += ["-" * n for n in (5, 15, 16, 30, 80)] + ["- " * n + "-" for n in (3, 7, 8, 40)] + ["ab" * n for n in (6, 9, 60)]
+    rows = [(k, "\n".join(lines[k::7])) for k in range(7)]
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in line_dedup.line_components(docs_of(spark, [t for _, t in rows])).collect()}
+    want = brute_lines(rows)
+    assert got.keys() == want.keys()
+    wrong = {k for k in want if got[k] != want[k]}
+    assert len(wrong) <= 0.02 * len(want)
+    rules = [k for k in want if set(dict(rows)[k[0]].split("\n")[k[1]]) <= set("- ")]
+    assert len(rules) == 9 and not wrong & set(rules)
+    assert all(got[k] == k for k in want if want[k] == k)
+
+
 def test_line_dedup_texts(spark):
     line = "the quick brown fox jumps over the lazy dog by the river bank"
     out = line_dedup.dedup_lines(docs_of(spark, [f"{line}\nalone here with words", line, f"new line of some words\n{line}", "", None, f"{line}\n\n{line}"])).orderBy("doc_id")

@@ -3,7 +3,8 @@
 Lines are compared in lower case and trimmed, as sets of their five-character shingles. The signature
 of a line is a bottom-k MinHash: the least hashes of a sample of its longer character shingles, those
 that follow a space; each two of them make a band, and lines that share a band are candidates. A
-line of few words is signed by shingles from every place, one in between by both. Candidates are
+line of few words is signed by shingles from every place, and a short one by those that are compared;
+one in between is signed in both ways, so that lines on either side of a border meet. Candidates are
 verified by the exact Jaccard similarity of their sets, links are joined to components by distributed
 union-find, and the first line of each component is kept: that of the smallest document, then the
 smallest line number. Lines that are equal are one class before all that.
@@ -21,9 +22,14 @@ from .scratch import stored
 
 SHINGLE = 5
 #: (characters of the shingles that sign a line, least hashes of them) after spaces, and from every place.
-AFTER_SPACE, ANYWHERE = (11, 5), (8, 6)
-#: Lines with up to FEW shingles after spaces are signed from every place, with MANY or more after spaces.
+AFTER_SPACE, ANYWHERE, SHORT = (11, 5), (8, 6), (SHINGLE, 6)
+#: Lines with up to FEW distinct shingles after spaces are signed from every place, with MANY or more after spaces.
 FEW, MANY = 8, 5
+#: Lines of this many characters or more are signed by ANYWHERE's shingles, up to that many by SHORT's.
+LONG, BRIEF = 16, 24
+#: A longer line is signed by SHORT's too if one of its shingles repeats in its first characters: rules of
+#: dashes have few shingles at any length. Without that, it has more than a line under LONG can be similar to.
+REPEATS, WITHIN = r"(?s)(?=(.{5})).(?=.*\1)", 20
 #: Least hashes of all shingles that estimate the similarity of candidates, and how far an estimate may
 #: be below the wanted one (over three standard deviations) before the exact test is spared.
 SKETCH, BELOW = 48, 0.2
@@ -59,11 +65,13 @@ def lines(docs: DataFrame) -> DataFrame:
 def signed(found: DataFrame) -> DataFrame:
     """``lines`` with two hashes of each line and its bands, null for lines that are too short."""
     some = F.regexp_extract_all("line", F.lit(f"(?s) (?=(.{{{AFTER_SPACE[0]}}}))"), 1)
-    every, short = shingles(F.col("line"), ANYWHERE[0]), shingles(F.col("line"))
-    out = found.withColumn("some", some).withColumn("n", F.size("some"))
-    every = F.when(F.length("line") >= 2 * ANYWHERE[0], every).otherwise(short)
-    out = out.withColumn("many", F.when(F.col("n") >= MANY, _least(F.col("some"), AFTER_SPACE[1]))).withColumn("few", F.when(F.col("n") <= FEW, _least(every, ANYWHERE[1])))
-    bands = [F.when(F.col(c).isNotNull(), F.array(*_bands(F.col(c), how[1], salt))).otherwise(F.array()) for salt, (c, how) in enumerate((("many", AFTER_SPACE), ("few", ANYWHERE)))]
+    out = found.withColumn("some", F.array_distinct(some)).withColumn("n", F.size("some"))
+    brief = (F.length("line") <= BRIEF) | F.substring("line", 1, WITHIN).rlike(REPEATS)
+    out = out.withColumn("many", F.when(F.col("n") >= MANY, _least(F.col("some"), AFTER_SPACE[1])))
+    out = out.withColumn("few", F.when((F.col("n") <= FEW) & (F.length("line") >= LONG), _least(shingles(F.col("line"), ANYWHERE[0]), ANYWHERE[1])))
+    out = out.withColumn("short", F.when(brief, _least(shingles(F.col("line")), SHORT[1])))
+    ways = (("many", AFTER_SPACE), ("few", ANYWHERE), ("short", SHORT))
+    bands = [F.when(F.col(c).isNotNull(), F.array(*_bands(F.col(c), how[1], salt))).otherwise(F.array()) for salt, (c, how) in enumerate(ways)]
     out = out.withColumn("bands", F.array_compact(F.concat(*bands)))
     long = F.col("line").isNotNull()
     return out.select("doc_id", "text_hash", "line_no", F.when(long, F.xxhash64("line")).alias("id"), F.when(long, F.xxhash64(F.lit(1), "line")).alias("check"), F.when(long, F.col("bands")).alias("bands"))
