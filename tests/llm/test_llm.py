@@ -156,6 +156,47 @@ def test_masks_survive_two_substitutions():
         assert any(all(m == "0" or s + k not in wrong for k, m in enumerate(mask)) for mask in decontaminate.MASKS for s in range(decontaminate.MIN_WORDS - len(mask) + 1))
 
 
+def test_seeds_are_in_every_stretch_that_counts():
+    # the least number of substitutions that leaves no seed, by the last eight words
+    masks = [[k for k, x in enumerate(reversed(m)) if x == "1"] for m in decontaminate.MASKS]
+    least = {(): 0}
+    for n in range(1, 201):
+        longer = {}
+        for last, cost in least.items():
+            for equal in (True, False):
+                new = (equal, *last)[:8]  # latest word first
+                if not any(len(new) > max(m) and all(new[k] for k in m) and n >= max(m) + 1 for m in masks):
+                    longer[new] = min(longer.get(new, n + 1), cost + (not equal))
+        least = longer
+        if n >= decontaminate.LEAST_FUZZY:
+            assert 5 * min(least.values()) > n, n
+
+
+def test_decontamination_equals_brute_force():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    for n in range(5, 31):
+        words = [f"w{n}x{k}" for k in range(n)]
+        items = decontaminate.Items(np.arange(1), pa.array([" ".join(words)]))
+        wrong = [()] + [(k,) for k in range(n)] + [(j, k) for k in range(n) for j in range(k)]
+        wrong += [tuple(rng.choice(n, m, replace=False)) for m in range(3, min(n, 9)) for _ in range(60)]
+        texts = [" ".join(["before", *("other" if k in w else x for k, x in enumerate(words)), "after"]) for w in wrong]
+        raw, off = decontaminate.W.bytes_of(pa.array(texts))
+        h, _, _, at = decontaminate.W.word_hashes(raw, off, decontaminate.W.PLAIN)
+        got = {d: rest for d, _, *rest in items.in_texts(h, at)}
+        for d, w in enumerate(wrong):
+            equal = np.array([k not in w for k in range(n)])
+            least = min(n, 10)
+            spans = [(b - a, a, b) for a in range(n) for b in range(a + least, n + 1) if 5 * equal[a:b].sum() >= 4 * (b - a)]
+            assert (d in got) == bool(spans and (n >= 8 or equal.all())), (n, w)
+            if d in got:
+                matched, size, at_doc, at_item = got[d]
+                longest = {int(equal[a:b].sum()) for m, a, b in spans if m == max(spans)[0]}
+                assert matched in longest and size >= least and 5 * matched >= 4 * size and at_doc == at_item + 1
+                assert equal[at_item : at_item + size].sum() == matched
+
+
 def test_warc_records_are_found_by_the_index(spark, tmp_path):
     big = "<p>" + "y" * 2000
     pages = spark.createDataFrame([(1, "http://a/\nb%", big), (2, None, big), (3, "u", None), (4, "u", "small"), (5, "u", "small")], "page_id long, url string, html string")

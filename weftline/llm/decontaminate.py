@@ -2,9 +2,9 @@
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. A seed is a fixed mask over
 word positions; its hash covers the marked positions and ignores the rest. The masks are such that
-every ten aligned words with at most two substitutions hold a seed without one (a test goes through
-all cases). Seeds that a document shares with an item fix a diagonal, and along it the overlap is
-the stretch with the most ``matches - 4 * mismatches``: at least 80 % of its words are equal.
+all aligned stretches of eight words or more with at least 80 % of them equal hold a seed of equal
+words (a test goes through all cases). Seeds that a document shares with an item fix a diagonal, and
+along it the overlap is the longest stretch of which at least 80 % of the words are equal.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from . import words as W
 
 MASKS = ("111011", "11010011", "11111")
 MIN_WORDS = 10
-#: An item of fewer words than MIN_WORDS counts when all of its words stand in a row; under this, it never counts.
+#: An item of fewer words than MIN_WORDS counts as a whole, from this size on with up to 20 % of substitutions.
+LEAST_FUZZY = 8
+#: A still shorter item counts when all of its words stand in a row; under this, it never counts.
 LEAST_ITEM = 5
 MISMATCH = -4
 #: Words of items that one pass over the documents looks for; more items take more passes.
@@ -41,12 +43,20 @@ def seeds(hashes: np.ndarray, at: np.ndarray, mask: str) -> tuple[np.ndarray, np
     return W.scramble(h[where]), where
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the stretch with the highest score, the first on ties."""
+def best_stretch(equal: np.ndarray, least: int) -> tuple[int, int]:
+    """Start and end of the longest stretch with 80 % of equal words, the first on ties.
+
+    Unequal words at its ends are left out as far as ``least`` words stay.
+    """
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, MISMATCH))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.argmax(total[: end + 1] == low[end])), end
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")  # the first place that is no higher
+    b = int(np.argmax(np.arange(len(total)) - start))
+    a = int(start[b])
+    while b - a > least and not equal[b - 1]:
+        b -= 1
+    while b - a > least and not equal[a]:
+        a += 1
+    return a, b
 
 
 class Items:
@@ -92,9 +102,10 @@ class Items:
             mine, own = hashes[at[d] : at[d + 1]], self.hashes[self.at[i] : self.at[i + 1]]
             lo, hi = max(0, -shift), min(len(own), len(mine) - shift)
             equal = own[lo:hi] == mine[lo + shift : hi + shift]
-            a, b = best_stretch(equal)
+            least = min(MIN_WORDS, len(own))
+            a, b = best_stretch(equal, least)
             matched = int(equal[a:b].sum())
-            if b - a >= MIN_WORDS or (len(own) < MIN_WORDS and b - a == matched == len(own) >= LEAST_ITEM):
+            if b - a >= least and (least >= LEAST_FUZZY or matched == least >= LEAST_ITEM):
                 best[d, i] = max(best.get((d, i), (0, 0, 0, 0)), (matched, -(b - a), -(lo + a + shift), -(lo + a)))
         for (d, i), (matched, n, at_doc, at_item) in best.items():
             yield d, i, matched, -n, -at_doc, -at_item
@@ -104,7 +115,8 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that overlap: ``doc_id, item_id, n_matched, n_words, doc_word, item_word``.
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are ignored. An overlap
-    has ten words or more, or a shorter item's words in a row (items under five words never count).
+    has ten words or more, or all of a shorter item, of which 80 % are equal; an item of five to seven
+    words stands in it unchanged, and a still shorter one never counts.
     Null and empty texts overlap with nothing, a null id stays null, repeated rows give repeated
     overlaps on the side of ``docs``, and once on the side of ``items``. Items go to the tasks in
     blocks of a bounded number of words, each a pass over the documents.
