@@ -1,80 +1,127 @@
-"""Connected components of a link table by alternating stars (a distributed union-find)."""
+"""Connected components of a link table by a distributed union-find, and of ids that share buckets."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import discard, stored
 
 MAX_ROUNDS = 60
-STAR_ROUNDS = 6
+#: Buckets of so many members or fewer, if still mixed, pair all members of different components.
+FEW = 64
+#: Turns in which larger buckets pair their members with one member, before they too pair all.
+TURNS = 2
+#: Members of a large bucket that one row's block is paired with.
+BLOCK = 1000
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over ``(u, v)`` with ``u > v``."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _rooted(parents: DataFrame) -> DataFrame:
+    """``u, p`` of a forest given by parents, with every parent replaced by its root (pointer jumping)."""
+    for _ in range(MAX_ROUNDS):
+        up = parents.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        jumped = stored(parents.join(up, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "roots")
+        moved = not jumped.where("moved").isEmpty()
+        discard(parents)
+        parents = jumped
+        if not moved:
+            return parents
+    raise RuntimeError("a forest of links did not settle")
 
 
 def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
-    """``(id, component)`` for every id that has a link to another id; component is the smallest id reachable.
+    """``id, component`` for every id that has a link to another id; component is the smallest id reachable.
 
-    Links may repeat, point either way or join an id to itself; null ends are left out. Every round
-    groups with partial minima, so that an id with very many links is no bottleneck, and is stored.
+    Links may repeat, point either way or join an id to itself; null ends are left out. In every round
+    each id hooks to its smallest neighbour (partial minima come first, so that an id with very many
+    links is no bottleneck), trees are flattened, and links are contracted to those between their roots.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = stored(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    before = None
+    forest = None
     for _ in range(MAX_ROUNDS):
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
-        e = stored(_stars(e), "links")
-    else:
-        raise RuntimeError("connected components did not settle")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        if forest is not None and e.isEmpty():
+            discard(e)
+            return forest
+        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        roots = _rooted(stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "hooks"))
+        of = roots.select("u", "p")
+        moved = e.join(of, "u").select(F.col("v").alias("u"), F.col("p").alias("x")).join(of, "u").where(F.col("x") != F.col("p"))
+        e = stored(moved.select(F.greatest("x", "p").alias("u"), F.least("x", "p").alias("v")).distinct(), "links", e)
+        if forest is None:
+            forest = stored(roots.select(F.col("u").alias("id"), F.col("p").alias("component")), "forest", roots)
+        else:
+            up = roots.select(F.col("u").alias("component"), F.col("p").alias("q"))
+            forest = stored(forest.join(up, "component", "left").select("id", F.coalesce("q", "component").alias("component")), "forest", forest, roots)
+    raise RuntimeError("connected components did not settle")
+
+
+def _joined(forest: DataFrame, new: DataFrame) -> DataFrame:
+    """``forest`` with the links ``new`` between any ids."""
+    own = forest.select("id", "component")
+    ends = new
+    for x in "ab":
+        ends = ends.join(own.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")), x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", x))
+    more = components(ends, "c_a", "c_b")
+    up = more.select(F.col("id").alias("component"), F.col("component").alias("q"))
+    known = own.join(up, "component", "left").select("id", F.coalesce("q", "component").alias("component"))
+    fresh = more.join(own.select("id"), "id", "left_anti").select("id", "component")
+    return stored(known.unionByName(fresh), "forest", forest, more)
 
 
-def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], dense: tuple[float, float] = (4, 16)) -> DataFrame | None:
-    """Components of ids that share a bucket and are linked; None without any bucket.
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of members of different components of each bucket; those of a large one are dealt to tasks by blocks."""
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    x = members.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    y = members.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return x.join(y, ["key", "block"]).where("a < b and c_a != c_b").select("a", "b").distinct()
 
-    ``buckets`` has rows ``key, id``; ``linked`` takes candidate pairs ``a, b`` and gives those that are
-    links. In each bucket the members pair with one member only; buckets whose members are not yet in
-    one component are taken up again with another member, the last time (or once all pairs are at most
-    ``dense`` times the members, at first and later) with all members of other components. So a bucket of n similar members costs n pairs, and no link between components is lost.
+
+def bucket_components(spread: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """``id, component`` of ids that share a bucket and are linked; None without any bucket.
+
+    ``spread`` has rows ``key, id``, an id at most once for each key; ``linked`` takes candidate pairs
+    ``a, b`` and gives a stored table of those that are links. In each bucket (buckets of the same members are one) the
+    members pair with one member. Buckets whose members are then not in one component are taken up
+    again: with FEW members all those of different components pair, larger ones pair with another
+    member for some turns and with all of them in the end. So a bucket of n similar members costs n
+    pairs, and no link between different components is lost.
     """
-    links, found = None, None
-    members = buckets.withColumn("component", F.col("id"))
-    for turn in range(STAR_ROUNDS + 1):
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-        work = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-        if not work["n"]:
+    keys = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("far"), F.bit_xor(F.xxhash64("id")).alias("all"))
+    keys = stored(keys.where("hub < far").groupBy("n", "hub", "far", "all").agg(F.min("key").alias("key")).select("key", "n", "hub"), "keys")
+    if keys.isEmpty():
+        discard(keys)
+        return None
+    buckets = stored(spread.join(keys, "key").select("key", "n", "hub", "id"), "buckets", keys)
+    pairs = stored(buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    new = linked(pairs)
+    forest = components(new, "a", "b")
+    discard(pairs, new)
+    for turn in range(1, TURNS + 2):
+        own = forest.select("id", "component")
+        members = stored(buckets.join(own, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component")), "members", buckets)
+        order = F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")
+        mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("hub")).where("lo < hi")
+        mixed = stored(mixed.select("key", F.col("hub.id").alias("hub"), F.col("hub.component").alias("c_hub")), "mixed")
+        if mixed.isEmpty():
+            discard(mixed, members)
             break
-        last = work["pairs"] <= dense[turn > 0] * work["n"] or turn == STAR_ROUNDS
-        if last:
-            x, y = (members.select("key", F.col("id").alias(i), F.col("component").alias(f"c_{i}")) for i in "ab")
-            pairs = x.join(y, "key").where("a < b and c_a != c_b").select("a", "b").distinct()
-        else:
-            star = Window.partitionBy("key")
-            order = F.xxhash64("id", F.lit(turn))
-            top = members.withColumn("hub", F.min(F.struct(order.alias("o"), "id", "component")).over(star))
-            pairs = top.where("hub.component != component").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = stored(linked(pairs), "pairs")
-        links = new if links is None else links.unionByName(new)
-        found = components(links, "a", "b")
+        members = stored(members.join(mixed, "key"), "members", members, mixed)
+        every = members if turn > TURNS else members.where(F.col("n") <= FEW)
+        pairs = _all_pairs(every)
+        if turn <= TURNS:
+            star = members.where((F.col("n") > FEW) & (F.col("component") != F.col("c_hub")))
+            pairs = pairs.unionByName(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))).distinct()
+        pairs = stored(pairs, "pairs")
+        new = linked(pairs)
+        forest = _joined(forest, new)
+        discard(pairs)
+        buckets = members.where(F.col("n") > FEW).select("key", "n", "id")
+        last = turn > TURNS or buckets.isEmpty()
         if last:
+            discard(members, new)
             break
-        members = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = Window.partitionBy("key")
-        members = members.withColumn("lo", F.min("component").over(mixed)).withColumn("hi", F.max("component").over(mixed))
-        members = stored(members.where("lo < hi").select("key", "id", "component"), "members")
-    return found
+        buckets = stored(buckets, "buckets", members, new)
+    return forest

@@ -8,8 +8,8 @@ band's end in the next one too. Of the m segments, a set gives out the D + 1 tha
 (shingles in it) and content; as that order depends on content alone, similar sets still share one.
 
 Equal segments make candidates; in each group they pair with one member only, and groups whose
-members are not yet linked are taken up again with another member, the last time with all members
-of other components. Candidates pass a Hamming test on narrower sketches, then their exact sets.
+members are not yet linked are taken up again. Candidates pass a Hamming test on narrower sketches,
+then their exact sets of shingles.
 """
 
 from __future__ import annotations
@@ -18,17 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import bucket_components
 from .scratch import stored
 
-SETS = "doc_id long, n_shingles long, set_id long, segments array<long>, sketch binary"
+SETS = "doc_id long, row long, n_shingles long, set_id long, segments array<long>, sketch binary"
 #: Steps of the similarity that a band of sizes spans.
 SPAN = 3
 SPARE = 1.3
+#: Bits of the filter that tells which rows' sets are wanted. It has this size for any input; rows that it lets through needlessly cost time only.
+FILTER_BITS = 1 << 24
+LATE = (1 << 63) - 1
 
 
 class Bands:
@@ -80,15 +83,22 @@ def segment_keys(h: np.ndarray, off: np.ndarray, bands: Bands, band: np.ndarray)
     return W.scramble(content[take] ^ W.scramble(salt)), np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(count)))])
 
 
+def set_hashes(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of every text in ascending order, n+1 offsets of them, and an id of each set."""
+    hashes, _, _, at = W.word_hashes(raw, off)
+    h, so = W.doc_sets(*W.shingle_hashes(hashes, at, n))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.scramble(h + np.uint64(n)))])
+    return h, so, W.scramble(sums[so[1:]] - sums[so[:-1]] + np.diff(so).astype(np.uint64)).view(np.int64)
+
+
 def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n_shingles, set_id, segments, sketch`` of every document, set_id null for an empty set."""
+    """``doc_id, row, n_shingles, set_id, segments, sketch`` of every document (doc_id, row, text), set_id null for an empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den, 1)
         for batch in batches:
             for part, raw, off in W.chunks(batch):
-                hashes, _, _, at = W.word_hashes(raw, off)
-                h, so = W.doc_sets(*W.shingle_hashes(hashes, at, n))
+                h, so, ids = set_hashes(raw, off, n)
                 size = np.diff(so)
                 if len(size) and size.max() >= bands.low[-2]:
                     bands = Bands(num, den, int(size.max()) * 2)
@@ -99,15 +109,13 @@ def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 order = np.argsort(own, kind="stable")
                 keys = np.concatenate([keys, more])[order].view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.diff(ko) + np.diff(mo))])
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.scramble(h + np.uint64(n)))])
-                ids = W.scramble(sums[so[1:]] - sums[so[:-1]] + size.astype(np.uint64)).view(np.int64)
                 narrow = []
                 for k in range(len(size)):
                     bits = narrow_bits(int(size[k]), num, den)
                     narrow.append(np.packbits((np.bincount((h[so[k] : so[k + 1]] % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes() if size[k] else b"")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array(ids, mask=size == 0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys)), pa.array(narrow, pa.binary())],
-                    ["doc_id", "n_shingles", "set_id", "segments", "sketch"],
+                    [part.column(0), part.column(1), pa.array(size), pa.array(ids, mask=size == 0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys)), pa.array(narrow, pa.binary())],
+                    ["doc_id", "row", "n_shingles", "set_id", "segments", "sketch"],
                 )
 
     return docs.mapInArrow(sketch, SETS)
@@ -147,76 +155,103 @@ def exact_links(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(test, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``set_id, hashes`` of every document with words."""
+def row_filter(rows: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, in which those of all values of ``row`` are set."""
+    at = F.pmod("row", F.lit(FILTER_BITS))
+    bits = rows.select(F.shiftright(at, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    got = bits.toArrow()  # at most FILTER_BITS / 32 rows
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def shingle_sets(docs: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
+    """``set_id, hashes`` of all documents (row, text) whose row the filter ``wanted`` holds, and few others."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)  # FILTER_BITS bits
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column(0).to_numpy() % FILTER_BITS
+            batch = batch.filter(pa.array((sent.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
             for _, raw, off in W.chunks(batch):
-                hashes, _, _, at = W.word_hashes(raw, off)
-                h, so = W.doc_sets(*W.shingle_hashes(hashes, at, n))
-                size = np.diff(so)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.scramble(h + np.uint64(n)))])
-                ids = W.scramble(sums[so[1:]] - sums[so[:-1]] + size.astype(np.uint64)).view(np.int64)
+                h, so, ids = set_hashes(raw, off, n)
                 lists = pa.ListArray.from_arrays(pa.array(so, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["set_id", "hashes"]).filter(pa.array(size > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["set_id", "hashes"]).filter(pa.array(np.diff(so) > 0))
 
     return docs.mapInArrow(sets, "set_id long, hashes array<long>")
 
 
-def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id, set_id``, a row for each row of ``docs``.
+def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, row, n_shingles, set_id``, and ``set_id, row, doc_id`` of the first document of each set's component.
 
-    Documents link when ``den * |A & B| >= num * |A | B|``; component_id is the smallest doc_id
-    reachable. ``docs`` needs doc_id and text; other columns are ignored. Null texts and texts without
-    words have no shingles and link with nothing; texts of fewer than n words are one shingle. Rows
-    that repeat a doc_id are documents of their own with that id; a null id is never the smallest.
+    Only sets that stand for others or are another's have a row in the latter, if any has.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row"), F.col("text").cast("string"))
     rows = stored(sketches(docs, n, num, den), "sketches")
-    classes = stored(
-        rows.where("set_id is not null").groupBy("set_id").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch"), F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("x")).select("set_id", "x.*"),
-        "classes",
-    )
-    # by both columns, so that the copies of one text are dealt out
-    rep = classes.select(F.col("set_id").alias("own"), F.col("doc_id").alias("rep"))
-    one = rows.join(rep, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("set_id") == F.col("own")))
-    spread = one.select("set_id", F.explode("segments").alias("key"))
-    group = Window.partitionBy("key")
-    spread = spread.withColumn("least", F.min("set_id").over(group)).withColumn("most", F.max("set_id").over(group))
-    buckets = stored(spread.where("least < most").select("key", F.col("set_id").alias("id")).distinct(), "buckets")
-    sets = stored(
-        shingle_sets(docs.join(classes.join(buckets.select(F.col("id").alias("set_id")).distinct(), "set_id", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi"), n).dropDuplicates(["set_id"]),
-        "sets",
-    )
+    order = F.struct(F.coalesce("doc_id", F.lit(LATE)), "row")
+    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min_by(F.struct("doc_id", "row", "n_shingles", "sketch"), order).alias("x"))
+    classes = stored(classes.select("set_id", "x.*"), "classes")
+    # one row's segments for each set, found by row and set, so that the copies of one text are dealt out
+    one = rows.select("row", "set_id", "segments").join(classes.select("row", "set_id"), ["row", "set_id"])
+    buckets = one.select(F.col("set_id").alias("id"), F.explode(F.array_distinct("segments")).alias("key")).distinct()
+    narrow = rows.select("doc_id", "row", "n_shingles", "set_id")
     a, b = (classes.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    h_a, h_b = (sets.select(F.col("set_id").alias(x), F.col("hashes").alias(f"h_{x}")) for x in "ab")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        near = close_sketches(pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "s_a", "s_b"), num, den)
-        return exact_links(near.join(h_b, "b").join(h_a, "a").select("a", "b", "h_a", "h_b"), num, den)
+        near = stored(close_sketches(pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "s_a", "s_b"), num, den), "near")
+        wanted = near.select(F.col("a").alias("set_id")).unionByName(near.select(F.col("b").alias("set_id"))).distinct()
+        sets = shingle_sets(docs.select("row", "text"), row_filter(classes.join(wanted, "set_id")), n)
+        sets = stored(sets.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+        h_a, h_b = (sets.select(F.col("set_id").alias(x), F.col("hashes").alias(f"h_{x}")) for x in "ab")
+        return stored(exact_links(near.join(h_b, "b").join(h_a, "a").select("a", "b", "h_a", "h_b"), num, den), "links", near, sets)
 
     found = bucket_components(buckets, linked)
-    own = classes.select("set_id", "doc_id")
+    own = classes.select("set_id", "doc_id", "row")
     if found is not None:
         own = own.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        own = own.join(least, "component").select("set_id", "component_id")
-    else:
-        own = own.select("set_id", F.col("doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_id").join(own, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_id")
+        first = stored(own.groupBy("component").agg(F.min_by(F.struct("doc_id", "row"), order).alias("first")), "firsts")
+        own = own.select("set_id", "component").join(first, "component").select("set_id", "first.*")
+    return narrow, stored(own, "classes", *([first] if found is not None else []))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's doc_id and text; rows that repeat both share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, a row for each row of ``docs``.
+
+    Documents link when ``den * |A & B| >= num * |A | B|``; component_id is the smallest doc_id
+    reachable. ``docs`` needs doc_id and text; other columns are ignored. Null texts and texts without
+    words have no shingles and link with nothing; texts of fewer than n words are one shingle. Rows
+    that repeat a doc_id are documents of their own with that id; a null id is never the smallest,
+    and component_id is null where all of a component's ids are. An empty table gives no rows.
+    """
+    rows, own = _components(docs, n, num, den)
+    out = rows.join(own.select("set_id", F.col("doc_id").alias("component_id")), "set_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest doc_id; documents without words and null ids stay."""
-    gone = similar_components(docs, n, num, den).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each component: that of the smallest doc_id, a null id coming last.
+
+    It is decided row by row: other rows of an id stay or go by their own texts, and of rows that
+    repeat both id and text one stays. Documents without words link with nothing, and all stay.
+    """
+    rows, own = _components(docs, n, num, den)
+    rows = rows.where("set_id is not null")
+    gone = rows.join(own.select("set_id", F.col("row").alias("first")), "set_id").where("row != first").select("row").distinct()
+    left = docs.select(F.struct("*").alias("doc"), row_key(docs).alias("row")).join(stored(gone, "gone"), "row", "left_anti")
+    again = stored(rows.groupBy("row").count().where("count > 1").select("row"), "again")
+    if again.isEmpty():
+        return left.select("doc.*")
+    return left.join(again, "row", "left_anti").unionByName(left.join(again, "row", "left_semi").dropDuplicates(["row"])).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: components of all documents by 3-word shingles at a similarity of 0.9."""
-    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100).drop("set_id")
+    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
 
 
 QUERIES = {"op2_ngram_jaccard_join": query}

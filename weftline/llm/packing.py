@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from .scratch import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-#: Distinct words that a task remembers with their ids; beyond it, it starts anew.
-REMEMBERED = 1_250_000
+#: Distinct words that a task remembers with their ids, and bytes of them; beyond either, it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 1_250_000, 32 << 20
 #: Pieces of one length that are ranked together.
 RANKED = 10_000
 
@@ -89,12 +90,13 @@ class WordwiseEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[bytes, int] = {}
+        self.bytes = 0
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.first, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, words: list[bytes]) -> None:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
         while self.used + len(flat) > len(self.ids):
@@ -106,11 +108,12 @@ class WordwiseEncoder:
         self.first[at : at + len(n)] = self.used + np.cumsum(n) - n
         self.count[at : at + len(n)] = n
         self.used += len(flat)
-        self.slots.update(zip(hashes, range(at, at + len(n)), strict=True))
+        self.slots.update(zip(words, range(at, at + len(n)), strict=True))
+        self.bytes += sum(map(len, words))
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and n+1 offsets of the texts' ids."""
-        if len(self.slots) > REMEMBERED:
+        if len(self.slots) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self._forget()
         whole, cut = raw.tobytes(), breaks(raw)
         for m in self.special.finditer(whole):
@@ -118,15 +121,13 @@ class WordwiseEncoder:
         mark = np.zeros(len(raw) + 1, bool)
         mark[cut] = mark[off] = True
         edges = np.flatnonzero(mark)
-        start, end = edges[:-1], edges[1:]
-        if not len(start):
+        if len(edges) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        hashes = W.span_hashes(W.prefix(raw, lower=False), start, end).tolist()
-        slots = list(map(self.slots.get, hashes))
+        words = [whole[a:b] for a, b in pairwise(edges.tolist())]
+        slots = list(map(self.slots.get, words))
         if None in slots:
-            new = {h: k for k, (h, slot) in enumerate(zip(hashes, slots)) if slot is None}
-            self._learn(list(new), [whole[start[k] : end[k]].decode() for k in new.values()])
-            slots = list(map(self.slots.__getitem__, hashes))
+            self._learn(list(dict.fromkeys(w for w, slot in zip(words, slots) if slot is None)))
+            slots = list(map(self.slots.__getitem__, words))
         slot = np.array(slots, np.int64)
         n = self.count[slot]
         before = np.concatenate([[0], np.cumsum(n)])
@@ -216,7 +217,7 @@ def pack(cut: DataFrame, most: int = 1024) -> DataFrame:
     cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
     before = cut.groupBy("length", "part").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).drop("count")
     own = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = cut.withColumn("own", own - 1).join(F.broadcast(before) if groups <= 64 else before, ["length", "part"])
+    ranked = cut.withColumn("own", own - 1).join(before, ["length", "part"])
     names = PIECES.replace(",", "").split()[::2]
     ranked = ranked.select(*names, (F.col("before") + F.col("own")).alias("rank"))
     far = 1 << 44

@@ -1,11 +1,12 @@
 """Words, their hashes and shingle hashes of many texts at once, in numpy over Arrow buffers.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z count as a-z. A hash of a word
-is a polynomial over its bytes modulo 2**64, scrambled, so that prefix sums give all of them at once.
+A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z count as a-z. A word's hash mixes
+in its length and eight bytes at a time, for all words together; that of a long one is BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,11 @@ LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUES_LOWER = _VALUES[LOWER]
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 CHUNK = 1 << 20
+#: Spans of more bytes than this are hashed one by one.
+LONG = 128
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,15 +67,29 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK) -> Iter
         a = b
 
 
-def prefix(raw: np.ndarray, lower: bool = True) -> np.ndarray:
-    """Prefix sums of the byte polynomial, one longer than ``raw``."""
+def prefix(raw: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over the bytes modulo 2**64, one longer than ``raw``: for hashes of all windows of one length."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_VALUES_LOWER if lower else _VALUES)[raw] * powers(len(raw))[0][: len(raw)], out=out[1:])
+    np.cumsum(_VALUES[raw] * powers(len(raw))[0][: len(raw)], out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return scramble((sums[end] - sums[start]) * powers(len(sums))[1][start])
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes; different spans of one size up to eight bytes never hash alike."""
+    size = end - start
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    out = scramble(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    for at in range(0, LONG, 8):
+        if not len(live):
+            break
+        left = size[live] - at
+        out[live] = scramble(out[live] ^ (eight[start[live] + at] & _FIRST[np.minimum(left, 8)]))
+        live = live[left > 8]
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def words(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +109,7 @@ def words(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[
 def word_hashes(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of every word in lower case, and n+1 offsets of the texts' words."""
     start, end, at = words(raw, off, space)
-    return span_hashes(prefix(raw), start, end), start, end, at
+    return span_hashes(LOWER[raw], start, end), start, end, at
 
 
 def shingle_hashes(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
