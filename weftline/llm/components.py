@@ -11,9 +11,9 @@ from .scratch import discard, stored
 
 MAX_ROUNDS = 60
 #: Buckets of so many members or fewer, if still mixed, pair all members of different components.
-FEW = 64
+FEW = 32
 #: Turns in which larger buckets pair their members with one member, before they too pair all.
-TURNS = 2
+TURNS = 3
 #: Members of a large bucket that one row's block is paired with.
 BLOCK = 1000
 
@@ -74,54 +74,71 @@ def _joined(forest: DataFrame, new: DataFrame) -> DataFrame:
 def _all_pairs(members: DataFrame) -> DataFrame:
     """Pairs of members of different components of each bucket; those of a large one are dealt to tasks by blocks."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    x = members.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    y = members.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    return x.join(y, ["key", "block"]).where("a < b and c_a != c_b").select("a", "b").distinct()
+    x = members.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("excess").alias("e_a"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    y = members.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("excess").alias("e_b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return x.join(y, ["key", "block"]).where("a < b and c_a != c_b and e_a + e_b <= 0").select("a", "b").distinct()
+
+
+def _buckets(spread: DataFrame) -> DataFrame | None:
+    """``key, n, hub, id`` of every bucket with more than one member; buckets of the same members are one. None without any."""
+    if "excess" not in spread.columns:
+        spread = spread.withColumn("excess", F.lit(0).cast("long"))
+    # singles go first, by as few columns as that takes: they are by far the most
+    ends = spread.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far")
+    ends = stored(ends.select("key", "hub"), "keys")
+    members = stored(spread.join(ends, "key").select("key", "hub", "id", "excess"), "buckets", ends)
+    same = members.groupBy("key", "hub").agg(F.count("*").alias("n"), F.max("id").alias("far"), F.bit_xor(F.xxhash64("id")).alias("all"))
+    keys = stored(same.groupBy("hub", "n", "far", "all").agg(F.min("key").alias("key")).select("key", "n"), "keys")
+    if keys.isEmpty():
+        discard(keys, members)
+        return None
+    return stored(members.join(keys, "key").select("key", "n", "hub", "id", "excess"), "buckets", keys, members)
 
 
-def bucket_components(spread: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def bucket_components(spread: DataFrame, linked: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, int], DataFrame | None] | None = None) -> DataFrame | None:
     """``id, component`` of ids that share a bucket and are linked; None without any bucket.
 
     ``spread`` has rows ``key, id``, an id at most once for each key; ``linked`` takes candidate pairs
-    ``a, b`` and gives a stored table of those that are links. In each bucket (buckets of the same members are one) the
-    members pair with one member. Buckets whose members are then not in one component are taken up
-    again: with FEW members all those of different components pair, larger ones pair with another
-    member for some turns and with all of them in the end. So a bucket of n similar members costs n
-    pairs, and no link between different components is lost.
+    ``a, b`` and gives a stored table of those that are links. In each bucket the members pair with
+    one member. Buckets whose members are then not in one component are taken up again: with FEW
+    members all those of different components pair. In larger ones they pair with another member, for
+    some turns, and in the end with all. Meanwhile ``refine(members, turn)`` may split them into buckets
+    ``key, id, excess`` (a stored table) that hold all of their links; None leaves them as they are.
+    Members whose excesses add up to more than 0 are no link. So a bucket of n similar members costs n pairs, and no link
+    between different components is lost.
     """
-    keys = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("far"), F.bit_xor(F.xxhash64("id")).alias("all"))
-    keys = stored(keys.where("hub < far").groupBy("n", "hub", "far", "all").agg(F.min("key").alias("key")).select("key", "n", "hub"), "keys")
-    if keys.isEmpty():
-        discard(keys)
+    buckets = _buckets(spread)
+    if buckets is None:
         return None
-    buckets = stored(spread.join(keys, "key").select("key", "n", "hub", "id"), "buckets", keys)
     pairs = stored(buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     new = linked(pairs)
     forest = components(new, "a", "b")
     discard(pairs, new)
     for turn in range(1, TURNS + 2):
         own = forest.select("id", "component")
-        members = stored(buckets.join(own, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component")), "members", buckets)
+        members = stored(buckets.join(own, "id", "left").select("key", "n", "id", "excess", F.coalesce("component", "id").alias("component")), "members", buckets)
         order = F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")
-        mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("hub")).where("lo < hi")
-        mixed = stored(mixed.select("key", F.col("hub.id").alias("hub"), F.col("hub.component").alias("c_hub")), "mixed")
+        mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("hub"), F.min("excess").alias("least")).where("lo < hi")
+        mixed = stored(mixed.select("key", "least", F.col("hub.id").alias("hub"), F.col("hub.component").alias("c_hub")), "mixed")
         if mixed.isEmpty():
             discard(mixed, members)
             break
-        members = stored(members.join(mixed, "key"), "members", members, mixed)
-        every = members if turn > TURNS else members.where(F.col("n") <= FEW)
-        pairs = _all_pairs(every)
+        members = stored(members.join(mixed, "key").where("excess + least <= 0"), "members", members, mixed)
+        large = members.where(F.col("n") > FEW)
+        finer = refine(large.select("key", "id"), turn) if refine and turn <= TURNS else None
+        pairs = _all_pairs(members if turn > TURNS else members.where(F.col("n") <= FEW))
         if turn <= TURNS:
-            star = members.where((F.col("n") > FEW) & (F.col("component") != F.col("c_hub")))
+            star = large.where(F.col("component") != F.col("c_hub"))
             pairs = pairs.unionByName(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))).distinct()
         pairs = stored(pairs, "pairs")
         new = linked(pairs)
         forest = _joined(forest, new)
-        discard(pairs)
-        buckets = members.where(F.col("n") > FEW).select("key", "n", "id")
-        last = turn > TURNS or buckets.isEmpty()
-        if last:
-            discard(members, new)
+        discard(pairs, new)
+        if turn > TURNS or large.isEmpty():
+            discard(members)
+            break
+        buckets = _buckets(finer) if finer is not None else stored(large.select("key", "n", "id", "excess"), "buckets")
+        discard(members, *([finer] if finer is not None else []))
+        if buckets is None:
             break
-        buckets = stored(buckets, "buckets", members, new)
     return forest

@@ -8,7 +8,9 @@ band's end in the next one too. Of the m segments, a set gives out the D + 1 tha
 (shingles in it) and content; as that order depends on content alone, similar sets still share one.
 
 Equal segments make candidates; in each group they pair with one member only, and groups whose
-members are not yet linked are taken up again. Candidates pass a Hamming test on narrower sketches,
+members are not yet linked are taken up again. Large ones are split first: by the shingles of their
+members that are rarest among them, as many of each as similar sets must share one of, and by how
+many a member has alone. So a passage that is common to many texts makes no pairs of them. Candidates pass a Hamming test on narrower sketches,
 then their exact sets of shingles.
 """
 
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -103,8 +105,11 @@ def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 if len(size) and size.max() >= bands.low[-2]:
                     bands = Bands(num, den, int(size.max()) * 2)
                 band = np.where(size > 0, bands.of(size), -1)
+                more = np.where((size > 0) & bands.in_next(np.maximum(size, 1)), band + 1, -1)
+                # sets that may not differ at all are equal to those that they are similar to
+                band, more = (np.where((x >= 0) & (bands.differ[x] > 0), x, -1) for x in (band, more))
                 keys, ko = segment_keys(h, so, bands, band)
-                more, mo = segment_keys(h, so, bands, np.where((size > 0) & bands.in_next(np.maximum(size, 1)), band + 1, -1))
+                more, mo = segment_keys(h, so, bands, more)
                 own = np.concatenate([np.repeat(np.arange(len(size)), np.diff(ko)), np.repeat(np.arange(len(size)), np.diff(mo))])
                 order = np.argsort(own, kind="stable")
                 keys = np.concatenate([keys, more])[order].view(np.int64)
@@ -189,29 +194,44 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     docs = docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row"), F.col("text").cast("string"))
     rows = stored(sketches(docs, n, num, den), "sketches")
     order = F.struct(F.coalesce("doc_id", F.lit(LATE)), "row")
-    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min_by(F.struct("doc_id", "row", "n_shingles", "sketch"), order).alias("x"))
+    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min_by(F.struct("doc_id", "row", "n_shingles", "sketch", "segments"), order).alias("x"))
     classes = stored(classes.select("set_id", "x.*"), "classes")
-    # one row's segments for each set, found by row and set, so that the copies of one text are dealt out
-    one = rows.select("row", "set_id", "segments").join(classes.select("row", "set_id"), ["row", "set_id"])
-    buckets = one.select(F.col("set_id").alias("id"), F.explode(F.array_distinct("segments")).alias("key")).distinct()
-    narrow = rows.select("doc_id", "row", "n_shingles", "set_id")
+    rows = stored(rows.select("doc_id", "row", "n_shingles", "set_id"), "rows", rows)
+    spread = classes.select(F.col("set_id").alias("id"), F.explode(F.array_distinct("segments")).alias("key"))
     a, b = (classes.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = stored(close_sketches(pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "s_a", "s_b"), num, den), "near")
-        wanted = near.select(F.col("a").alias("set_id")).unionByName(near.select(F.col("b").alias("set_id"))).distinct()
-        sets = shingle_sets(docs.select("row", "text"), row_filter(classes.join(wanted, "set_id")), n)
-        sets = stored(sets.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+        sets = sets_of(near.select(F.col("a").alias("set_id")).unionByName(near.select(F.col("b").alias("set_id"))).distinct())
         h_a, h_b = (sets.select(F.col("set_id").alias(x), F.col("hashes").alias(f"h_{x}")) for x in "ab")
         return stored(exact_links(near.join(h_b, "b").join(h_a, "a").select("a", "b", "h_a", "h_b"), num, den), "links", near, sets)
 
-    found = bucket_components(buckets, linked)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        found = shingle_sets(docs.select("row", "text"), row_filter(classes.join(wanted, "set_id")), n)
+        return stored(found.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+
+    def refine(members: DataFrame, turn: int) -> DataFrame | None:
+        if turn > 1 or members.isEmpty():
+            return None
+        sets = sets_of(members.select(F.col("id").alias("set_id")).distinct())
+        size = F.size("hashes")
+        # of sets so similar, one can lack at most so many of the other's shingles
+        has = sets.select(F.col("set_id").alias("id"), size.alias("size"), (size - F.ceil(size * num / F.lit(den)) + 1).alias("first"), F.explode("hashes").alias("key"))
+        common = stored(has.groupBy("key").count().where("count > 1"), "common")
+        has = has.join(common, "key", "left").withColumn("count", F.coalesce("count", F.lit(1)))
+        own = Window.partitionBy("id")
+        has = has.withColumn("rank", F.row_number().over(own.orderBy("count", "key"))).withColumn("alone", F.count_if(F.col("count") == 1).over(own))
+        # what no other member has makes each pair differ: it may not be more than the similarity allows
+        excess = F.col("alone") * (den + num) - F.col("size") * (den - num)
+        return stored(has.where("rank <= first and count > 1").select("key", "id", excess.alias("excess")), "rare", sets, common)
+
+    found = bucket_components(spread, linked, refine)
     own = classes.select("set_id", "doc_id", "row")
     if found is not None:
         own = own.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         first = stored(own.groupBy("component").agg(F.min_by(F.struct("doc_id", "row"), order).alias("first")), "firsts")
         own = own.select("set_id", "component").join(first, "component").select("set_id", "first.*")
-    return narrow, stored(own, "classes", *([first] if found is not None else []))
+    return rows, stored(own, "classes", *([first] if found is not None else []))
 
 
 def row_key(docs: DataFrame) -> Column:
