@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import discard, stored
@@ -13,7 +13,7 @@ MAX_ROUNDS = 60
 #: Buckets of so many members or fewer, if still mixed, pair all members of different components.
 FEW = 32
 #: Turns in which larger buckets pair their members with one member, before they too pair all.
-TURNS = 3
+TURNS = 2
 #: Members of a large bucket that one row's block is paired with.
 BLOCK = 1000
 
@@ -95,6 +95,24 @@ def _buckets(spread: DataFrame) -> DataFrame | None:
     return stored(members.join(keys, "key").select("key", "n", "hub", "id", "excess"), "buckets", keys, members)
 
 
+def rare_members(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``key, id, excess`` of sets (``id, set``, distinct values): keys are values of which any two sets share one whose
+    Jaccard similarity is ``num`` / ``den`` or more.
+
+    Of two sets so similar, one can lack at most so many of the other's values: they share one of as many
+    and one more, by any order. The order is that of rarity, so that common values are the last to be
+    keys. What a set has alone makes it differ from all: excesses add up to more than 0 where that is too much.
+    """
+    size = F.size("set")
+    has = sets.select("id", size.alias("size"), (size - F.ceil(size * num / F.lit(den)) + 1).alias("first"), F.explode("set").alias("key"))
+    common = stored(has.groupBy("key").count().where("count > 1"), "common")
+    has = has.join(common, "key", "left").withColumn("count", F.coalesce("count", F.lit(1)))
+    own = Window.partitionBy("id")
+    has = has.withColumn("rank", F.row_number().over(own.orderBy("count", "key"))).withColumn("alone", F.count_if(F.col("count") == 1).over(own))
+    excess = F.col("alone") * (den + num) - F.col("size") * (den - num)
+    return stored(has.where("rank <= first and count > 1").select("key", "id", excess.alias("excess")), "rare", sets, common)
+
+
 def bucket_components(spread: DataFrame, linked: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, int], DataFrame | None] | None = None) -> DataFrame | None:
     """``id, component`` of ids that share a bucket and are linked; None without any bucket.
 

@@ -12,9 +12,10 @@ smallest line number. Lines that are equal are one class before all that.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import bucket_components
@@ -33,7 +34,8 @@ REPEATS, WITHIN = r"(?s)(?=(.{5})).(?=.*\1)", 20
 #: Least hashes of all shingles that estimate the similarity of candidates, and how far an estimate may
 #: be below the wanted one (over three standard deviations) before the exact test is spared.
 SKETCH, BELOW = 48, 0.2
-LATE = (1 << 63) - 1
+#: Over any doc_id; a place has a null one's lines there.
+LATE = Decimal(1 << 63)
 
 
 def normal(line: Column) -> Column:
@@ -58,29 +60,38 @@ def lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, line_no, line`` of every line; line is null if it is too short to compare."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # hashed before lines are taken out, once for each text
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("all")).select("doc_id", "text_hash", F.posexplode("all").alias("line_no", "raw"))
-    return split.select("doc_id", "text_hash", "line_no", normal(F.col("raw")).alias("line")).withColumn("line", F.when(F.length("line") >= SHINGLE, F.col("line")))
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("all"))
+    split = split.select("doc_id", "text_hash", F.posexplode("all").alias("line_no", "raw"))
+    line = normal(F.col("raw"))
+    return split.select("doc_id", "text_hash", "line_no", F.when(F.length(line) >= SHINGLE, line).alias("line"))
 
 
-def signed(found: DataFrame) -> DataFrame:
-    """``lines`` with two hashes of each line and its bands, null for lines that are too short."""
+def place() -> Column:
+    """A line's place as one number that orders lines by document, number and text; a null doc_id comes last."""
+    number = F.col("line_no").cast("long") * F.lit(1 << 32) + F.pmod("text_hash", F.lit(1 << 32))
+    return (F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(LATE)) * F.lit(LATE) + number).cast("decimal(38,0)")
+
+
+def placed(at: Column) -> dict[str, Column]:
+    """The document and the line number of a place."""
+    low = F.pmod(at, F.lit(LATE))
+    doc = ((at - low) / F.lit(LATE)).cast("decimal(20,0)")
+    return {"first_doc_id": F.when(doc < F.lit(LATE), doc.cast("long")), "first_line_no": F.shiftright(low.cast("long"), 32).cast("int")}
+
+
+def signed(classes: DataFrame) -> DataFrame:
+    """``classes`` (with a line) with two hashes of each line and its bands."""
     some = F.regexp_extract_all("line", F.lit(f"(?s) (?=(.{{{AFTER_SPACE[0]}}}))"), 1)
-    out = found.withColumn("some", F.array_distinct(some)).withColumn("n", F.size("some"))
+    out = classes.withColumn("some", F.array_distinct(some)).withColumn("n", F.size("some"))
     brief = (F.length("line") <= BRIEF) | F.substring("line", 1, WITHIN).rlike(REPEATS)
     out = out.withColumn("many", F.when(F.col("n") >= MANY, _least(F.col("some"), AFTER_SPACE[1])))
-    out = out.withColumn("few", F.when((F.col("n") <= FEW) & (F.length("line") >= LONG), _least(shingles(F.col("line"), ANYWHERE[0]), ANYWHERE[1])))
+    few = (F.col("n") <= FEW) & (F.length("line") >= LONG)
+    out = out.withColumn("few", F.when(few, _least(shingles(F.col("line"), ANYWHERE[0]), ANYWHERE[1])))
     out = out.withColumn("short", F.when(brief, _least(shingles(F.col("line")), SHORT[1])))
     ways = (("many", AFTER_SPACE), ("few", ANYWHERE), ("short", SHORT))
     bands = [F.when(F.col(c).isNotNull(), F.array(*_bands(F.col(c), how[1], salt))).otherwise(F.array()) for salt, (c, how) in enumerate(ways)]
-    out = out.withColumn("bands", F.array_compact(F.concat(*bands)))
-    long = F.col("line").isNotNull()
-    return out.select("doc_id", "text_hash", "line_no", F.when(long, F.xxhash64("line")).alias("id"), F.when(long, F.xxhash64(F.lit(1), "line")).alias("check"), F.when(long, F.col("bands")).alias("bands"))
-
-
-def _first(*more: str) -> Column:
-    """The first line of a group, with ``more`` of its columns; a null doc_id comes last."""
-    order = F.struct(F.coalesce("doc_id", F.lit(LATE)).alias("d"), F.col("line_no").alias("l"), F.col("text_hash").alias("t"))
-    return F.min_by(F.struct("doc_id", "text_hash", "line_no", *more), order)
+    out = out.withColumn("bands", F.array_distinct(F.array_compact(F.concat(*bands))))
+    return out.select(*(c for c in classes.columns if c != "line"), "line", "bands")
 
 
 def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -92,47 +103,48 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     repeat a doc_id and its text are one document, whose decisions hold for all of them; a line with
     a null doc_id is kept only where no other document has its like. An empty table gives no rows.
     """
-    every = stored(signed(lines(docs)), "lines")
-    found = every.where("id is not null")
-    classes = stored(found.groupBy("id").agg(_first("check", "bands").alias("x")).select("id", "x.*"), "classes")
-    spread = classes.select("id", F.explode(F.array_distinct("bands")).alias("key"))
-    group = Window.partitionBy("key")
-    spread = spread.withColumn("least", F.min("id").over(group)).withColumn("most", F.max("id").over(group))
-    buckets = stored(spread.where("least < most").select("key", "id"), "buckets")
-    wanted = buckets.select("id").distinct().join(classes.drop("bands"), "id").select("id", F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"))
-    at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("line_no") == F.col("l"))
-    texts = lines(docs).where("line is not null").withColumn("own", F.xxhash64("line")).join(wanted, at & (F.col("own") == F.col("id")))
-    texts = stored(texts.select("id", "line").dropDuplicates(["id"]).withColumn("set", F.array_distinct(shingles(F.col("line")))).select("id", "line", F.size("set").alias("n"), _least(F.col("set"), SKETCH).alias("sketch")), "texts")
+    id_, check = F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check")
+    # equal lines are one class; of lines that have one hash by chance, the first stands for the class and others for themselves
+    classes = lines(docs).where("line is not null").groupBy("line").agg(F.min(place()).alias("place"))
+    classes = stored(signed(classes.select(id_, check, "place", "line")).dropDuplicates(["id"]), "classes")
+    spread = classes.select("id", F.explode("bands").alias("key"))
+
+    def sketched(wanted: DataFrame) -> DataFrame:
+        """Sizes and sketches of the lines of candidate pairs."""
+        own = classes.select("id", "line").join(wanted, "id")
+        own = own.withColumn("set", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))))
+        return stored(own.select("id", F.size("set").alias("n"), F.slice(F.sort_array("set"), 1, SKETCH).alias("sketch")), "line-sketches")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        x, y = (texts.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("sketch").alias(f"k_{i}")) for i in "ab")
+        # sets of such different sizes are not similar enough, whatever they share; most have a shingle for nearly each character
+        found = sketched(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        x, y = (found.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("sketch").alias(f"k_{i}")) for i in "ab")
         near = pairs.join(x, "a").join(y, "b")
-        # sets of such different sizes are not similar enough, whatever they share
         near = near.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
         least = F.slice(F.sort_array(F.array_union("k_a", "k_b")), 1, SKETCH)
         near = near.withColumn("least", least).where(F.size(F.array_intersect(F.array_intersect("least", "k_a"), "k_b")) >= (num / den - BELOW) * F.size("least"))
-        x, y = (texts.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "ab")
-        sets = near.select("a", "b", "n_a", "n_b").join(x, "a").join(y, "b").withColumn("shared", F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b")))))
-        return sets.where(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b")
-
-    components = bucket_components(buckets, linked, dense=(1, 8))
-    own = classes.drop("bands")
-    first = ("first_doc_id", "first_text_hash", "first_line_no")
+        near = stored(near.select("a", "b", "n_a", "n_b"), "near")
+        x, y = (classes.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "ab")
+        shared = F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b"))))
+        sets = near.join(x, "a").join(y, "b").withColumn("shared", shared)
+        alike = F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num
+        return stored(sets.where(alike).select("a", "b"), "links", found, near)
+
+    components = bucket_components(spread, linked)
+    own = classes.select("id", "check", "place")
     if components is not None:
-        with_component = own.join(components, "id")
-        head = with_component.groupBy("component").agg(_first().alias("first"))
-        head = with_component.join(head, "component").select("id", "first")
-        own = own.join(head, "id", "left")
-        own = own.select("id", "check", *(F.when(F.col("first").isNotNull(), F.col(f"first.{c}")).otherwise(F.col(c)).alias(f"first_{c}") for c in ("doc_id", "text_hash", "line_no")))
-    else:
-        own = own.select("id", "check", *(F.col(c.removeprefix("first_")).alias(c) for c in first))
-    out = found.drop("bands").join(own.withColumnRenamed("check", "own_check"), "id")
-    same = F.col("check") == F.col("own_check")  # else two lines have one hash by chance, and the later one stands for itself
-    for c in first:
-        out = out.withColumn(c, F.when(same, F.col(c)).otherwise(F.col(c.removeprefix("first_"))))
-    kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_hash") == F.col("first_text_hash")) & (F.col("line_no") == F.col("first_line_no"))
-    compared = out.select("doc_id", "text_hash", "line_no", "first_doc_id", "first_line_no", kept.alias("kept"))
-    short = every.where("id is null").select("doc_id", "text_hash", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"), F.lit(True).alias("kept"))
+        own = stored(own.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")), "own", components)
+        head = stored(own.groupBy("component").agg(F.min("place").alias("first")), "heads")
+        own = own.join(head, "component").select("id", "check", F.col("first").alias("place"))
+        own = stored(own, "firsts", head)
+    own = own.select("id", F.col("check").alias("own_check"), *(c.alias(k) for k, c in placed(F.col("place")).items()), F.pmod("place", F.lit(1 << 32)).cast("long").alias("first_text"))
+    every = lines(docs).select("doc_id", "text_hash", "line_no", id_, check, F.col("line").isNull().alias("short"))
+    out = every.where("not short").join(own, "id")
+    same = F.col("check") == F.col("own_check")
+    first_doc, first_line = F.when(same, F.col("first_doc_id")).otherwise(F.col("doc_id")), F.when(same, F.col("first_line_no")).otherwise(F.col("line_no"))
+    first = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")) & (F.pmod("text_hash", F.lit(1 << 32)) == F.col("first_text"))
+    compared = out.select("doc_id", "text_hash", "line_no", first_doc.alias("first_doc_id"), first_line.alias("first_line_no"), (first | ~same).alias("kept"))
+    short = every.where("short").select("doc_id", "text_hash", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"), F.lit(True).alias("kept"))
     return compared.unionByName(short)
 
 

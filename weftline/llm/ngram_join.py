@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .components import bucket_components
+from .components import bucket_components, rare_members
 from .scratch import stored
 
 SETS = "doc_id long, row long, n_shingles long, set_id long, segments array<long>, sketch binary"
@@ -214,16 +214,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
         if turn > 1 or members.isEmpty():
             return None
         sets = sets_of(members.select(F.col("id").alias("set_id")).distinct())
-        size = F.size("hashes")
-        # of sets so similar, one can lack at most so many of the other's shingles
-        has = sets.select(F.col("set_id").alias("id"), size.alias("size"), (size - F.ceil(size * num / F.lit(den)) + 1).alias("first"), F.explode("hashes").alias("key"))
-        common = stored(has.groupBy("key").count().where("count > 1"), "common")
-        has = has.join(common, "key", "left").withColumn("count", F.coalesce("count", F.lit(1)))
-        own = Window.partitionBy("id")
-        has = has.withColumn("rank", F.row_number().over(own.orderBy("count", "key"))).withColumn("alone", F.count_if(F.col("count") == 1).over(own))
-        # what no other member has makes each pair differ: it may not be more than the similarity allows
-        excess = F.col("alone") * (den + num) - F.col("size") * (den - num)
-        return stored(has.where("rank <= first and count > 1").select("key", "id", excess.alias("excess")), "rare", sets, common)
+        return rare_members(sets.select(F.col("set_id").alias("id"), F.col("hashes").alias("set")), num, den)
 
     found = bucket_components(spread, linked, refine)
     own = classes.select("set_id", "doc_id", "row")
