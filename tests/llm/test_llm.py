@@ -343,7 +343,9 @@ def test_suffix_dedup_equals_brute_force(spark, table):
     rng = np.random.default_rng(5)
     passage = "".join(rng.choice(list("abcdefg "), 300))
     extra = [passage, "x" + passage[50:260], "ab" * 400, passage[:99], "é☃" * 80, passage[100:] + passage[:150]]
-    docs = table("documents").limit(60).unionByName(docs_of(spark, extra, 10_000))
+    licence = "".join(rng.choice(list("hijklm "), 240))
+    extra += [f"{k}{licence}{k}" for k in range(30)]  # one passage in very many documents, in several blocks
+    docs = table("documents").limit(60).unionByName(docs_of(spark, extra, 10_000)).repartition(3)
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(docs).collect()}
     seen = set()
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
