@@ -86,7 +86,7 @@ def _buckets(spread: DataFrame) -> DataFrame | None:
     # singles go first, by as few columns as that takes: they are by far the most
     ends = spread.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far")
     ends = stored(ends.select("key", "hub"), "keys")
-    members = stored(spread.join(ends, "key").select("key", "hub", "id", "excess"), "buckets", ends)
+    members = stored(spread.join(ends, "key").select("key", "hub", "id", "excess").distinct(), "buckets", ends)
     same = members.groupBy("key", "hub").agg(F.count("*").alias("n"), F.max("id").alias("far"), F.bit_xor(F.xxhash64("id")).alias("all"))
     keys = stored(same.groupBy("hub", "n", "far", "all").agg(F.min("key").alias("key")).select("key", "n"), "keys")
     if keys.isEmpty():
@@ -116,7 +116,7 @@ def rare_members(sets: DataFrame, num: int, den: int) -> DataFrame:
 def bucket_components(spread: DataFrame, linked: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, int], DataFrame | None] | None = None) -> DataFrame | None:
     """``id, component`` of ids that share a bucket and are linked; None without any bucket.
 
-    ``spread`` has rows ``key, id``, an id at most once for each key; ``linked`` takes candidate pairs
+    ``spread`` has rows ``key, id``, which may repeat; ``linked`` takes candidate pairs
     ``a, b`` and gives a stored table of those that are links. In each bucket the members pair with
     one member. Buckets whose members are then not in one component are taken up again: with FEW
     members all those of different components pair. In larger ones they pair with another member, for

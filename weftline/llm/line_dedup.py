@@ -1,69 +1,228 @@
-"""Fuzzy line dedup by MinHash, in DataFrame functions alone.
+"""Fuzzy line dedup by MinHash.
 
 Lines are compared in lower case and trimmed, as sets of their five-character shingles. The signature
-of a line is a bottom-k MinHash: the least hashes of a sample of its longer character shingles, those
-that follow a space; each two of them make a band, and lines that share a band are candidates. A
-line of few words is signed by shingles from every place, and a short one by those that are compared;
-one in between is signed in both ways, so that lines on either side of a border meet. Candidates are
-verified by the exact Jaccard similarity of their sets, links are joined to components by distributed
-union-find, and the first line of each component is kept: that of the smallest document, then the
-smallest line number. Lines that are equal are one class before all that.
+of a line is a bottom-k MinHash: the least hashes of its longer character shingles, those that follow
+a space; each two of them make a band, and lines that share a band are candidates. A line of few words
+is signed by shingles from every place, and a short one by those that are compared; one in between is
+signed in both ways, so that lines on either side of a border meet. An exact bound, how many bits of
+the candidates' shingle maps differ, goes before the exact Jaccard similarity of their sets; links are
+joined to components by distributed union-find, and the first line of each component is kept: that of
+the smallest document, then the smallest line number. Lines that are equal are one class before all that.
+
+Lines are split and signed in numpy over Arrow batches: in DataFrame functions alone, hashing shingles
+cost more than twice what the operator may (README).
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from decimal import Decimal
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
 from .components import bucket_components
 from .scratch import stored
 
 SHINGLE = 5
-#: (characters of the shingles that sign a line, least hashes of them) after spaces, and from every place.
-AFTER_SPACE, ANYWHERE, SHORT = (11, 5), (8, 6), (SHINGLE, 6)
+#: Least hashes that sign a line: of 11-character shingles after spaces, of 8-character ones, of those that are compared.
+AFTER_SPACE, ANYWHERE, SHORT = 5, 6, 6
 #: Lines with up to FEW distinct shingles after spaces are signed from every place, with MANY or more after spaces.
 FEW, MANY = 8, 5
-#: Lines of this many characters or more are signed by ANYWHERE's shingles, up to that many by SHORT's.
+#: Lines of this many characters or more are signed by 8-character shingles, up to that many by those that are compared.
 LONG, BRIEF = 16, 24
-#: A longer line is signed by SHORT's too if one of its shingles repeats in its first characters: rules of
-#: dashes have few shingles at any length. Without that, it has more than a line under LONG can be similar to.
-REPEATS, WITHIN = r"(?s)(?=(.{5})).(?=.*\1)", 20
-#: Least hashes of all shingles that estimate the similarity of candidates, and how far an estimate may
-#: be below the wanted one (over three standard deviations) before the exact test is spared.
-SKETCH, BELOW = 48, 0.2
+#: A longer line is signed by the latter too if one of its first so many shingles repeats: rules of dashes
+#: have few shingles at any length. Without that, it has more than a line under LONG can be similar to.
+WITHIN = 16
+#: Bits of a line's shingle map.
+MAP_BITS = 1024
+NO_HASH = np.uint64((1 << 64) - 1)
+#: Characters that are signed together.
+PART = 1 << 18
 #: Over any doc_id; a place has a null one's lines there.
 LATE = Decimal(1 << 63)
+LINES = "doc_id long, text_hash long, line_no int, id long, check long, line string, bands array<long>"
+
+
+def normal(line: str) -> str:
+    return line.rstrip("\r").strip(" ").lower()
+
+
+def bottom(h: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` least distinct hashes of every line, ascending, then NO_HASH; ``count`` is each line's number of hashes."""
+    out = np.full((len(count), k), NO_HASH)
+    some = np.flatnonzero(count)
+    if len(some):
+        start, h = (np.cumsum(count) - count)[some], h.copy()
+        for j in range(k):
+            least = np.minimum.reduceat(h, start)
+            out[some, j] = least
+            h[h == np.repeat(least, count[some])] = NO_HASH
+    return out
+
+
+def pair_bands(least: np.ndarray, salt: int) -> np.ndarray:
+    """A key for each two hashes of a line, or for its only one; 0 for none."""
+    first = W.scramble(least + np.uint64(salt))
+    keys = [np.where(least[:, j] == NO_HASH, 0, W.scramble(first[:, i] ^ least[:, j])) for i, j in combinations(range(least.shape[1]), 2)]
+    return np.stack([*keys, np.where((least[:, 0] != NO_HASH) & (least[:, 1] == NO_HASH), first[:, 0], 0)], axis=1)
+
+
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All characters, hashes of the SHINGLE characters from each place on, and each line's first place and size."""
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    start = np.cumsum(size) - size
+    a = chars[:-4] | chars[1:-3] << np.uint64(21) | chars[2:-2] << np.uint64(42)
+    h = W.scramble(W.scramble(a) ^ (chars[3:-1] | chars[4:] << np.uint64(21)))
+    return chars, h, start, size
+
+
+def maps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Every line's number of distinct shingles, and a bit for each of their hashes modulo MAP_BITS."""
+    _, h, start, size = shingles(lines)
+    n = size - SHINGLE + 1
+    owner = np.repeat(np.arange(len(lines)), n)
+    h = h[np.arange(len(owner)) + np.repeat(start - (np.cumsum(n) - n), n)]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    bits = np.zeros((len(lines), MAP_BITS), bool)
+    bits[owner, (h & np.uint64(MAP_BITS - 1)).astype(np.int64)] = True
+    return np.bincount(owner[new], minlength=len(lines)), np.packbits(bits, axis=1)
+
+
+def mapped(lines: DataFrame) -> DataFrame:
+    """``id, line, n, map`` of ``id, line``."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, *_ in W.chunks(batch, "line", PART):
+                n, bits = maps(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int32()), pa.array([x.tobytes() for x in bits], pa.binary())], ["id", "line", "n", "map"])
+
+    return lines.mapInArrow(add, "id long, line string, n int, map binary")
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """The bands of every line (0: none); all lines have SHINGLE characters or more."""
+    chars, h, start, size = shingles(lines)
+
+    def places(which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all shingles of some lines, and each line's number of them."""
+        n = np.maximum(size[which] - width + 1, 0)
+        return np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
+
+    n = size - SHINGLE + 1
+    # shingles of 11 characters that follow a space
+    after = np.flatnonzero(chars[:-1] == 0x20) + 1
+    of = np.searchsorted(start, after, "right") - 1
+    inside = (after > start[of]) & (after + 11 <= start[of] + size[of])
+    after, of = after[inside], of[inside]
+    wide = W.scramble(W.scramble(h[after] + h[after + 5] * np.uint64(3)) ^ h[after + 6])
+    least = bottom(wide, np.bincount(of, minlength=len(lines)), FEW + 1)
+    distinct = (least != NO_HASH).sum(axis=1)
+    out = [pair_bands(np.where((distinct >= MANY)[:, None], least[:, :AFTER_SPACE], NO_HASH), 1)]
+    head = np.full((len(lines), WITHIN), NO_HASH)
+    for k in range(WITHIN):
+        has = np.flatnonzero(n > k)
+        head[has, k] = h[start[has] + k]
+    head.sort(axis=1)
+    again = ((head[:, 1:] == head[:, :-1]) & (head[:, 1:] != NO_HASH)).any(axis=1)
+    for salt, width, which, k in ((2, 8, (distinct <= FEW) & (size >= LONG), ANYWHERE), (3, SHINGLE, (size <= BRIEF) | again, SHORT)):
+        own = np.flatnonzero(which)
+        at, n = places(own, width)
+        x = h[at] if width == SHINGLE else W.scramble(h[at] + h[at + 3] * np.uint64(5))
+        found = np.full((len(lines), k), NO_HASH)
+        found[own] = bottom(x, n, k)
+        out.append(pair_bands(found, salt))
+    return np.concatenate(out, axis=1)
+
+
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """LINES of all documents (doc_id, text_hash, text); what follows line_no is null or empty for lines under SHINGLE characters."""
+
+    def rows_of(place: list[tuple], lines: list[str]) -> pa.RecordBatch:
+        long = np.fromiter((len(x) >= SHINGLE for x in lines), bool, len(lines))
+        some = [x for x in lines if len(x) >= SHINGLE]
+        doc, text, number = zip(*place, strict=True)
+        digests = b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in some)
+        own = np.frombuffer(digests, np.int64).reshape(-1, 2)
+        keys = signatures(some) if some else np.zeros((0, 1), np.uint64)
+        has = keys != 0
+        count = np.zeros(len(lines), np.int64)
+        count[long] = has.sum(axis=1)
+        at = np.full(len(lines), -1, np.int64)
+        at[long] = np.arange(len(some))
+        take = pa.array(at, mask=~long)
+        column = lambda x: pa.array(x).take(take)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(number, pa.int32()), column(own[:, 0].copy()), column(own[:, 1].copy()),
+                pa.array(some, pa.string()).take(take),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(keys[has].view(np.int64))),
+            ],
+            [x.split()[0] for x in LINES.split(", ")],
+        )
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, lines, n = [], [], 0
+        for batch in batches:
+            for doc, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text is None:
+                    continue
+                for k, line in enumerate(text.split("\n")):
+                    place.append((doc, text_hash, k))
+                    lines.append(normal(line))
+                    n += len(line) + 8
+                    if n >= PART:
+                        yield rows_of(place, lines)
+                        place, lines, n = [], [], 0
+        if place:
+            yield rows_of(place, lines)
+
+    return docs.mapInArrow(sign, LINES)
+
+
+def close_maps(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of rows ``a, b, n_a, n_b, map_a, map_b``, the pairs ``a, b`` whose sizes and maps allow the similarity.
+
+    Every bit that differs takes a shingle that only one line has.
+    """
 
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5))
+            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=1), np.abs(n - m))
+            keep = pa.array(apart * (den + num) <= (n + m) * (den - num))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
 
-def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.rtrim(line, F.lit("\r"))))
-
-
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """All character shingles, repeats included; a lookahead takes them from every place in one pass."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
-
-
-def _least(found: Column, n: int) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))), 1, n)
+    return pairs.mapInArrow(test, "a long, b long")
 
 
-def _bands(least: Column, n: int, salt: int) -> list[Column]:
-    pairs = [F.when(F.size(least) > j, F.xxhash64(F.lit(salt), F.get(least, F.lit(i)), F.get(least, F.lit(j)))) for i, j in combinations(range(n), 2)]
-    return [*pairs, F.when(F.size(least) == 1, F.xxhash64(F.lit(salt), F.get(least, F.lit(0))))]
+def similar_lines(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of rows ``a, b, line_a, line_b``, the pairs ``a, b`` of similar lines."""
 
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = lambda line: {line[k : k + SHINGLE] for k in range(len(line) - SHINGLE + 1)}
+        for batch in batches:
+            keep, last, x = [], None, set()
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if a != last:
+                    last, x = a, parts(a)
+                y = parts(b)
+                both = len(x & y)
+                keep.append(both * den >= (len(x) + len(y) - both) * num)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-def lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, line_no, line`` of every line; line is null if it is too short to compare."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # hashed before lines are taken out, once for each text
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("all"))
-    split = split.select("doc_id", "text_hash", F.posexplode("all").alias("line_no", "raw"))
-    line = normal(F.col("raw"))
-    return split.select("doc_id", "text_hash", "line_no", F.when(F.length(line) >= SHINGLE, line).alias("line"))
+    return pairs.mapInArrow(test, "a long, b long")
 
 
 def place() -> Column:
@@ -72,28 +231,6 @@ def place() -> Column:
     return (F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(LATE)) * F.lit(LATE) + number).cast("decimal(38,0)")
 
 
-def placed(at: Column) -> dict[str, Column]:
-    """The document and the line number of a place."""
-    low = F.pmod(at, F.lit(LATE))
-    doc = ((at - low) / F.lit(LATE)).cast("decimal(20,0)")
-    return {"first_doc_id": F.when(doc < F.lit(LATE), doc.cast("long")), "first_line_no": F.shiftright(low.cast("long"), 32).cast("int")}
-
-
-def signed(classes: DataFrame) -> DataFrame:
-    """``classes`` (with a line) with two hashes of each line and its bands."""
-    some = F.regexp_extract_all("line", F.lit(f"(?s) (?=(.{{{AFTER_SPACE[0]}}}))"), 1)
-    out = classes.withColumn("some", F.array_distinct(some)).withColumn("n", F.size("some"))
-    brief = (F.length("line") <= BRIEF) | F.substring("line", 1, WITHIN).rlike(REPEATS)
-    out = out.withColumn("many", F.when(F.col("n") >= MANY, _least(F.col("some"), AFTER_SPACE[1])))
-    few = (F.col("n") <= FEW) & (F.length("line") >= LONG)
-    out = out.withColumn("few", F.when(few, _least(shingles(F.col("line"), ANYWHERE[0]), ANYWHERE[1])))
-    out = out.withColumn("short", F.when(brief, _least(shingles(F.col("line")), SHORT[1])))
-    ways = (("many", AFTER_SPACE), ("few", ANYWHERE), ("short", SHORT))
-    bands = [F.when(F.col(c).isNotNull(), F.array(*_bands(F.col(c), how[1], salt))).otherwise(F.array()) for salt, (c, how) in enumerate(ways)]
-    out = out.withColumn("bands", F.array_distinct(F.array_compact(F.concat(*bands))))
-    return out.select(*(c for c in classes.columns if c != "line"), "line", "bands")
-
-
 def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, text_hash, line_no, first_doc_id, first_line_no, kept``: every line with the first line of its component.
 
@@ -103,49 +240,36 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     repeat a doc_id and its text are one document, whose decisions hold for all of them; a line with
     a null doc_id is kept only where no other document has its like. An empty table gives no rows.
     """
-    id_, check = F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check")
-    # equal lines are one class; of lines that have one hash by chance, the first stands for the class and others for themselves
-    classes = lines(docs).where("line is not null").groupBy("line").agg(F.min(place()).alias("place"))
-    classes = stored(signed(classes.select(id_, check, "place", "line")).dropDuplicates(["id"]), "classes")
-    spread = classes.select("id", F.explode("bands").alias("key"))
-
-    def sketched(wanted: DataFrame) -> DataFrame:
-        """Sizes and sketches of the lines of candidate pairs."""
-        own = classes.select("id", "line").join(wanted, "id")
-        own = own.withColumn("set", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))))
-        return stored(own.select("id", F.size("set").alias("n"), F.slice(F.sort_array("set"), 1, SKETCH).alias("sketch")), "line-sketches")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    every = stored(signed_lines(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")), "lines")
+    compared = every.where("id is not null")
+    spread = compared.select("id", F.explode("bands").alias("key"))
+    texts = compared.select("id", "line")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        # sets of such different sizes are not similar enough, whatever they share; most have a shingle for nearly each character
-        found = sketched(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-        x, y = (found.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("sketch").alias(f"k_{i}")) for i in "ab")
-        near = pairs.join(x, "a").join(y, "b")
-        near = near.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-        least = F.slice(F.sort_array(F.array_union("k_a", "k_b")), 1, SKETCH)
-        near = near.withColumn("least", least).where(F.size(F.array_intersect(F.array_intersect("least", "k_a"), "k_b")) >= (num / den - BELOW) * F.size("least"))
-        near = stored(near.select("a", "b", "n_a", "n_b"), "near")
-        x, y = (classes.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "ab")
-        shared = F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b"))))
-        sets = near.join(x, "a").join(y, "b").withColumn("shared", shared)
-        alike = F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num
-        return stored(sets.where(alike).select("a", "b"), "links", found, near)
+        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        own = stored(mapped(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "wanted")
+        x, y = (own.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("map").alias(f"map_{i}")) for i in "ab")
+        near = stored(close_maps(pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b"), num, den), "near")
+        x, y = (own.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "ab")
+        return stored(similar_lines(near.join(y, "b").join(x, "a").select("a", "b", "line_a", "line_b"), num, den), "links", own, near)
 
     components = bucket_components(spread, linked)
-    own = classes.select("id", "check", "place")
+    every = stored(every.select("doc_id", "text_hash", "line_no", "id", "check"), "places", every)
+    own = every.where("id is not null").groupBy("id", "check").agg(F.min(place()).alias("place"))
     if components is not None:
         own = stored(own.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")), "own", components)
-        head = stored(own.groupBy("component").agg(F.min("place").alias("first")), "heads")
-        own = own.join(head, "component").select("id", "check", F.col("first").alias("place"))
-        own = stored(own, "firsts", head)
-    own = own.select("id", F.col("check").alias("own_check"), *(c.alias(k) for k, c in placed(F.col("place")).items()), F.pmod("place", F.lit(1 << 32)).cast("long").alias("first_text"))
-    every = lines(docs).select("doc_id", "text_hash", "line_no", id_, check, F.col("line").isNull().alias("short"))
-    out = every.where("not short").join(own, "id")
-    same = F.col("check") == F.col("own_check")
-    first_doc, first_line = F.when(same, F.col("first_doc_id")).otherwise(F.col("doc_id")), F.when(same, F.col("first_line_no")).otherwise(F.col("line_no"))
-    first = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")) & (F.pmod("text_hash", F.lit(1 << 32)) == F.col("first_text"))
-    compared = out.select("doc_id", "text_hash", "line_no", first_doc.alias("first_doc_id"), first_line.alias("first_line_no"), (first | ~same).alias("kept"))
-    short = every.where("short").select("doc_id", "text_hash", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"), F.lit(True).alias("kept"))
-    return compared.unionByName(short)
+        head = stored(own.groupBy("component").agg(F.min("place").alias("place")), "heads")
+        own = stored(own.select("id", "check", "component").join(head, "component").select("id", "check", "place"), "firsts", own, head)
+    low = F.pmod("place", F.lit(LATE))
+    doc = ((F.col("place") - low) / F.lit(LATE)).cast("decimal(20,0)")
+    own = own.select("id", "check", F.when(doc < F.lit(LATE), doc.cast("long")).alias("d"), low.cast("long").alias("low"))
+    own = own.select("id", "check", "d", F.shiftright("low", 32).cast("int").alias("l"), (F.col("low") % F.lit(1 << 32)).alias("t"))
+    first = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")) & (F.pmod("text_hash", F.lit(1 << 32)) == F.col("t"))
+    out = every.where("id is not null").join(own, ["id", "check"])
+    out = out.select("doc_id", "text_hash", "line_no", F.col("d").alias("first_doc_id"), F.col("l").alias("first_line_no"), first.alias("kept"))
+    short = every.where("id is null").select("doc_id", "text_hash", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"), F.lit(True).alias("kept"))
+    return out.unionByName(short)
 
 
 def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
