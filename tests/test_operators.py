@@ -1,3 +1,5 @@
+import random
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -28,14 +30,21 @@ def test_calendar_values(spark):
     assert [tuple(r) for r in df.select(cal.week_num(F.col("d")), wednesday(F.col("d"))).collect()] == [(104, date(2020, 9, 16)), (103, date(2020, 9, 9)), (104, date(2020, 9, 16))]
 
 
-UNITS = [(1, 1)] * 3 + [(1, 2)] * 2 + [(1, 3)] + [(2, 2)] * 3 + [(2, 3)] + [(3, 1), (3, 2)] + [(4, 3)] * 2
+def sales(seed, n=150, weeks=6, items=7):
+    """Generated purchases ``(customer, week, item, price, channel)``."""
+    rng = random.Random(seed)
+    return [(rng.randrange(20), rng.randrange(1, weeks + 1), rng.randrange(items) + 50, rng.choice([4.0, 7.5, 8.0]), rng.choice([1, 2])) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("window", "k", "want"), [(1, 2, [[1, 2], [2, 3], [1, 2], [3, 1]]), (2, 2, [[1, 2], [2, 1], [2, 1], [3, 1]]), (2, 3, [[1, 2, 3], [2, 1, 3], [2, 1, 3], [3, 1, 2]])])
-def test_rolling_popularity(spark, window, k, want):
-    log = frame(spark, UNITS, "week_num int, article_id int")
+@pytest.mark.parametrize(("window", "k"), [(1, 2), (2, 3), (4, 20)])
+def test_rolling_popularity_equals_counting(spark, window, k):
+    rows = [r for r in sales(1) if r[1] != 3]  # a week without sales
+    log = frame(spark, rows, LOG)
+    items = sorted({a for _, _, a, *_ in rows})
     found = popularity.rolling_popular_items(log, window, k).orderBy("week_num", "place").collect()
-    assert [[r.article_id for r in found if r.week_num == w] for w in (1, 2, 3, 4)] == want
+    for week in range(1, 7):
+        sold = Counter(a for _, w, a, *_ in rows if week - window < w <= week)
+        assert [r.article_id for r in found if r.week_num == week] == sorted(items, key=lambda a: (-sold[a], a))[:k]
     sums = log.groupBy("week_num", "article_id").agg(F.count("*").alias("q"))
     assert got(popularity.rolling_popular_items(sums, window, k, value="q"), "week_num", "article_id", "place") == got(popularity.rolling_popular_items(log, window, k), "week_num", "article_id", "place")
 
@@ -43,56 +52,66 @@ def test_rolling_popularity(spark, window, k, want):
 def test_rolling_popularity_edges(spark):
     with pytest.raises(ValueError):
         popularity.rolling_popular_items(frame(spark, [], "week_num int, article_id int"), 2, 2)
-    gaps = frame(spark, [(1, 1), (1, 2), (3, 3), (3, 1), (5, 2)], "week_num int, article_id int")
-    assert {r.week_num for r in popularity.rolling_popular_items(gaps, 2, 2).collect()} == {1, 2, 3, 4, 5}
-
-
-WEEKLY = list(zip([1, 1, 1, 1, 2, 2, 2, 2], [1, 1, 2, 3, 1, 2, 2, 3], [10.0, 15, 20, 30, 15, 25, 35, 35], [1, 1, 2, 1, 1, 2, 1, 1]))
-
-
-def test_weekly_popularity_and_stats(spark):
-    log = frame(spark, [(w, a, float(p), c) for w, a, p, c in WEEKLY], "week_num int, article_id int, price double, sales_channel_id int")
-    assert got(popularity.weekly_popular_items(log, 2), "week_num", "article_id", "bestseller_rank") == [(1, 1, 1.0), (1, 2, 2.0), (2, 1, 2.0), (2, 2, 1.0)]
-    assert got(popularity.item_week_stats(log), "week_num", "article_id", "count", "avg_price", "mode_sales_channel_id") == [(1, 1, 2, 12.5, 1), (1, 2, 1, 20.0, 2), (1, 3, 1, 30.0, 1), (2, 1, 1, 15.0, 1), (2, 2, 2, 30.0, 1), (2, 3, 1, 35.0, 1)]
-
-
-def test_popularity_samples(spark):
-    pairs = frame(spark, [(1, 1), (1, 2), (2, 1)], "customer_id int, week_num int")
-    popular = frame(spark, [(0, 1, 1.0), (0, 2, 2.0), (1, 2, 1.0), (1, 3, 2.0), (2, 1, 1.0), (2, 3, 2.0)], "week_num int, article_id int, bestseller_rank double")
-    stats = frame(spark, [(0, 1, 10.0, 1), (0, 2, 20.0, 2), (1, 2, 30.0, 1), (1, 3, 40.0, 2)], "week_num int, article_id int, avg_price double, mode_sales_channel_id int")
-    found = got(popularity.popularity_samples(pairs, popular, stats), "customer_id", "week_num", "article_id", "price", "sales_channel_id")
-    assert found == [(1, 1, 1, 10.0, 1), (1, 1, 2, 20.0, 2), (1, 2, 2, 30.0, 1), (1, 2, 3, 40.0, 2), (2, 1, 1, 10.0, 1), (2, 1, 2, 20.0, 2)]
+    with pytest.raises(ValueError):
+        popularity.rolling_popular_items(frame(spark, [(7, 5, -1)], "week_num int, article_id int, q int"), 2, 2, value="q")
 
 
-HISTORY = [(1, 0, 100, 5.0, 2), (1, 1, 101, 10.0, 1), (1, 2, 102, 20.0, 2), (1, 4, 103, 30.0, 1), (2, 1, 201, 15.0, 1), (2, 3, 202, 25.0, 2), (3, 2, 301, 35.0, 1)]
 LOG = "customer_id int, week_num int, article_id int, price double, sales_channel_id int"
 
 
-def test_repurchase(spark):
-    log = frame(spark, HISTORY, LOG)
-    moved = repurchase.repurchase_samples(log, "last_purchase", 0, 100, default_week=100)
-    assert got(moved, "article_id", "week_num") == [(100, 1), (101, 2), (102, 4), (103, 100), (201, 3), (202, 100), (301, 100)]
-    latest = repurchase.repurchase_samples(log, "last_k_items", 1, 4, k=2)
-    want = [(1, 1, 100), (1, 2, 100), (1, 2, 101), (1, 3, 101), (1, 3, 102), (1, 4, 101), (1, 4, 102), (2, 2, 201), (2, 3, 201), (2, 4, 201), (2, 4, 202), (3, 3, 301), (3, 4, 301)]
-    assert got(latest, "customer_id", "week_num", "article_id") == want
-    assert repurchase.of_customers(log, []).count() == 0 and repurchase.of_customers(log).count() == 7
+def test_weekly_popularity_and_stats_equal_counting(spark):
+    rows = sales(2)
+    log = frame(spark, rows, LOG)
+    ranked, stats = [], []
+    for week in range(1, 7):
+        sold = Counter(a for _, w, a, *_ in rows if w == week)
+        levels = sorted(set(sold.values()), reverse=True)
+        ranked += [(week, a, levels.index(sold[a]) + 1.0) for a in sorted(sold, key=lambda a: (-sold[a], a))[:3]]
+        for a, n in sold.items():
+            own = [r for r in rows if r[1:3] == (week, a)]
+            channels = Counter(r[4] for r in own)
+            stats.append((week, a, n, pytest.approx(sum(r[3] for r in own) / n), min(channels, key=lambda c: (-channels[c], c))))
+    assert got(popularity.weekly_popular_items(log, 3), "week_num", "article_id", "bestseller_rank") == sorted(ranked)
+    found = got(popularity.item_week_stats(log), "week_num", "article_id", "count", "avg_price", "mode_sales_channel_id")
+    assert found == sorted(stats, key=lambda r: r[:2])
+
+
+def test_popularity_samples_take_the_week_before(spark):
+    pairs = frame(spark, [(8, 21), (8, 21), (9, 22), (9, 40)], "customer_id int, week_num int")
+    popular = frame(spark, [(20, 71, 1.0), (21, 72, 1.0), (21, 73, 2.0), (22, 74, 1.0)], "week_num int, article_id int, bestseller_rank double")
+    stats = frame(spark, [(20, 71, 2.5, 2), (21, 72, 3.5, 1)], "week_num int, article_id int, avg_price double, mode_sales_channel_id int")
+    found = popularity.popularity_samples(pairs, popular, stats).select("customer_id", "week_num", "article_id", "price", "sales_channel_id")
+    assert {tuple(r) for r in found.collect()} == {(8, 21, 71, 2.5, 2), (9, 22, 72, 3.5, 1), (9, 22, 73, None, None)} and found.count() == 3
+
+
+def test_repurchase_equals_a_walk_over_weeks(spark):
+    rows = sales(3, 60)
+    log = frame(spark, rows, LOG)
+    moved = []
+    for c, w, a, *_ in rows:
+        moved.append((c, min((x for d, x, *_ in rows if d == c and x > w), default=50), a))
+    found = repurchase.repurchase_samples(log, "last_purchase", 0, 60, default_week=50)
+    assert got(found, "customer_id", "week_num", "article_id") == sorted(moved)
+    latest = []
+    for week in range(2, 9):
+        for c in range(20):
+            own = sorted({(-w, a) for d, w, a, *_ in rows if d == c and w < week})[:3]
+            latest += [(c, week, a) for _, a in own]
+    found = repurchase.repurchase_samples(log, "last_k_items", 2, 8, k=3)
+    assert got(found, "customer_id", "week_num", "article_id") == sorted(latest)
+    assert repurchase.of_customers(log, []).count() == 0 and repurchase.of_customers(log).count() == 60
     with pytest.raises(ValueError):
         repurchase.repurchase_samples(log, "other", 0, 1)
     with pytest.raises(ValueError):
         repurchase.repurchase_samples(log.drop("price"), "last_purchase", 0, 1)
 
 
-def test_last_k_of_one_week(spark):
-    log = frame(spark, [(1, 1, 100, 1.0, 1), (1, 1, 101, 1.0, 1), (1, 1, 102, 1.0, 1)], LOG)
-    assert got(repurchase.last_k_items(log, 2, 2, 2), "article_id") == [(100,), (101,)]
-
-
 def test_combined_samples(spark):
     schema = "customer_id int, week_num int, article_id int, price double, sales_channel_id int, source string"
-    a = frame(spark, [(1, 12, 101, 1.0, 1, "popularity"), (1, 12, 102, 1.0, 1, "popularity"), (2, 12, 201, 1.0, 1, "popularity")], schema)
-    b = frame(spark, [(1, 12, 101, 9.0, 1, "repurchase"), (2, 12, 201, 9.0, 1, "repurchase"), (3, 12, 302, 9.0, 1, "repurchase")], schema)
-    log = frame(spark, [(1, 12, 102, 1.0, 1), (3, 12, 302, 1.0, 1)], LOG)
-    assert got(O.combined_samples(log, [a, b]), "customer_id", "article_id", "source") == [(1, 101, "popularity"), (2, 201, "popularity")]
+    a = frame(spark, [(4, 30, 61, 1.0, 1, "popularity"), (4, 30, 62, 1.0, 1, "popularity"), (5, 30, 63, 1.0, 1, "popularity")], schema)
+    b = frame(spark, [(5, 30, 63, 9.0, 1, "repurchase"), (6, 30, 64, 9.0, 1, "repurchase"), (6, 30, 65, 9.0, 1, "repurchase")], schema)
+    log = frame(spark, [(4, 30, 61, 1.0, 1), (6, 30, 65, 1.0, 1), (6, 29, 64, 1.0, 1)], LOG)
+    assert got(O.combined_samples(log, [a, b]), "customer_id", "article_id", "source") == [(4, 62, "popularity"), (5, 63, "popularity"), (6, 64, "repurchase")]
 
 
 def test_downsampling_rounds_half_even(spark):
@@ -111,13 +130,13 @@ def test_average_precision(spark, actual, predicted, ap, ideal):
 
 
 def test_cosine_bins_and_ids(spark):
-    df = frame(spark, [([1.0, 2.0, 3.0], [1.0, 1.0, 1.0]), ([1.0, 1.0, 1.0], [2.0, -2.0, -2.0]), ([0.0, 1.0], [1.0, 0.0]), (None, [1.0]), ([0.0], [1.0])], "a array<double>, b array<double>")
-    assert [r[0] for r in df.select(S.cosine(F.col("a"), F.col("b"))).collect()] == pytest.approx([0.9258201, -1 / 3, 0, 0, 0], abs=1e-7)
+    df = frame(spark, [([3.0, 4.0], [4.0, 3.0]), ([5.0, 0.0], [-3.0, 4.0]), ([0.0, 2.0], [7.0, 0.0]), (None, [1.0]), ([0.0], [1.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in df.select(S.cosine(F.col("a"), F.col("b"))).collect()] == pytest.approx([0.96, -0.6, 0, 0, 0], abs=1e-7)
     ages = frame(spark, [(18.0,), (18.5,), (25.0,), (65.0,), (66.0,), (None,)], "age double")
     assert [r[0] for r in ages.select(S.age_bin(F.col("age"))).collect()] == ["0.0", "1.0", "1.0", "5.0", "6.0", "nan"]
     ids = frame(spark, [("ab" * 24 + "00000000000000ff",), ("f" * 64,)], "c string")
     assert [int(r[0]) for r in ids.select(S.hex_id(F.col("c"))).collect()] == [255, 2**64 - 1]
-    assert S.human_size(2048) == "2.00 KB"
+    assert [S.human_size(n) for n in (0, 512, 2048, 3 * 1024**5)] == ["0 B", "512 B", "2.00 KB", "3.00 PB"]
     with pytest.raises(ValueError):
         S.human_size(-1)
 

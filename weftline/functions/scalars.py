@@ -60,10 +60,13 @@ def ideal_precision(actual: Column, predicted: Column, k: int = 12) -> Column:
 
 
 def human_size(n_bytes: float) -> str:
+    """A size in the largest unit of which it has one or more; bytes are whole."""
     if n_bytes < 0:
         raise ValueError("a size is not negative")
-    for unit in ("B", "KB", "MB", "GB", "TB"):
-        if n_bytes < 1024 or unit == "TB":
-            return f"{n_bytes:.2f} {unit}"
-        n_bytes /= 1024
-    raise AssertionError
+    if n_bytes < 1024:
+        return f"{int(n_bytes)} B"
+    units = ("KB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB")
+    step = 0
+    while n_bytes >= 1024 ** (step + 2) and step + 1 < len(units):
+        step += 1
+    return f"{n_bytes / 1024 ** (step + 1):.2f} {units[step]}"

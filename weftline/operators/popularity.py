@@ -18,12 +18,14 @@ def weekly_popular_items(log: DataFrame, k: int = 12, week: str = "week_num", it
 def rolling_popular_items(log: DataFrame, window: int, k: int, week: str = "week_num", item: str = "article_id", value: str | None = None) -> DataFrame:
     """``week, item, total``: the k items with the largest sums over the last ``window`` weeks, for every week from first to last.
 
-    Values must not be negative. Each week's sums go to the weeks that they count in; items without
+    A negative value is an error. Each week's sums go to the weeks that they count in; items without
     sales rank after all others by their number, and the 2k smallest of them are enough to fill up a list.
     """
     log = log.where(F.col(item).isNotNull() & F.col(week).isNotNull())
     if log.isEmpty():
         raise ValueError("no rows to rank")
+    if value and not log.where(F.col(value) < 0).isEmpty():
+        raise ValueError("values must not be negative")
     sums = log.groupBy(week, item).agg((F.sum(value) if value else F.count("*")).alias("v"))
     span = log.agg(F.min(week).alias("lo"), F.max(week).alias("hi"))
     moved = sums.crossJoin(F.broadcast(span)).select(F.explode(F.sequence(F.col(week), F.least(F.col(week) + window - 1, "hi"))).alias(week), item, "v")
