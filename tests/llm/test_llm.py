@@ -149,6 +149,47 @@ def test_decontamination(spark):
     assert found[0].n_matched == found[0].n_words == 40 and found[1].n_matched < found[1].n_words
 
 
+def test_decisions_are_made_by_row(spark):
+    rng = np.random.default_rng(12)
+    a, b, item = (" ".join(f"{x}{k}" for k in rng.integers(0, 9000, 60)) for x in "abq")
+    near = a.replace(a.split()[30], "changed")
+    rows = [(1, a), (5, near), (5, b), (7, b), (None, near), (2, a), (2, a)]
+    docs = spark.createDataFrame([(d, t, "en", "web", 1) for d, t in rows], DOCS).withColumn("row", F.lit(3))
+    assert sorted((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()) == [(1, a), (5, b)]
+    only_null = spark.createDataFrame([(None, near), (3, a), (None, b), (None, b)], "doc_id long, text string")
+    assert sorted((r.component_id is None, r.component_id) for r in ngram_join.similar_components(only_null).collect()) == [(False, 3), (False, 3), (True, None), (True, None)]
+    assert ngram_join.keep_one(only_null).count() == 2
+    rows = [(1, item), (None, item), (1, a), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(3))
+    left = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == sorted([a, b])
+
+
+def test_words_that_a_polynomial_takes_for_equal(spark):
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    found = ngram_join.similar_components(docs_of(spark, [x, y]), 3, 90, 100).orderBy("doc_id").collect()
+    assert [r.component_id for r in found] == [0, 1]
+    scores = {r.doc_id: r for r in katz.katz_scores(docs_of(spark, [x, y]), F.col("doc_id") == 1).collect()}
+    assert scores[1].n_known == 1
+
+
+def test_large_mixed_groups_lose_no_link(spark):
+    # 90 texts with one passage in common, of which the neighbours are similar
+    common = " ".join(f"c{k}" for k in range(60))
+    texts = [common + " " + " ".join(f"u{j // 2 * 2 if k < 8 else j}x{k}" for k in range(12)) for j in range(90)]
+    found = [r.component_id for r in ngram_join.similar_components(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = list(range(90))
+    for j in range(90):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert found == want
+
+
 def test_masks_survive_two_substitutions():
     from itertools import combinations
 
@@ -208,6 +249,15 @@ def test_warc_records_are_found_by_the_index(spark, tmp_path):
         assert warc.read_record(entry)[0] == entry.page_id
 
 
+def test_warc_with_odd_pages(spark, tmp_path):
+    pages = spark.createDataFrame([(None, None, None), (7, "u", "y" * 1500), (7, "u", "y" * 1500), (None, "u", "y" * 1500), (3, "é\r\n", "")], "page_id long, url string, html string")
+    pages = pages.withColumns({c: F.lit(1) for c in ("digest", "archive", "p", "d", "last")})
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(spark, warc.write_archives(pages, f"file://{tmp_path}/w")).collect()]
+    want = [(None, 0, "response", None), (7, 1500, "response", None), (7, 1500, "response", None), (None, 1500, "revisit", 7), (3, 0, "response", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert warc.read_archives(spark, warc.write_archives(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
+
+
 def test_cover_tree_pairs_equal_brute_force():
     rng = np.random.default_rng(4)
     x = embedding_dedup.unit(np.concatenate([c + 0.05 * rng.normal(size=(20, 8)) for c in rng.normal(size=(6, 8))]))
@@ -219,8 +269,9 @@ def test_cover_tree_pairs_equal_brute_force():
 
 
 def test_embeddings_with_odd_vectors(spark):
-    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.01], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [1.0, None], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.0, 0.0], 1), (10, [], 1), (11, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.01], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [1.0, None], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.0, 0.0], 1), (10, [], 1), (11, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (12, [1e200, 1e200], 3), (13, [1e-200, 1e-200], 3), (13, [1e200, -1e200], 3)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(1) for c in ("point", "cell", "n", "id")})).collect()}
+    assert got[12] == (1, 12, True)
     assert got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[11] == (3, 1, False) and got[None] == (3, 1, False)
     assert all(got[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 10))
 
@@ -269,6 +320,9 @@ def test_quotes_are_linked(spark):
     assert [g[1] for g in got] == [0, 1, 3, 6, 4, 2, 5]
     assert [g[3] for g in got] == [None, 0, 1, 3, 0, None, None] and [g[4] for g in got] == [0, 1, 2, 3, 1, 0, 0]
     assert got[2][2] == "good to hear that" and got[6][2] is None
+    said = [(1, 0, "u", "what I said first here"), (1, 1, "a", "Hello,\nOn Monday, u wrote:\n> what I said first here\nmy own answer")]
+    answer = quote_linking.conversations(spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("source", F.lit(1))).where("turn = 1").first()
+    assert (answer.text, answer.reply_to) == ("Hello,\nmy own answer", 0)
     plain = llm.queries()["op8_quotation_linking"](spark, SF)
     assert plain.count() == spark.read.parquet(f"{SF}/conversations.parquet").count()
 

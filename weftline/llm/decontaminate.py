@@ -151,9 +151,14 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap with a benchmark item; all columns stay, a null doc_id stays in."""
-    bad = overlaps(docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows whose text overlaps with a benchmark item; all columns stay.
+
+    It is decided row by row: a null doc_id spares no text, and other texts of an id stay.
+    """
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    bad = overlaps(docs.select(row.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("row")).distinct()
+    # the row stands as one value beside its key, so that no column of its own can clash with it
+    return docs.select(F.struct("*").alias("doc"), row.alias("row")).join(bad, "row", "left_anti").select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

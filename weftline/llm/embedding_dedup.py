@@ -52,6 +52,11 @@ def points(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, POINTS)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that make their largest component about one: the cosine stays, and no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     scale = np.abs(x).max(axis=1, keepdims=True)
     x = x / scale
@@ -218,7 +223,7 @@ def links_of_cells(table: DataFrame, cosine: float) -> DataFrame:
                 row = {c: batch.column(k)[r].as_py() for k, c in enumerate(batch.schema.names)}
                 side = []
                 for i in "ab":
-                    v = np.frombuffer(row[f"vectors_{i}"]).reshape(len(row[f"points_{i}"]), -1)
+                    v = scaled(np.frombuffer(row[f"vectors_{i}"]).reshape(len(row[f"points_{i}"]), -1))
                     side.append((v, unit(v), pickle.loads(row[f"tree_{i}"])))
                 (v, u, t), (w, z, s) = side
                 i, j = close_pairs(u, t, z, s, reach)
@@ -263,7 +268,9 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93) -> DataFrame:
     count = links.groupBy("point").agg(F.sum("n_links").alias("others"))
     joined = components(links, "point", "other").withColumnRenamed("id", "point")
     own = own.join(count, "point", "left").join(joined, "point", "left").withColumn("component", F.coalesce("component", "point"))
-    smallest = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    own = stored(own, "own")
+    # stored, so that the join below is one of two plain exchanges, in which Spark may split a large component
+    smallest = stored(own.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     own = own.join(smallest, "component").select("point", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     out = found.select("vec_id", "point").join(own, "point", "left")
     component = F.when(F.col("point").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

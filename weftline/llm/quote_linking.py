@@ -5,8 +5,9 @@ passage is a run of lines of one level, ended by another level or an empty line.
 are normalised (marks off, white space collapsed, lower case) and hashed. What a message quotes at
 level 1 is looked up among the own (level 0) lines and passages of earlier messages of its
 conversation, what it quotes at level n among their lines of level n - 1; the message answers the one
-that most of its quoted passages lead to, the latest on ties. Replies stand below what they answer, in the order of their turns,
-and the text of a message is its own lines without quotes.
+that its outermost quotes lead to, on ties the one that most of these do, then the latest. Replies stand
+below what they answer, in the order of their turns, and the text of a message is its own lines without
+quotes and without the lines that announce one ("On Monday, u wrote:").
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ LEAST_WORDS = 3
 #: Turns that a running sum takes together before the sums of such groups are added up.
 TURNS = 10_000
 MAX_ROUNDS = 64
+#: A line that announces the quote below it.
+ANNOUNCED = r"(?m)^On [^\n>]*\bwrote:[ \t]*\n(?=\s*>)"
 _MARKS = r"^(\s*>)+\s?"
 
 
@@ -33,8 +36,9 @@ def normal(text: Column) -> Column:
 
 
 def own_text(text: Column) -> Column:
-    """A text's lines without quotes; blank lines at its ends and repeated blank lines go if it had quotes."""
-    own = F.array_join(F.filter(F.split(text, "\n"), lambda x: level(x) == 0), "\n")
+    """A text's lines without quotes and their announcements; blank lines at its ends and repeated blank lines go if it had quotes."""
+    bare = F.regexp_replace(text, ANNOUNCED, "")
+    own = F.array_join(F.filter(F.split(bare, "\n"), lambda x: level(x) == 0), "\n")
     tidy = F.regexp_replace(F.regexp_replace(own, r"\n\s*\n(\s*\n)+", "\n\n"), r"^\s+|\s+$", "")
     return F.when(text.rlike(r"(?m)^\s*>"), tidy).otherwise(text)
 

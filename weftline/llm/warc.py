@@ -26,6 +26,8 @@ from .scratch import new_dir, stored
 
 FRAME_BYTES = 1 << 20
 ARCHIVE_BYTES = 256 << 20
+#: Decompressed bytes that one task reads back, about.
+READ_BYTES = 16 << 20
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 #: Fixed values of the seekable format.
@@ -161,7 +163,8 @@ def write_archives(pages: DataFrame, directory: str, least: int = REVISIT_BYTES,
 
     A null html is an empty payload, a null page_id or url is left out of the record. Of records with
     equal payloads of at least ``least`` bytes, those with the largest page_id are responses (all
-    of them, if rows repeat it) and others revisit it; page_id null counts as smaller than any.
+    of them, if rows repeat it, under one record identifier) and others revisit it; page_id null counts as
+    smaller than any. Other columns are ignored; an empty table writes no archive.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     whole = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
@@ -198,8 +201,10 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
             for uri, _, start, size, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield _batch(list(parse(read_frame(uri, start, size))), RECORDS)
 
-    frames = archives.select("archive").distinct().mapInArrow(tables, FRAMES)
-    return frames.repartition("archive", "frame").mapInArrow(records, RECORDS)
+    frames = stored(archives.select("archive").distinct().mapInArrow(tables, FRAMES), "warc-frames")
+    # rows of frames are tiny: their number of partitions follows from the bytes that they stand for
+    size = frames.agg(F.sum("text_bytes")).first()[0] or 0
+    return frames.repartition(1 + int(size) // READ_BYTES, "archive", "frame").mapInArrow(records, RECORDS)
 
 
 def read_record(entry) -> tuple:
