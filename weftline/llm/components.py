@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import discard, stored
 
+#: A test of two ids' traits that every link passes.
+Close = Callable[[Column, Column], Column]
+
 MAX_ROUNDS = 60
 #: Buckets of so many members or fewer, if still mixed, pair all members of different components.
 FEW = 32
@@ -71,12 +74,22 @@ def _joined(forest: DataFrame, new: DataFrame) -> DataFrame:
     return stored(known.unionByName(fresh), "forest", forest, more)
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
+def _all_pairs(members: DataFrame, close: Close | None) -> DataFrame:
     """Pairs of members of different components of each bucket; those of a large one are dealt to tasks by blocks."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    x = members.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("excess").alias("e_a"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    y = members.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("excess").alias("e_b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    return x.join(y, ["key", "block"]).where("a < b and c_a != c_b and e_a + e_b <= 0").select("a", "b").distinct()
+    named = lambda x, c: [F.col("id").alias(x), F.col("component").alias(f"c_{x}"), F.col("excess").alias(f"e_{x}"), *([F.col("trait").alias(f"t_{x}")] if close else []), c.alias("block")]
+    x = members.select("key", *named("a", F.pmod(F.xxhash64("id"), blocks).cast("int")))
+    y = members.select("key", *named("b", F.explode(F.sequence(F.lit(0), blocks - 1))))
+    pairs = x.join(y, ["key", "block"]).where("a < b and c_a != c_b and e_a + e_b <= 0")
+    return (pairs.where(close(F.col("t_a"), F.col("t_b"))) if close else pairs).select("a", "b").distinct()
+
+
+def _close_pairs(pairs: DataFrame, traits: DataFrame | None, close: Close | None) -> DataFrame:
+    """The pairs ``a, b`` whose traits are close."""
+    if close is None:
+        return pairs
+    x, y = (traits.select(F.col("id").alias(i), F.col("trait").alias(f"t_{i}")) for i in "ab")
+    return pairs.join(x, "a").join(y, "b").where(close(F.col("t_a"), F.col("t_b"))).select("a", "b")
 
 
 def _buckets(spread: DataFrame) -> DataFrame | None:
@@ -113,7 +126,13 @@ def rare_members(sets: DataFrame, num: int, den: int) -> DataFrame:
     return stored(has.where("rank <= first and count > 1").select("key", "id", excess.alias("excess")), "rare", sets, common)
 
 
-def bucket_components(spread: DataFrame, linked: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, int], DataFrame | None] | None = None) -> DataFrame | None:
+def bucket_components(
+    spread: DataFrame,
+    linked: Callable[[DataFrame], DataFrame],
+    refine: Callable[[DataFrame, int], DataFrame | None] | None = None,
+    traits_of: Callable[[DataFrame], DataFrame] | None = None,
+    close: Close | None = None,
+) -> DataFrame | None:
     """``id, component`` of ids that share a bucket and are linked; None without any bucket.
 
     ``spread`` has rows ``key, id``, which may repeat; ``linked`` takes candidate pairs
@@ -122,13 +141,17 @@ def bucket_components(spread: DataFrame, linked: Callable[[DataFrame], DataFrame
     members all those of different components pair. In larger ones they pair with another member, for
     some turns, and in the end with all. Meanwhile ``refine(members, turn)`` may split them into buckets
     ``key, id, excess`` (a stored table) that hold all of their links; None leaves them as they are.
-    Members whose excesses add up to more than 0 are no link. So a bucket of n similar members costs n pairs, and no link
+    Members whose excesses add up to more than 0 are no link, nor are those whose traits are not ``close``:
+    ``traits_of`` gives a stored table ``id, trait`` of ids that share a bucket. Traits go with the members,
+    so that pairs which are not close are never written or shuffled. So a bucket of n similar members costs n pairs, and no link
     between different components is lost.
     """
     buckets = _buckets(spread)
     if buckets is None:
         return None
-    pairs = stored(buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    traits = traits_of(buckets.select("id").distinct()) if traits_of else None
+    pairs = buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = stored(_close_pairs(pairs, traits, close), "pairs")
     new = linked(pairs)
     forest = components(new, "a", "b")
     discard(pairs, new)
@@ -141,13 +164,15 @@ def bucket_components(spread: DataFrame, linked: Callable[[DataFrame], DataFrame
         if mixed.isEmpty():
             discard(mixed, members)
             break
-        members = stored(members.join(mixed, "key").where("excess + least <= 0"), "members", members, mixed)
+        known = members.join(mixed, "key").where("excess + least <= 0")
+        members = stored(known.join(traits.select("id", "trait"), "id") if close else known, "members", members, mixed)
         large = members.where(F.col("n") > FEW)
         finer = refine(large.select("key", "id"), turn) if refine and turn <= TURNS else None
-        pairs = _all_pairs(members if turn > TURNS else members.where(F.col("n") <= FEW))
+        pairs = _all_pairs(members if turn > TURNS else members.where(F.col("n") <= FEW), close)
         if turn <= TURNS:
             star = large.where(F.col("component") != F.col("c_hub"))
-            pairs = pairs.unionByName(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))).distinct()
+            star = star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+            pairs = pairs.unionByName(_close_pairs(star, traits, close)).distinct()
         pairs = stored(pairs, "pairs")
         new = linked(pairs)
         forest = _joined(forest, new)
@@ -159,4 +184,6 @@ def bucket_components(spread: DataFrame, linked: Callable[[DataFrame], DataFrame
         discard(members, *([finer] if finer is not None else []))
         if buckets is None:
             break
+    if traits is not None:
+        discard(traits)
     return forest

@@ -16,7 +16,7 @@ cost more than twice what the operator may (README).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 from itertools import combinations
 
@@ -39,8 +39,9 @@ LONG, BRIEF = 16, 24
 #: A longer line is signed by the latter too if one of its first so many shingles repeats: rules of dashes
 #: have few shingles at any length. Without that, it has more than a line under LONG can be similar to.
 WITHIN = 16
-#: Bits of a line's shingle map.
-MAP_BITS = 1024
+#: Bits of a line's shingle map. A longer line's map tells less, and leaves more to the exact test.
+MAP_BITS = 512
+WORDS = MAP_BITS // 64
 NO_HASH = np.uint64((1 << 64) - 1)
 #: Characters that are signed together.
 PART = 1 << 18
@@ -84,7 +85,7 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def maps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Every line's number of distinct shingles, and a bit for each of their hashes modulo MAP_BITS."""
+    """Every line's number of distinct shingles, and the parity of how many of their hashes have each value modulo MAP_BITS."""
     _, h, start, size = shingles(lines)
     n = size - SHINGLE + 1
     owner = np.repeat(np.arange(len(lines)), n)
@@ -93,21 +94,25 @@ def maps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    bits = np.zeros((len(lines), MAP_BITS), bool)
-    bits[owner, (h & np.uint64(MAP_BITS - 1)).astype(np.int64)] = True
-    return np.bincount(owner[new], minlength=len(lines)), np.packbits(bits, axis=1)
+    h, owner = h[new], owner[new]
+    at = owner * MAP_BITS + (h & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    bits = (np.bincount(at, minlength=len(lines) * MAP_BITS) & 1).astype(bool).reshape(len(lines), MAP_BITS)
+    return np.bincount(owner, minlength=len(lines)), np.packbits(bits, axis=1)
 
 
 def mapped(lines: DataFrame) -> DataFrame:
-    """``id, line, n, map`` of ``id, line``."""
+    """``id, line, trait`` of ``id, line``; a trait is the number n of distinct shingles and the map as words m0, m1 and so on."""
+    fields = ["n", *(f"m{k}" for k in range(WORDS))]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, *_ in W.chunks(batch, "line", PART):
                 n, bits = maps(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int32()), pa.array([x.tobytes() for x in bits], pa.binary())], ["id", "line", "n", "map"])
+                words = bits.view(np.int64)
+                trait = pa.StructArray.from_arrays([pa.array(n, pa.int64()), *(pa.array(words[:, k].copy()) for k in range(WORDS))], fields)
+                yield pa.RecordBatch.from_arrays([*part.columns, trait], ["id", "line", "trait"])
 
-    return lines.mapInArrow(add, "id long, line string, n int, map binary")
+    return lines.mapInArrow(add, f"id long, line string, trait struct<{', '.join(f'{x}: bigint' for x in fields)}>")
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -190,21 +195,15 @@ def signed_lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, LINES)
 
 
-def close_maps(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of rows ``a, b, n_a, n_b, map_a, map_b``, the pairs ``a, b`` whose sizes and maps allow the similarity.
+def close_traits(num: int, den: int) -> Callable[[Column, Column], Column]:
+    """Whether the sizes and maps of two lines allow the similarity: every bit that differs takes a shingle that only one line has."""
 
-    Every bit that differs takes a shingle that only one line has.
-    """
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5))
-            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-            apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=1), np.abs(n - m))
-            keep = pa.array(apart * (den + num) <= (n + m) * (den - num))
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
+    def test(x: Column, y: Column) -> Column:
+        apart = sum((F.bit_count(x[f"m{k}"].bitwiseXOR(y[f"m{k}"])) for k in range(WORDS)), F.lit(0))
+        most = (x["n"] + y["n"]) * (den - num)
+        return (F.abs(x["n"] - y["n"]) * (den + num) <= most) & (apart * (den + num) <= most)
 
-    return pairs.mapInArrow(test, "a long, b long")
+    return test
 
 
 def similar_lines(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -246,15 +245,17 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     spread = compared.select("id", F.explode("bands").alias("key"))
     texts = compared.select("id", "line")
 
+    own: list[DataFrame] = []
+
+    def traits_of(ids: DataFrame) -> DataFrame:
+        own.append(stored(mapped(texts.join(ids, "id", "left_semi").dropDuplicates(["id"])), "traits"))
+        return own[0]
+
     def linked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        own = stored(mapped(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "wanted")
-        x, y = (own.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("map").alias(f"map_{i}")) for i in "ab")
-        near = stored(close_maps(pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b"), num, den), "near")
-        x, y = (own.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "ab")
-        return stored(similar_lines(near.join(y, "b").join(x, "a").select("a", "b", "line_a", "line_b"), num, den), "links", own, near)
-
-    components = bucket_components(spread, linked)
+        x, y = (own[0].select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "ab")
+        return stored(similar_lines(pairs.join(y, "b").join(x, "a").select("a", "b", "line_a", "line_b"), num, den), "links")
+
+    components = bucket_components(spread, linked, traits_of=traits_of, close=close_traits(num, den))
     every = stored(every.select("doc_id", "text_hash", "line_no", "id", "check"), "places", every)
     own = every.where("id is not null").groupBy("id", "check").agg(F.min(place()).alias("place"))
     if components is not None:
