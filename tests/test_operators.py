@@ -183,6 +183,36 @@ def test_matrix_uses_the_week_before_and_keeps_rows(spark):
     assert "Python" not in plan and "ArrowEval" not in plan
 
 
+def test_prepared_samples(spark):
+    from weftline.plans import registry
+    from weftline.sources.tables import Domain
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    log, cal, week = d.transactions, registry.calendar(d), registry.LAST
+    valid = O.prepared(log, "valid", week, week, cal, registry.K)
+    assert set(valid) == {"train", "inference"} and set(O.prepared(log, "train", week, week, cal)) == {"train"} and set(O.prepared(log, "test", week, week, cal)) == {"inference"}
+    assert ranking.single_week(valid["inference"]) == week and ranking.single_week(valid["train"]) == week
+    assert checks.wrong_labels(valid["train"], log).isEmpty() and checks.repeated_keys(valid["inference"]).isEmpty()
+    assert {r[0] for r in valid["inference"].select("customer_id").distinct().collect()} <= {r[0] for r in log.where(F.col("week_num") < week).select("customer_id").collect()}
+    for bad in (("all", week, week), ("test", week - 1, week), ("train", -10_000, week)):
+        with pytest.raises(ValueError):
+            O.prepared(log, *bad, cal)
+    with pytest.raises(ValueError):
+        ranking.single_week(log)
+
+
+def test_export_order_and_evaluation(spark):
+    rows = frame(spark, [(2, 1, 5, 0.5, 1), (1, 2, 4, 0.1, 0), (1, 1, 9, 0.2, 1), (1, 1, 3, 0.9, 0)], "customer_id int, week_num int, article_id int, x double, label int")
+    out = ranking.for_ranker(rows, ["x"])
+    assert out.columns == ["customer_id", "week_num", "article_id", "x", "label"]
+    assert [tuple(r)[:3] for r in out.collect()] == [(1, 1, 3), (1, 1, 9), (1, 2, 4), (2, 1, 5)]
+    with pytest.raises(ValueError):
+        ranking.for_ranker(rows, ["y"])
+    lists = lambda *rows: frame(spark, list(rows), "customer_id int, week_num int, articles array<int>")
+    found = ranking.evaluation(lists((1, 1, [7]), (2, 1, [8])), lists((1, 1, [6, 7]), (2, 1, [8])), lists((1, 1, [7])), 2).first()
+    assert tuple(found) == (2, 0.75, 0.5, 1.0)
+
+
 def test_ranker_round_trip(spark, tmp_path):
     rows = frame(spark, [(c, 1, a, float(a % 3), float(a), int(a % 3 == 0)) for c in range(6) for a in range(9)], "customer_id int, week_num int, article_id int, x double, y double, label int")
     ranker = ranking.GbtRanker(ranking.RankerConfig(["x", "y"], trees=3, depth=2)).train(rows)

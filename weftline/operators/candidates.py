@@ -108,3 +108,26 @@ def inference_candidates(log: DataFrame, week: int, calendar: Calendar, k: int =
     pairs = history.select("customer_id").distinct().withColumn("week_num", F.lit(week))
     rows, popular = negative_samples(history, pairs, week, week, k, strategy, train=False, default_week=week)
     return candidate_features(rows, popular, calendar)
+
+
+def prepared(
+    log: DataFrame, sample: str, start: int, end: int, calendar: Calendar, k: int = 12, strategy: str | None = "last_purchase", restrict_positives: bool = True, ratio: float | None = None, customers=None
+) -> dict[str, DataFrame]:
+    """Candidates of a sample by name: ``train`` has labelled ones of ``start..end``; ``valid`` and ``test`` have
+    inference candidates of week ``end``, from history strictly before it, for the customers who have any.
+
+    ``valid`` has ``train`` beside them, for early stopping: labelled candidates of the target week alone.
+    The log must reach to the week before ``start`` at least.
+    """
+    if sample not in ("train", "valid", "test"):
+        raise ValueError(f"no such sample: {sample}")
+    if sample != "train" and start != end:
+        raise ValueError("inference takes one week")
+    if log.where(F.col("week_num") < start).isEmpty():
+        raise ValueError("the log has no history before the first week")
+    found = {}
+    if sample != "test":
+        found["train"] = training_candidates(log, start, end, calendar, k, strategy, restrict_positives, ratio, customers)
+    if sample != "train":
+        found["inference"] = inference_candidates(log, end, calendar, k, strategy, customers)
+    return found

@@ -64,6 +64,30 @@ def heuristic_lists(actual: DataFrame, popular: DataFrame, k: int = 12) -> DataF
     return actual.select("customer_id", "week_num").join(weekly, "week_num").select("customer_id", "week_num", "articles")
 
 
+def evaluation(actual: DataFrame, predicted: DataFrame, heuristic: DataFrame, k: int = 12) -> DataFrame:
+    """One row: customers' weeks, and the mean precisions of the model, of the heuristic, and of the model's items in the best order."""
+    model = mean_precision(actual, predicted, k)
+    plain = mean_precision(actual, heuristic, k).select(F.col("map").alias("map_heuristic"))
+    return model.join(plain).select("customers", F.col("map").alias("map_model"), "map_heuristic", F.col("ideal_map").alias("map_ideal"))
+
+
+def single_week(rows: DataFrame) -> int:
+    """The only week of ``rows``; ValueError with several or none."""
+    weeks = [r[0] for r in rows.select("week_num").distinct().limit(2).collect()]
+    if len(weeks) != 1:
+        raise ValueError("rows of one week are wanted")
+    return weeks[0]
+
+
+def for_ranker(rows: DataFrame, features: list[str], label: str | None = "label") -> DataFrame:
+    """Keys, features and label in this order, sorted by customer, week and item: for export, as that is a global sort."""
+    columns = ["customer_id", "week_num", "article_id", *(f for f in features if f not in ("customer_id", "week_num", "article_id"))]
+    unknown = [c for c in columns if c not in rows.columns]
+    if unknown:
+        raise ValueError(f"no such columns: {unknown}")
+    return rows.select(*columns, *([label] if label and label in rows.columns else [])).orderBy("customer_id", "week_num", "article_id")
+
+
 @dataclass
 class RankerConfig:
     """What a ranker is trained on, as JSON in its folder."""

@@ -323,14 +323,17 @@ def map_by_week(d: Domain) -> DataFrame:
     return found.select("week_num", "customers", F.round("map", 9).alias("map"), F.round("ideal_map", 9).alias("ideal_map"))
 
 
-@query(
-    sql(
-        f"""select week_num, count(*) as customers, round(avg(ap), 9) as map from (
+HEURISTIC_AP = f"""
   select a.customer_id, a.week_num, coalesce(h.s, 0) / least(a.n, {K}) as ap from (select customer_id, week_num, count(*) as n from actual group by all) a
   left join (select customer_id, week_num, sum(hit / place) as s from (
     select a.customer_id, a.week_num, p.place, row_number() over (partition by a.customer_id, a.week_num order by p.place) as hit from actual a
     join (select week_num + 1 as week_num, article_id, row_number() over (partition by week_num order by bestseller_rank, article_id) as place from popular) p on p.week_num = a.week_num and p.article_id = a.article_id) group by all) h
-  on h.customer_id = a.customer_id and h.week_num = a.week_num) group by all""",
+  on h.customer_id = a.customer_id and h.week_num = a.week_num"""
+
+
+@query(
+    sql(
+        f"""select week_num, count(*) as customers, round(avg(ap), 9) as map from ({HEURISTIC_AP}) group by all""",
         "actual",
         "popular",
     )
@@ -342,6 +345,23 @@ def heuristic_map(d: Domain) -> DataFrame:
     return found.select("week_num", "customers", F.round("map", 9).alias("map"))
 
 
+@query(
+    sql(
+        f"""select count(*) as customers, round(avg(ap), 9) as map_model, round((select avg(ap) from ({HEURISTIC_AP})), 9) as map_heuristic, round(avg(ideal_ap), 9) as map_ideal
+from precision""",
+        "precision",
+        "actual",
+        "popular",
+    )
+)
+def evaluator(d: Domain) -> DataFrame:
+    log, _, rows, _ = samples(d)
+    actual = ranking.actual_lists(log, FIRST, LAST)
+    popular = popularity.weekly_popular_items(d.transactions, K)
+    found = ranking.evaluation(actual, ranking.ranked_lists(rows, "price", K), ranking.heuristic_lists(actual, popular, K), K)
+    return found.select("customers", *(F.round(c, 9).alias(c) for c in ("map_model", "map_heuristic", "map_ideal")))
+
+
 @query(
     sql(
         f"""select t.customer_id, count(*) as n, sum(t.price) as total from tx t join (
