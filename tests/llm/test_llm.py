@@ -283,6 +283,20 @@ def test_quality_of_held_out_documents(spark):
     assert scored.score.between(0, 1).all() and ((scored.score >= 0.7) == (scored.predicted == 1)).all()
 
 
+def test_quality_threshold_is_a_quantile_of_all_labelled_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 100)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model, preferred = quality.learn(docs, labels, F.lit(False))
+    both = preferred.join(labels.where("quality in (0, 1)"), "doc_id").toPandas()
+    assert len(both) > 300
+    s, bad = np.sort(both.preference), int((both.quality == 0).sum())
+    assert s[bad - 1] <= model.cut <= s[bad]
+    scored = quality.quality_scores(docs, labels, F.lit(False)).join(both[["doc_id"]].pipe(spark.createDataFrame), "doc_id").toPandas()
+    assert (scored.predicted == 0).sum() == bad
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).select("doc_id").collect()}
+    assert kept & set(scored.doc_id) == set(scored.doc_id[scored.predicted == 1])
+
+
 def test_quality_without_both_labels(spark):
     labels = spark.createDataFrame([(5, 1), (None, 0), (6, None)], "doc_id long, quality int")
     assert {r.predicted for r in quality.quality_scores(odd(spark), labels, F.lit(False)).collect()} == {1}

@@ -3,11 +3,11 @@
 Each pair has a document labelled 1 and one labelled 0; the chance that the first is preferred is the
 logistic function of the difference of their scores, which are linear in features of the whole text.
 The weights minimise the logistic loss on feature differences. The threshold is the quantile of the
-training scores that the share of label 0 names, and a final logistic curve, whose value there is
-``CUT``, turns scores into numbers from 0 to 1.
+scores of all labelled documents that the share of label 0 among them names, and a final logistic
+curve, whose value there is ``CUT``, turns scores into numbers from 0 to 1.
 
-The fit takes a bounded sample of the labelled documents (``SAMPLE``, by hash of the doc_id); features
-and scores are computed where the documents are, in Arrow batches.
+The fit of the weights and the curve's slope takes a bounded sample of the labelled documents (``SAMPLE``,
+by hash of the doc_id); the threshold takes all of them. Features and scores are computed where the documents are, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import discard, stored
 
 #: Labelled documents that the fit takes at most, and preference pairs that it draws among them.
 SAMPLE, PAIRS = 12_000, 120_000
 HASHED = 1024
 CUT = 0.7
 EPOCHS, BATCH, RATE, DECAY = 8, 512, 0.02, 1e-4
-SCORES = "doc_id long, held_out boolean, score double, predicted int"
+#: The threshold is within one rank in so many of the exact quantile.
+ACCURACY = 100_000
 
 _B = np.arange(256)
 _KINDS = {
@@ -98,7 +100,7 @@ class Model:
 
 
 def fit(x: np.ndarray, label: np.ndarray, seed: int = 7) -> Model:
-    """Bradley-Terry weights of feature rows ``x`` with labels 0 and 1; without both, all score alike."""
+    """Bradley-Terry weights of feature rows ``x`` with labels 0 and 1, not yet with a cut; without both, all score alike."""
     width = SHAPE + HASHED
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
@@ -120,56 +122,79 @@ def fit(x: np.ndarray, label: np.ndarray, seed: int = 7) -> Model:
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    s = x @ w
-    cut = threshold(s, label)
+    return Model(mean.astype(np.float32), spread, w.astype(np.float32), 0.0, 1.0)
+
+
+def calibrated(model: Model, x: np.ndarray, label: np.ndarray, cut: float) -> Model:
+    """The model with this cut and the slope of its scores that fits the labels best."""
+    s = model.preference(x).astype(float)
     y, best = label.astype(float), (np.inf, 1.0)
     for slope in np.geomspace(0.05, 20, 25) / max(s.std(), 1e-9):
         z = np.clip(slope * (s - cut) + np.log(CUT / (1 - CUT)), -40, 40)
         best = min(best, (float(np.mean(np.logaddexp(0, z) - y * z)), slope))
-    return Model(mean.astype(np.float32), spread, w.astype(np.float32), cut, best[1])
+    return Model(model.mean, model.spread, model.weights, cut, best[1])
+
+
+def preferences(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, held_out, preference`` of rows ``doc_id, text, held_out``: the score before its cut and slope."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, off in W.chunks(batch):
+                s = sent.value.preference(features(raw, off)).astype(float)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s)], ["doc_id", "held_out", "preference"])
 
-def threshold(s: np.ndarray, label: np.ndarray) -> float:
-    """The quantile of the scores at the share of label 0: the middle of the two scores around it."""
-    order = np.sort(s)
-    k = int((label == 0).sum())
-    return float((order[k - 1] + order[min(k, len(order) - 1)]) / 2)
+    return docs.mapInArrow(rows, "doc_id long, held_out boolean, preference double")
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
-    """A model from the documents with a quality label that ``held_out`` doesn't hold back.
+def threshold(preferred: DataFrame, known: DataFrame) -> float:
+    """The quantile of the preferences of all documents in ``known``, at the share of label 0 among them.
 
-    Of more than SAMPLE such documents, it takes those with the least hashes of their doc_id.
+    It is taken within a rank of 1 in ACCURACY, and is the middle of that preference and the next one up.
     """
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    known = known.where(~F.coalesce(held_out, F.lit(False))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
+    both = preferred.join(known, "doc_id").select("preference", "quality")
+    share = both.agg(F.avg(1 - F.col("quality"))).first()[0]
+    if share is None:
+        return 0.0
+    at = both.agg(F.percentile_approx("preference", F.lit(float(share)), F.lit(ACCURACY))).first()[0]
+    above = both.where(F.col("preference") > F.lit(at)).agg(F.min("preference")).first()[0]
+    return at if above is None else (at + above) / 2
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw, off in W.chunks(batch):
-                x = features(raw, off).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    got = texts.mapInArrow(rows, "doc_id long, quality int, x binary").toArrow()
-    ids, label = got["doc_id"].to_numpy(), got["quality"].to_numpy()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(len(ids), SHAPE + HASHED)
-    order = np.lexsort((x[:, 0], ids))[: 2 * SAMPLE]  # rows that repeat a doc_id count as documents
-    return fit(x[order].astype(np.float32), label[order])
+def labelled(labels: DataFrame, held_out: Column) -> DataFrame:
+    """``doc_id, quality`` of all documents with a label that ``held_out`` doesn't hold back."""
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    return known.where(~F.coalesce(held_out, F.lit(False)))
+
 
+def learn(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[Model, DataFrame | None]:
+    """A model from the documents with a quality label that ``held_out`` doesn't hold back, and all documents' ``preferences``.
 
-def score_documents(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row of ``docs``; predicted is 1 from a score of CUT on."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
+    It is fitted on at most SAMPLE such documents, those with the least hashes of their doc_id, and of rows
+    that repeat their ids on 2 * SAMPLE rows at most. Its cut is taken over all of them. Without labels of
+    both kinds there are no preferences.
+    """
+    every = labelled(labels, held_out)
+    known = every.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    texts = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")  # SAMPLE rows at most
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, off in W.chunks(batch):
-                s = sent.value.score(features(raw, off)).astype(float)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                x = features(raw, off).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    return docs.mapInArrow(rows, SCORES)
+    found = texts.mapInArrow(rows, "doc_id long, quality int, x binary")
+    got = found.orderBy("doc_id", F.xxhash64("x"), "x").limit(2 * SAMPLE).toArrow()  # rows that repeat a doc_id count as documents
+    label = got["quality"].to_numpy()
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(len(label), SHAPE + HASHED).astype(np.float32)
+    model = fit(x, label)
+    if len(np.unique(label)) < 2:
+        return model, None
+    preferred = stored(preferences(docs, model), "preferences")
+    return calibrated(model, x, label, threshold(preferred, every)), preferred
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
@@ -180,12 +205,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> Data
     higher label. Null texts are scored as empty ones; null ids stay and are not held out; rows may
     repeat. Without labels of both kinds, all documents score alike. An empty table gives no rows.
     """
-    return score_documents(docs, learn(docs, labels, held_out), held_out)
+    model, preferred = learn(docs, labels, held_out)
+    if preferred is None:
+        docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+        preferred = preferences(docs, model)
+    z = F.lit(float(model.slope)) * (F.col("preference") - F.lit(float(model.cut))) + F.lit(float(np.log(CUT / (1 - CUT))))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
+    scored = preferred.select("doc_id", "held_out", score.alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= CUT, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects; all columns stay."""
-    model = learn(docs, labels, F.lit(False))
+    model, preferred = learn(docs, labels, F.lit(False))
+    if preferred is not None:
+        discard(preferred)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
