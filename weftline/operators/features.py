@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import AGE_EDGES, age_bin
-from .repurchase import last_k_distinct
+from .repurchase import last_k_changes
 
 
 def ordinal_codes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -111,7 +111,7 @@ def customer_week_panel(log: DataFrame, embeddings: DataFrame, start: int, end:
     weeks of the grid, and a price that is still missing is the week's mean.
     """
     log = log.where(F.col("week_num").between(*history))
-    latest = last_k_distinct(log, k, start, end)
+    latest = last_k_changes(log, k, start, end)  # what holds until the next change is carried on below
     with_vectors = latest.join(embeddings.select("article_id", "vector"), "article_id", "left")
     key = ["customer_id", "week_num"]
     prices = with_vectors.groupBy(*key).agg(F.avg("price").alias("price"), F.count("vector").alias("n")).where("n > 0").drop("n")

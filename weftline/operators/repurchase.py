@@ -49,18 +49,32 @@ def last_k_items(log: DataFrame, k: int, start: int, end: int) -> DataFrame:
     return rows.where("_from <= _until").withColumn("week_num", F.explode(F.sequence("_from", "_until"))).drop("_from", "_until")
 
 
-def last_k_distinct(log: DataFrame, k: int, start: int, end: int) -> DataFrame:
-    """``customer_id, week_num, article_id, price, place``: the k latest distinct items up to and with each week.
+def last_k_changes(log: DataFrame, k: int, start: int, end: int) -> DataFrame:
+    """``customer_id, week_num, article_id, price, place, until``: the k latest distinct items, in the weeks in which they may change.
 
-    An item counts at its latest purchase; from its next purchase on, that one takes its place.
+    These are the weeks in which the customer buys, and ``start`` where they bought before; the items hold
+    up to the week ``until``. An item counts at its latest purchase; from its next purchase on, that one
+    takes its place.
     """
     same = Window.partitionBy("customer_id", "week_num", "article_id").orderBy(F.desc("t_dat"), "price", "sales_channel_id")
     rows = log.where(F.col("week_num") <= end).withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    first = F.greatest("week_num", F.lit(start))
     again = F.lead("week_num").over(Window.partitionBy("customer_id", "article_id").orderBy("week_num"))
-    rows = rows.select("customer_id", "article_id", "t_dat", "price", F.greatest("week_num", F.lit(start)).alias("_from"), F.least(F.coalesce(again - 1, F.lit(end)), F.lit(end)).alias("_until"))
-    each = rows.where("_from <= _until").withColumn("week_num", F.explode(F.sequence("_from", "_until")))
+    # at most a number for each week of the history
+    weeks = F.collect_set(first).over(Window.partitionBy("customer_id"))
+    rows = rows.select("customer_id", "article_id", "t_dat", "price", weeks.alias("_weeks"), first.alias("_from"), F.coalesce(again - 1, F.lit(end)).alias("_until"))
+    inside = F.filter("_weeks", lambda w: (w >= F.col("_from")) & (w <= F.col("_until")))
+    each = rows.where("_from <= _until").withColumn("week_num", F.explode(inside))
     place = F.row_number().over(Window.partitionBy("customer_id", "week_num").orderBy(F.desc("t_dat"), "article_id"))
-    return each.withColumn("place", place).where(F.col("place") <= k).select("customer_id", "week_num", "article_id", "price", "place")
+    later = F.array_min(F.filter("_weeks", lambda w: w > F.col("week_num")))
+    kept = each.withColumn("place", place).where(F.col("place") <= k)
+    return kept.select("customer_id", "week_num", "article_id", "price", "place", F.coalesce(later - 1, F.lit(end)).alias("until"))
+
+
+def last_k_distinct(log: DataFrame, k: int, start: int, end: int) -> DataFrame:
+    """``customer_id, week_num, article_id, price, place``: the k latest distinct items up to and with each week."""
+    each = F.explode(F.sequence("week_num", "until"))
+    return last_k_changes(log, k, start, end).withColumn("week_num", each).select("customer_id", "week_num", "article_id", "price", "place")
 
 
 def repurchase_samples(log: DataFrame, strategy: str, start: int, end: int, k: int = 12, customers: DataFrame | list | None = None, default_week: int = 103) -> DataFrame:
