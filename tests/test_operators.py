@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.functions.calendar import Calendar, wednesday
-from weftline.functions.encoders import encoded_by, hashed_text
+from weftline.functions.encoders import encoded_by, hashed_text, images_by
 from weftline.operators import candidates as O
-from weftline.operators import checks, features, popularity, ranking, repurchase, subsets
-from weftline.sources.tables import Bundle, clean_transactions, path_to, read_csv
+from weftline.operators import checks, features, popularity, ranking, repurchase, runs, subsets
+from weftline.operators.ingest import ingest
+from weftline.sources.tables import Bundle, clean_transactions, path_to, read_csv, read_mapping_object
 
 
 def frame(spark, rows, schema):
@@ -260,3 +261,64 @@ def test_stream_of_weeks(spark, tmp_path):
     q.stop()
     batch = weekly_counts(spark.read.parquet(str(tmp_path / "e")))
     assert got(spark.table("weeks"), "week_start", "event_type", "n") == got(batch, "week_start", "event_type", "n")
+
+
+def test_last_k_changes_equal_a_walk_over_weeks(spark):
+    rng = random.Random(5)
+    rows = sorted({(c, w, a): (c, w, a, date(2020, 1, 1 + w), float(rng.randint(1, 9)), 1) for c, w, a in ((rng.randint(1, 4), rng.randint(0, 12), rng.randint(1, 7)) for _ in range(60))}.values())
+    log = frame(spark, rows, "customer_id int, week_num int, article_id int, t_dat date, price double, sales_channel_id int")
+    want = []
+    for c in {r[0] for r in rows}:
+        for week in range(4, 11):
+            last = {r[2]: r for r in rows if r[0] == c and r[1] <= week}
+            kept = sorted(last.values(), key=lambda r: (-r[1], r[2]))[:3]
+            want += [(c, week, r[2], r[4], n + 1) for n, r in enumerate(kept)]
+    assert got(repurchase.last_k_distinct(log, 3, 4, 10), "customer_id", "week_num", "article_id", "price", "place") == sorted(want)
+    assert repurchase.last_k_changes(log, 3, 4, 10).count() < len(want)
+    assert repurchase.last_k_changes(log.limit(0), 3, 4, 10).count() == 0
+
+
+def test_images_and_mappings(spark, tmp_path):
+    df = frame(spark, [(1, bytearray(b"abc")), (2, None), (3, bytearray(b"z"))], "k long, content binary")
+    found = images_by(df, "k", "content", 2, lambda: lambda images: [[float(len(x)), 1.0] for x in images])
+    assert {r.k: tuple(r.vector) for r in found.collect()} == {1: (3.0, 1.0), 2: (0.0, 0.0), 3: (1.0, 1.0)}
+    (tmp_path / "m.json").write_text('{"7": [3, 3, 1],\n "9": []}')
+    assert got(read_mapping_object(spark, str(tmp_path / "m.json")), "customer_id", "articles") == [(7, [3, 3, 1]), (9, [])]
+
+
+def test_ingest(spark, tmp_path):
+    days = ["2020-09-22", "2020-09-16", "2020-09-15", "2020-09-09", "2020-09-08", "2020-08-01"]
+    log = frame(spark, [(d, f"{c:064x}", f"0{100 + n}", 0.5, 2) for c in (1, 2) for n, d in enumerate(days)], "t_dat string, customer_id string, article_id string, price double, sales_channel_id int")
+    customers = frame(spark, [(f"{c:064x}", None, 30) for c in (1, 2)], "customer_id string, FN double, age int")
+    articles = frame(spark, [(100 + n, 5) for n in range(9)], "article_id long, code long")
+    whole = ingest(log, customers, articles, Bundle(spark, str(tmp_path / "a")))
+    assert [whole.load(f"log_{x}").count() for x in ("train", "valid", "test")] == [4, 4, 4]
+    assert {tuple(r.articles) for r in whole.load("items_test").collect()} == {(101, 100)}
+    part = ingest(log, customers, articles, Bundle(spark, str(tmp_path / "b")), share=0.5)
+    assert part.load("customers").count() == 1 and part.load("log_train").count() == 2 and part.load("articles").count() == 6
+    assert part.meta()["meta"]["share"] == 0.5
+
+
+def test_feature_groups():
+    both = runs.FeatureGroups({"numerical": ["x", "y"], "id": ["k"]}).merged(runs.FeatureGroups({"numerical": ["y", "z"], "categorical": ["c"]}))
+    assert both.groups == {"numerical": ["x", "y", "z"], "id": ["k"], "categorical": ["c"]}
+    assert both.names(["numerical", "categorical"]) == ["x", "y", "z", "c"] and both.names(["numerical"], ["z", "x"]) == ["x", "z"]
+    for kinds, wanted in ((["numerical"], ["k"]), (["other"], None)):
+        with pytest.raises(ValueError):
+            both.names(kinds, wanted)
+
+
+def test_runs(spark, tmp_path):
+    rows = frame(spark, [(c, 1, a, float(a % 3), int(a % 3 == 0)) for c in range(4) for a in range(9)], "customer_id int, week_num int, article_id int, x double, label int")
+    actual = frame(spark, [(c, 1, [0, 3, 6]) for c in range(4)], "customer_id int, week_num int, articles array<int>")
+    store = runs.RunStore(spark, str(tmp_path / "runs"))
+    config = ranking.RankerConfig(["x"], trees=2, depth=2)
+    ranker, scores = runs.train_and_validate(config, rows, {"train": (rows, actual)}, store, "first", 3)
+    assert scores["train_map"] == pytest.approx(1)
+    store.save("second", ranking.RankerConfig(["x"], trees=9), {"train_map": 0.5})
+    assert store.best("train_map") == "first" and store.config("first", depth=5) == ranking.RankerConfig(["x"], trees=2, depth=5)
+    assert {r.name: set(r.importance or {}) for r in store.runs().collect()} == {"first": {"x"}, "second": set()}
+    assert ranking.score_rows(spark, [{"x": 0.0}], store.ranker("first")) == pytest.approx(ranking.score_rows(spark, [{"x": 0.0}], ranker))
+    for wrong in (lambda: store.best("other"), lambda: store.config("other")):
+        with pytest.raises(ValueError):
+            wrong()

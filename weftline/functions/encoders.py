@@ -1,4 +1,4 @@
-"""Text to vectors: a hashed bag of words of built-in functions, and a place for models of one's own."""
+"""Texts and images to vectors: a hashed bag of words of built-in functions, and places for models of one's own."""
 
 from __future__ import annotations
 
@@ -27,3 +27,22 @@ def encoded_by(rows: DataFrame, key: str, text: str, make: Callable[[], Callable
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model([t or "" for t in b.column(1).to_pylist()]), pa.list_(pa.float64()))], [key, "vector"])
 
     return rows.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"{key} long, vector array<double>")
+
+
+def images_by(rows: DataFrame, key: str, content: str, size: int, make: Callable[[], Callable[[list[bytes]], list[list[float]]]]) -> DataFrame:
+    """``key, vector`` by an image model that ``make`` builds once in each task; it gets the bytes of the images of an Arrow batch.
+
+    An item without an image has the zero vector of ``size`` numbers; a model's vector of another size fails.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for b in batches:
+            images = b.column(1).to_pylist()
+            found = iter(model([x for x in images if x is not None]))
+            vectors = [[0.0] * size if x is None else list(next(found)) for x in images]
+            if any(len(v) != size for v in vectors):
+                raise ValueError(f"vectors of {size} numbers are wanted")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float64()))], [key, "vector"])
+
+    return rows.select(F.col(key).cast("long"), F.col(content).cast("binary")).mapInArrow(run, f"{key} long, vector array<double>")

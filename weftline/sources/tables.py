@@ -52,8 +52,11 @@ class Bundle:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def save(self, tables: dict[str, DataFrame], meta: dict | None = None, partition_by: dict[str, list[str]] | None = None) -> None:
+    def save(self, tables: dict[str, DataFrame], meta: dict | None = None, partition_by: dict[str, list[str]] | None = None, sort_by: dict[str, list[str]] | None = None) -> None:
+        """Writes all tables; ``sort_by`` orders the rows of each file of a table, without a shuffle."""
         for name, df in tables.items():
+            if sort_by and name in sort_by:
+                df = df.sortWithinPartitions(*sort_by[name])
             df.write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{self.path}/{name}")
         text = json.dumps({"tables": sorted(tables), "meta": meta or {}}, default=str)
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/metadata")
@@ -76,6 +79,13 @@ def read_mapping(spark: SparkSession, path: str, schema: str = "customer_id long
     return spark.read.schema(schema).json(path)
 
 
+def read_mapping_object(spark: SparkSession, path: str) -> DataFrame:
+    """``customer_id, articles`` of one JSON object ``{customer: [articles]}`` in a file: one task reads it whole, so keep large maps as lines."""
+    text = spark.read.text(path, wholetext=True)
+    pairs = text.select(F.explode(F.from_json("value", "map<string,array<bigint>>")).alias("customer_id", "articles"))
+    return pairs.withColumn("customer_id", F.col("customer_id").cast("long"))
+
+
 def read_images(spark: SparkSession, ids: DataFrame, root: str) -> DataFrame:
     """``article_id, content, image_missing``: image files by item, left-joined so that items without one stay."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(root)
