@@ -390,7 +390,7 @@ def profile_nulls(d: Domain) -> DataFrame:
 def gbt_rank_topk(d: Domain) -> DataFrame:
     """The five best candidates of each customer and week by gradient-boosted trees."""
     rows = matrix(d)
-    ranker = ranking.GbtRanker(ranking.RankerConfig(FEATURES, trees=5, depth=3)).train(rows.where(F.col("week_num") < LAST))
+    ranker = ranking.GbtRanker(ranking.RankerConfig(FEATURES)).train(rows.where(F.col("week_num") < LAST))
     return ranker.ranks(rows.where(F.col("week_num") == LAST), 5)
 
 
