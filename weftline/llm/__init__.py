@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("line_dedup", "quality", "decontaminate", "packing", "ngram_join", "warc", "katz", "suffix_dedup", "embedding_dedup", "quote_linking")
+MODULES = ("line_dedup", "quality", "decontaminate", "packing", "ngram_join", "warc", "katz", "suffix_dedup", "embedding_dedup", "quote_linking", "token_store", "prefix_tries", "spelling")
 
 
 def queries() -> dict:

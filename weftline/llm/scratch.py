@@ -25,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme as one of the file system that the session has by default, so that tasks mean the same place."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
 

@@ -92,20 +92,25 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
-def words(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and n+1 offsets of the texts' words."""
-    solid = np.zeros(len(raw) + 2, bool)
-    solid[1:-1] = ~space[raw]
-    edge = solid[1:] != solid[:-1]
-    start, end = np.flatnonzero(edge & solid[1:]), np.flatnonzero(edge & solid[:-1])
+def spans(solid: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of solid bytes within a text, and n+1 offsets of the texts' runs."""
+    padded = np.zeros(len(solid) + 2, bool)
+    padded[1:-1] = solid
+    edge = padded[1:] != padded[:-1]
+    start, end = np.flatnonzero(edge & padded[1:]), np.flatnonzero(edge & padded[:-1])
     inner = off[1:-1]
-    inner = np.unique(inner[(inner > 0) & (inner < len(raw))])
-    cut = inner[solid[inner] & solid[inner + 1]]  # a text ends in a word and the next begins with one
+    inner = np.unique(inner[(inner > 0) & (inner < len(solid))])
+    cut = inner[padded[inner] & padded[inner + 1]]  # a text ends in a run and the next begins with one
     if len(cut):
         start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
     return start, end, np.searchsorted(start, off)
 
 
+def words(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and n+1 offsets of the texts' words."""
+    return spans(~space[raw], off)
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of every word in lower case, and n+1 offsets of the texts' words."""
     start, end, at = words(raw, off, space)
