@@ -89,11 +89,13 @@ def negative_samples(log: DataFrame, pairs: DataFrame, start: int, end: int, k:
 
 
 def training_candidates(log: DataFrame, start: int, end: int, calendar: Calendar, k: int = 12, strategy: str | None = "last_purchase", restrict_positives: bool = True, ratio: float | None = None, customers=None) -> DataFrame:
-    """Labelled candidates of ``start..end`` with their features; history before ``start - 1`` must be in ``log``."""
+    """Labelled candidates of ``start..end`` with their features; history before ``start - 1`` must be in ``log``.
+
+    ``customers`` (a table or list) restricts whose candidates are made, not the sales by which items are popular.
+    """
     if start > end:
         raise ValueError("the first week is after the last")
-    log = of_customers(log, customers)
-    positives = positive_samples(log, start, end)
+    positives = positive_samples(of_customers(log, customers), start, end)
     pairs = positives.select("customer_id", "week_num").distinct()
     negatives, popular = negative_samples(log, pairs, start, end, k, strategy, restrict=not restrict_positives)
     rows = labelled(positives, negatives, restrict_positives)
@@ -102,10 +104,25 @@ def training_candidates(log: DataFrame, start: int, end: int, calendar: Calendar
     return candidate_features(rows, popular, calendar)
 
 
-def inference_candidates(log: DataFrame, week: int, calendar: Calendar, k: int = 12, strategy: str | None = "last_purchase", customers=None) -> DataFrame:
-    """Candidates of the target week for all customers, from history strictly before it."""
-    history = of_customers(log, customers).where(F.col("week_num") < week)
-    pairs = history.select("customer_id").distinct().withColumn("week_num", F.lit(week))
+def target_customers(log: DataFrame, week: int, customers: DataFrame | list | None = None) -> DataFrame:
+    """``customer_id`` of those to make candidates for: a table or list of customers, or all who buy in ``week``."""
+    if customers is None:
+        return log.where(F.col("week_num") == week).select("customer_id").distinct()
+    if isinstance(customers, DataFrame):
+        return customers.select("customer_id").where("customer_id is not null").distinct()
+    kind = log.schema["customer_id"].dataType.simpleString()
+    rows = [(c,) for c in dict.fromkeys(customers) if c is not None]
+    return log.sparkSession.createDataFrame(rows, f"customer_id {kind}")
+
+
+def inference_candidates(log: DataFrame, week: int, calendar: Calendar, k: int = 12, strategy: str | None = "last_purchase", customers: DataFrame | list | None = None) -> DataFrame:
+    """Candidates of the target week, from history strictly before it, for ``customers``: a table or list, known or
+    not, or all who buy in that week.
+
+    Popular items are those of all customers' sales. A customer without history is offered these alone.
+    """
+    history = log.where(F.col("week_num") < week)
+    pairs = target_customers(log, week, customers).withColumn("week_num", F.lit(week))
     rows, popular = negative_samples(history, pairs, week, week, k, strategy, train=False, default_week=week)
     return candidate_features(rows, popular, calendar)
 
@@ -114,7 +131,7 @@ def prepared(
     log: DataFrame, sample: str, start: int, end: int, calendar: Calendar, k: int = 12, strategy: str | None = "last_purchase", restrict_positives: bool = True, ratio: float | None = None, customers=None
 ) -> dict[str, DataFrame]:
     """Candidates of a sample by name: ``train`` has labelled ones of ``start..end``; ``valid`` and ``test`` have
-    inference candidates of week ``end``, from history strictly before it, for the customers who have any.
+    inference candidates of week ``end``, from history strictly before it, for ``customers`` or all who buy in that week.
 
     ``valid`` has ``train`` beside them, for early stopping: labelled candidates of the target week alone.
     The log must reach to the week before ``start`` at least.

@@ -114,14 +114,20 @@ class GbtRanker:
     def __init__(self, config: RankerConfig, model=None):
         self.config, self.model = config, model
 
-    def train(self, rows: DataFrame) -> GbtRanker:
+    def train(self, rows: DataFrame, valid: DataFrame | None = None) -> GbtRanker:
+        """Fits the trees; with labelled rows ``valid``, no more of them once these are not predicted better."""
         from pyspark.ml import Pipeline
         from pyspark.ml.classification import GBTClassifier
         from pyspark.ml.feature import VectorAssembler
 
         c = self.config
         tree = GBTClassifier(labelCol=c.label, maxIter=c.trees, maxDepth=c.depth, stepSize=c.step, seed=c.seed)
-        self.model = Pipeline(stages=[VectorAssembler(inputCols=c.features, outputCol="features", handleInvalid="keep"), tree]).fit(self._typed(rows))
+        own = self._typed(rows)
+        if valid is not None:
+            columns = [*c.features, c.label]
+            own = own.select(*columns, F.lit(False).alias("_valid")).unionByName(self._typed(valid).select(*columns, F.lit(True).alias("_valid")))
+            tree.setValidationIndicatorCol("_valid")
+        self.model = Pipeline(stages=[VectorAssembler(inputCols=c.features, outputCol="features", handleInvalid="keep"), tree]).fit(own)
         return self
 
     def _typed(self, rows: DataFrame) -> DataFrame:

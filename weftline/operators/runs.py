@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .listwise import LambdaConfig, LambdaRanker
 from .ranking import GbtRanker, RankerConfig, mean_precision
 
-RUN = "name string, config string, scores map<string,double>, importance map<string,double>"
+RUN = "name string, config string, scores map<string,double>, importance map<string,double>, kind string"
+TRIAL = "trial int, params string, score double"
+#: Rankers by the name of what they are trained on; a run without a kind is of the first.
+RANKERS = {"RankerConfig": (RankerConfig, GbtRanker), "LambdaConfig": (LambdaConfig, LambdaRanker)}
+
+
+def ranker_for(config: RankerConfig | LambdaConfig) -> GbtRanker | LambdaRanker:
+    """An untrained ranker of the kind that a configuration is for."""
+    return RANKERS[type(config).__name__][1](config)
 
 
 @dataclass(frozen=True)
@@ -41,11 +51,11 @@ class RunStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def save(self, name: str, config: RankerConfig, scores: dict[str, float], ranker: GbtRanker | None = None) -> None:
+    def save(self, name: str, config: RankerConfig | LambdaConfig, scores: dict[str, float], ranker: GbtRanker | LambdaRanker | None = None) -> None:
         """A run's parameters and scores, with the model and its importances if given; a name is used once only."""
         if ranker is not None:
             ranker.save(f"{self.root}/models/{name}")
-        row = (name, config.to_json(), {k: float(v) for k, v in scores.items() if v is not None}, ranker.importance() if ranker else {})
+        row = (name, config.to_json(), {k: float(v) for k, v in scores.items() if v is not None}, ranker.importance() if ranker else {}, type(config).__name__)
         self.spark.createDataFrame([row], RUN).coalesce(1).write.mode("errorifexists").json(f"{self.root}/runs/{name}")
 
     def runs(self) -> DataFrame:
@@ -60,20 +70,42 @@ class RunStore:
             raise ValueError(f"no run has a score {score}")
         return found[0]
 
-    def config(self, name: str, **changes) -> RankerConfig:
-        """A run's configuration, with changes."""
-        found = self.runs().where(F.col("name") == name).select("config").first()
+    def _run(self, name: str):
+        found = self.runs().where(F.col("name") == name).select("config", "kind").first()
         if found is None:
             raise ValueError(f"no such run: {name}")
-        return replace(RankerConfig.from_json(found[0]), **changes)
+        return found[0], RANKERS[found[1] or "RankerConfig"]
 
-    def ranker(self, name: str) -> GbtRanker:
-        return GbtRanker.load(self.spark, f"{self.root}/models/{name}")
-
-
-def train_and_validate(config: RankerConfig, train: DataFrame, parts: dict[str, tuple[DataFrame, DataFrame]], store: RunStore | None = None, name: str = "run", k: int = 12) -> tuple[GbtRanker, dict[str, float]]:
-    """A ranker of the rows ``train``, and its MAP@k on each part: candidates, and what the customers bought (``articles``)."""
-    ranker = GbtRanker(config).train(train)
+    def config(self, name: str, **changes) -> RankerConfig | LambdaConfig:
+        """A run's configuration, with changes."""
+        text, (kind, _) = self._run(name)
+        return replace(kind.from_json(text), **changes)
+
+    def ranker(self, name: str) -> GbtRanker | LambdaRanker:
+        return self._run(name)[1][1].load(self.spark, f"{self.root}/models/{name}")
+
+    def save_trial(self, study: str, trial: dict) -> None:
+        """A trial of a search; its number is used once only in a study."""
+        row = (trial["trial"], json.dumps(trial["params"]), trial["score"])
+        self.spark.createDataFrame([row], TRIAL).coalesce(1).write.mode("errorifexists").json(f"{self.root}/trials/{study}/{trial['trial']:06d}")
+
+    def trials(self, study: str) -> list[dict]:
+        """All trials of a study by number; none if there is no such study."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/trials/{study}")
+        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return []
+        rows = self.spark.read.schema(TRIAL).option("recursiveFileLookup", True).json(folder.toString()).orderBy("trial").collect()
+        return [{"trial": r.trial, "params": json.loads(r.params), "score": r.score} for r in rows]
+
+
+def train_and_validate(
+    config: RankerConfig | LambdaConfig, train: DataFrame, parts: dict[str, tuple[DataFrame, DataFrame]], store: RunStore | None = None, name: str = "run", k: int = 12, valid: DataFrame | None = None
+) -> tuple[GbtRanker | LambdaRanker, dict[str, float]]:
+    """A ranker of the rows ``train``, and its MAP@k on each part: candidates, and what the customers bought (``articles``).
+
+    With labelled rows ``valid`` (``candidates.prepared(...)["train"]`` of the validation week), training stops by them.
+    """
+    ranker = ranker_for(config).train(train, valid)
     scores = {}
     for part, (candidates, actual) in parts.items():
         found = mean_precision(actual, ranker.ranks(candidates, k), k).first()

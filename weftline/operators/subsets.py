@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .candidates import seeded
+from .profiles import null_profile  # noqa: F401  it was defined here
 
 
 def exact_sample(ids: DataFrame, column: str, share: float, seed: int = 42) -> DataFrame:
@@ -34,10 +35,3 @@ def customer_items(log: DataFrame) -> DataFrame:
     """``customer_id, articles``: each customer's items in order of day, then item; repeats stay."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("t_dat", "article_id"))), lambda s: s["article_id"])
     return log.groupBy("customer_id").agg(ordered.alias("articles"))
-
-
-def null_profile(df: DataFrame) -> DataFrame:
-    """``column, n_rows, n_nulls, n_distinct`` of every column, in one pass over the table for the counts."""
-    counts = df.agg(F.count("*").alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"null_{k}") for k, c in enumerate(df.columns)), *(F.count_distinct(c).alias(f"distinct_{k}") for k, c in enumerate(df.columns)))
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col("n").alias("n_rows"), F.col(f"null_{k}").alias("n_nulls"), F.col(f"distinct_{k}").alias("n_distinct")) for k, c in enumerate(df.columns)))
-    return counts.select(F.explode(rows).alias("x")).select("x.*")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import calendar as C
 from ..functions import scalars as S
 from ..operators import candidates as O
-from ..operators import features, popularity, ranking, repurchase, subsets
+from ..operators import checks, features, listwise, popularity, profiles, ranking, repurchase, subsets
+from ..sources.scratch import stored
 from ..sources.tables import Domain
 from ..streaming import weekly
 from .oracle import FIRST, GRID, HISTORY, K, LAST, NEXT, seeded, sql
@@ -40,12 +41,12 @@ def calendar(d: Domain) -> C.Calendar:
     return C.Calendar(d.table("orders").agg(F.to_date(F.max("o_orderdate"))).first()[0])
 
 
-def samples(d: Domain):
-    """(log, positives, candidates, popular items) of the training weeks."""
+def samples(d: Domain, restrict: bool = False):
+    """(log, positives, candidates, popular items) of the training weeks; with ``restrict``, candidates that were bought are taken out."""
     log = d.transactions
     positives = O.positive_samples(log, FIRST, LAST)
     pairs = positives.select("customer_id", "week_num").distinct()
-    rows, popular = O.negative_samples(log, pairs, FIRST, LAST, K, restrict=False)
+    rows, popular = O.negative_samples(log, pairs, FIRST, LAST, K, restrict=restrict)
     return log, positives, rows, popular
 
 
@@ -157,8 +158,7 @@ def repurchase_last_k(d: Domain) -> DataFrame:
 
 @query(sql("select * from unseen", "unseen"))
 def combined_candidates(d: Domain) -> DataFrame:
-    log, _, rows, _ = samples(d)
-    return rows.join(log.select(*O.KEY).distinct(), O.KEY, "left_anti")
+    return samples(d, restrict=True)[2]
 
 
 @query(sql("select * from positives", "positives"))
@@ -179,8 +179,8 @@ def labelled_candidates(d: Domain) -> DataFrame:
 
 @query(sql("select *, 1 as label from positives union all by name select *, 0 as label from unseen", "positives", "unseen"))
 def unrestricted_samples(d: Domain) -> DataFrame:
-    log, positives, rows, _ = samples(d)
-    return O.labelled(positives, rows.join(log.select(*O.KEY).distinct(), O.KEY, "left_anti"), restrict=False)
+    _, positives, rows, _ = samples(d, restrict=True)
+    return O.labelled(positives, rows, restrict=False)
 
 
 @query(
@@ -207,8 +207,9 @@ def candidate_features(d: Domain) -> DataFrame:
   year((select d from mx) - 6) as year, month((select d from mx) - 6) as month, strftime((select d from mx) - 6, '%Y-%m-%d') as week from (
   select *, row_number() over (partition by customer_id, week_num, article_id order by source, price, sales_channel_id) as r from (
     select c.customer_id, {NEXT} as week_num, b.article_id, s.avg_price as price, s.mode_sales_channel_id as sales_channel_id, 'popularity' as source
-    from (select distinct customer_id from tx where week_num < {NEXT}) c, popular b join stats s on s.week_num = b.week_num and s.article_id = b.article_id where b.week_num = {NEXT - 1}
-    union all select customer_id, {NEXT}, article_id, price, sales_channel_id, 'repurchase' from (select *, max(week_num) over (partition by customer_id) as m from tx where week_num < {NEXT}) where week_num = m)) c
+    from (select distinct customer_id from tx where week_num = {NEXT}) c, popular b join stats s on s.week_num = b.week_num and s.article_id = b.article_id where b.week_num = {NEXT - 1}
+    union all select customer_id, {NEXT}, article_id, price, sales_channel_id, 'repurchase' from (select *, max(week_num) over (partition by customer_id) as m from tx where week_num < {NEXT}) where week_num = m
+      and customer_id in (select customer_id from tx where week_num = {NEXT}))) c
 left join popular b on b.week_num = {NEXT - 1} and b.article_id = c.article_id where r = 1""",
         "popular",
         "stats",
@@ -383,7 +384,7 @@ def hex_id_parse(d: Domain) -> DataFrame:
 
 @query(sql(" union all ".join(f"select '{c}' as column, count(*) as n_rows, count(*) - count({c}) as n_nulls, count(distinct {c}) as n_distinct from customers" for c in ("customer_id", "age", "club_member_status", "fashion_news_frequency", "postal_code")), "customers"))
 def profile_nulls(d: Domain) -> DataFrame:
-    return subsets.null_profile(d.customers)
+    return profiles.null_profile(d.customers)
 
 
 @query(None)
@@ -394,6 +395,115 @@ def gbt_rank_topk(d: Domain) -> DataFrame:
     return ranker.ranks(rows.where(F.col("week_num") == LAST), 5)
 
 
+LISTWISE = listwise.LambdaConfig(FEATURES, trees=6, depth=3, patience=2)
+
+
+def listwise_ranker(d: Domain):
+    """(matrix, ranker): learnt from the weeks before the last but one, stopped by that one."""
+    rows = stored(matrix(d), "matrix")
+    week = F.col("week_num")
+    return rows, listwise.LambdaRanker(LISTWISE).train(rows.where(week < LAST - 1), rows.where(week == LAST - 1))
+
+
+@query(None)
+def lambda_rank_topk(d: Domain) -> DataFrame:
+    """The five best candidates of each customer of the last week by trees boosted on NDCG gradients."""
+    rows, ranker = listwise_ranker(d)
+    return ranker.ranks(rows.where(F.col("week_num") == LAST), 5)
+
+
+@query(sql(f"select count(*) as customers, true as at_least_random, true as at_most_ideal from (select distinct customer_id from tx where week_num = {LAST})", "tx"))
+def listwise_bound(d: Domain) -> DataFrame:
+    """Customers with purchases in the last week; whether the listwise ranker's MAP is at least nine tenths of that of an
+    arbitrary order of the same candidates (by key arithmetic), and at most that of the best order."""
+    rows, ranker = listwise_ranker(d)
+    last = rows.where(F.col("week_num") == LAST)
+    actual = ranking.actual_lists(d.transactions, LAST, LAST)
+    chance = last.withColumn("score", O.seeded(*O.KEY).cast("double"))
+    found = ranking.mean_precision(actual, ranker.ranks(last, K), K)
+    random = ranking.mean_precision(actual, ranking.ranked_lists(chance, k=K), K).select(F.col("map").alias("random"))
+    best = ranking.mean_precision(actual, ranking.ranked_lists(last, "label", K), K).select(F.col("map").alias("best"))
+    return found.join(random).join(best).select("customers", (F.col("map") >= 0.9 * F.col("random")).alias("at_least_random"), (F.col("map") <= F.col("best") + 1e-9).alias("at_most_ideal"))
+
+
+NUMBERS = ("customer_id", "week_num", "article_id", "price", "sales_channel_id", "quantity")
+
+
+@query(
+    sql(
+        " union all ".join(
+            f"""select '{c}' as column, count({c}) as n, round(avg({c}::double), 6) as mean, round(stddev_samp({c}::double), 6) as std, min({c})::double as min, quantile_cont({c}::double, 0.25) as q1,
+  quantile_cont({c}::double, 0.5) as median, quantile_cont({c}::double, 0.75) as q3, max({c})::double as max from tx"""
+            for c in NUMBERS
+        ),
+        "tx",
+    )
+)
+def profile_describe(d: Domain) -> DataFrame:
+    found = profiles.described(d.transactions, list(NUMBERS))
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@query(
+    sql(
+        "select * from (select *, cast(row_number() over (partition by \"column\" order by n desc, value nulls last) as integer) as place from ("
+        + " union all ".join(f"select '{c}' as column, cast({c} as varchar) as value, count(*) as n from customers group by all" for c in ("club_member_status", "fashion_news_frequency", "postal_code"))
+        + ")) where place <= 5",
+        "customers",
+    )
+)
+def profile_top_values(d: Domain) -> DataFrame:
+    return profiles.top_values(d.customers, 5, ["club_member_status", "fashion_news_frequency", "postal_code"])
+
+
+@query(sql(" union all ".join(f"select '{c}' as column, count(*) as n_rows, count(*) - count({c}) as n_nulls, true as distinct_close, true as median_close, true as top_close from tx" for c in NUMBERS), "tx"))
+def profile_sketches(d: Domain) -> DataFrame:
+    """Sketches by week, merged: whether distinct counts are within 3 %, medians within 1 % of the ranks, and the top value's count within 1 / FREQUENT of the rows."""
+    log = d.transactions.select(*NUMBERS)
+    weekly = profiles.sketched(log.withColumn("_week", F.col("week_num")), list(NUMBERS), by=["_week"])
+    found = profiles.estimated(profiles.merged(weekly), 1, (0.5,))
+    counts = profiles.value_counts(log)
+    exact = counts.groupBy("column").agg(F.count("value").alias("distinct"), F.max("n").alias("top_n"))
+    median = found.select("column", F.col("quantiles")[0].alias("m"))
+    values = counts.join(median, "column").withColumn("v", F.col("value").cast("double"))
+    ranks = values.groupBy("column").agg(F.sum(F.when(F.col("v") <= F.col("m"), F.col("n")).otherwise(0)).alias("upto"), F.sum(F.when(F.col("v") < F.col("m"), F.col("n")).otherwise(0)).alias("below"))
+    joined = found.join(exact, "column").join(ranks, "column")
+    far = F.col("top_n") - F.coalesce(F.get("top", F.lit(0))["count"], F.lit(0))
+    return joined.select(
+        "column", "n_rows", "n_nulls", (F.abs(F.col("n_distinct") - F.col("distinct")) <= 0.03 * F.col("distinct")).alias("distinct_close"),
+        ((F.col("below") <= 0.51 * F.col("n_rows")) & (F.col("upto") >= 0.49 * F.col("n_rows"))).alias("median_close"), (far <= F.col("n_rows") / profiles.FREQUENT).alias("top_close"),
+    )
+
+
+@query(
+    sql(
+        """select week_num, coalesce(c.source, 'none') as source, case when a.article_id is null then 'left_only' when c.article_id is null then 'right_only' else 'both' end as provenance, count(*) as n
+from candidates c full join actual a using (customer_id, week_num, article_id) group by all""",
+        "candidates",
+        "actual",
+    )
+)
+def candidate_provenance(d: Domain) -> DataFrame:
+    log, _, rows, _ = samples(d)
+    return checks.candidate_coverage(rows, log, FIRST, LAST)
+
+
+@query("select * from (values " + ", ".join(f"('{c}', 0)" for c in ("shape", "repeated", "positives", "negatives", "repurchases", "items", "customers", "matrix", "prices", "similarity")) + ") t(\"check\", violations)")
+def data_checks(d: Domain) -> DataFrame:
+    """Violations of the candidates', panels' and matrix's invariants: none is wanted."""
+    log = d.transactions
+    rows, items, people = stored(matrix(d), "matrix"), stored(item_panel(d), "items"), stored(customer_panel(d), "customers")
+    found = checks.candidate_checks(rows, log, "last_purchase", FIRST, LAST)
+    found |= {
+        "items": checks.panel_shape(items, d.articles, "article_id", *GRID),
+        "customers": checks.panel_shape(people, checks.active_customers(log, *GRID), "customer_id", *GRID),
+        "matrix": checks.matrix_shape(rows, O.training_candidates(log, FIRST, LAST, calendar(d), K)),
+        "prices": checks.customer_price_differences(rows, people),
+        "similarity": checks.similarity_differences(rows, people, d.embeddings),
+    }
+    return checks.report(found).withColumn("violations", F.col("violations").cast("int"))
+
+
 @query("select strftime(time_bucket(interval '7 days', ts, timestamp '1970-01-07'), '%Y-%m-%d') as week_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
 def event_weeks(d: Domain) -> DataFrame:
     events = d.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
