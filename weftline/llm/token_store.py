@@ -39,8 +39,8 @@ SEGMENT_IDS = 1 << 22
 READ_SEGMENTS = 4
 #: Bits of a bitmap for each counter of its rank directory.
 RANK_BITS = 512
-#: Chunks of more bits would take more than two bytes in memory.
-WIDEST = 16
+#: Widths that a level may have: a word of 64 bits holds eight such chunks, or four, in whole bytes.
+WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16)
 #: Files of the manifest that one group of the running sum holds.
 GROUPED = 1000
 MANIFEST = "part int, file string, segment int, place long, n_bytes long, n_ids long, n_docs long"
@@ -48,29 +48,45 @@ MANIFEST = "part int, file string, segment int, place long, n_bytes long, n_ids
 
 def level_widths(ids: np.ndarray) -> list[int]:
     """The widths of the levels that take the fewest bits, a continuation bit for each id of all but the last level included."""
-    bits = int(ids.max()).bit_length() if len(ids) else 1
-    over = [len(ids)] + [int((ids >> np.uint32(k) > 0).sum()) for k in range(1, max(bits, 1))]  # ids with more than k bits
-    best: list[tuple[int, int]] = [(0, 0)] * (len(over) + 1)
-    for a in reversed(range(len(over))):
-        ends = range(a + 1, min(a + WIDEST, len(over)) + 1)
-        best[a] = min((over[a] * (b - a + (b < len(over))) + best[b][0], b) for b in ends)
+    bits = max(int(ids.max()).bit_length(), 1) if len(ids) else 1
+    over = [len(ids)] + [int(np.count_nonzero(ids >= np.uint32(1 << k))) for k in range(1, bits)]  # ids with more than k bits
+    best: list[tuple[int, int]] = [(0, 0)] * bits + [(0, 0)] * WIDTHS[-1]
+    for a in reversed(range(bits)):
+        best[a] = min((over[a] * (w + (a + w < bits)) + best[a + w][0], w) for w in WIDTHS)
     out, a = [], 0
-    while a < len(over):
-        out.append(best[a][1] - a)
-        a = best[a][1]
+    while a < bits:
+        out.append(best[a][1])
+        a += out[-1]
     return out
 
 
 def _bits(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of each value, one after the other."""
-    each = np.unpackbits(values.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
-    return np.packbits(each[:, :width].ravel(), bitorder="little").tobytes()
+    each = 8 if width <= 8 else 4  # chunks of a word
+    padded = np.zeros(-(-len(values) // each) * each, np.uint64)
+    padded[: len(values)] = values
+    rows = padded.reshape(-1, each)
+    word = rows[:, 0].copy()
+    for k in range(1, each):
+        word |= rows[:, k] << np.uint64(k * width)
+    return word.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : each * width // 8].tobytes()
+
+
+def _n_bytes(n: int, width: int) -> int:
+    each = 8 if width <= 8 else 4
+    return -(-n // each) * each * width // 8
 
 
 def _values(body: bytes, n: int, width: int) -> np.ndarray:
-    each = np.zeros((n, 16), np.uint8)
-    each[:, :width] = np.unpackbits(np.frombuffer(body, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return np.packbits(each, axis=1, bitorder="little").view("<u2").ravel()
+    each = 8 if width <= 8 else 4
+    raw = np.frombuffer(body, np.uint8).reshape(-1, each * width // 8)
+    words = np.zeros((len(raw), 8), np.uint8)
+    words[:, : raw.shape[1]] = raw
+    word = words.view("<u8").ravel()
+    out = np.empty((len(raw), each), np.uint32)
+    for k in range(each):
+        out[:, k] = word >> np.uint64(k * width) & np.uint64((1 << width) - 1)
+    return out.ravel()[:n]
 
 
 def _directory(marks: np.ndarray) -> bytes:
@@ -141,9 +157,13 @@ class Segment:
 
     def ids(self) -> np.ndarray:
         """All token ids."""
-        out, own, shift = np.zeros(self.n_ids, np.uint32), np.arange(self.n_ids), 0
-        for width, last, n, chunks, marks, _ in self.levels:
-            out[own] |= _values(self.read(chunks, (n * width + 7) // 8), n, width).astype(np.uint32) << np.uint32(shift)
+        out, own, shift = np.zeros(0, np.uint32), np.arange(self.n_ids), 0
+        for k, (width, last, n, chunks, marks, _) in enumerate(self.levels):
+            found = _values(self.read(chunks, _n_bytes(n, width)), n, width) << np.uint32(shift)
+            if k:
+                out[own] |= found
+            else:
+                out = found
             if not last:
                 own = own[np.unpackbits(np.frombuffer(self.read(marks, (n + 7) // 8), np.uint8), count=n, bitorder="little").astype(bool)]
             shift += width
