@@ -275,3 +275,23 @@ def test_one_edit(a, b):
 
     same = len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
     assert spelling.one_edit(a, b) == (same or within(a, b) or within(b, a))
+
+
+def test_encoder_that_forgets_and_grows_is_the_tokenizer(monkeypatch):
+    """A table that is too small at first, and memories that are dropped: the ids stay those of the tokenizer."""
+    from weftline.llm import packing
+    from weftline.llm import words as W
+
+    monkeypatch.setattr(packing, "PLACES", 64)
+    monkeypatch.setattr(packing, "REMEMBERED", 3000)
+    own = packing.WordwiseEncoder(tokenizer_path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(11)
+    letters = list("abcdefé ßü  .,;\n\n\t'’0179<|>日本😀") + ["<|endoftext|>", "'s", " the", " ", "　"]
+    for n in (1, 50, 4000, 20, 4000):
+        texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(n)]
+        import pyarrow as pa
+
+        raw, off = W.bytes_of(pa.array(texts))
+        ids, at = own.encode(raw, off)
+        want = [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want

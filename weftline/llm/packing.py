@@ -25,8 +25,10 @@ from .scratch import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-#: Distinct words that a task remembers with their ids, and bytes of them; beyond either, it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 1_250_000, 32 << 20
+#: Distinct words that a task remembers with their ids, and ids of them; beyond either, it starts anew.
+REMEMBERED, REMEMBERED_IDS = 1_250_000, 16 << 20
+#: Places of the table that finds a word by its hash; a text with very many new words doubles it.
+PLACES = 1 << 22
 #: Pieces of one length that are ranked together.
 RANKED = 10_000
 
@@ -76,7 +78,7 @@ def encoder(path: str) -> WordwiseEncoder:
 
 
 class WordwiseEncoder:
-    """A byte-level tokenizer's ids of many texts; a word that was seen before costs a lookup.
+    """A byte-level tokenizer's ids of many texts; a word that was seen before costs a lookup by its 64-bit hash.
 
     The ids of the parts between places where pre-tokenisation breaks, joined, are the ids of the whole.
     """
@@ -90,30 +92,55 @@ class WordwiseEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.bytes = 0
+        self.known = 0
+        self.keys, self.slots = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int32)
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.first, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash stands in the table, or the empty place where it belongs."""
+        mask = len(self.keys) - 1
+        at = (hashes >> np.uint64(24)).astype(np.int64) & mask
+        key = self.keys[at]
+        live = np.flatnonzero((key != hashes) & (key != 0))
+        while len(live):
+            at[live] = (at[live] + 1) & mask
+            key = self.keys[at[live]]
+            live = live[(key != hashes[live]) & (key != 0)]
+        return at
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Keeps the ids of words with different hashes that are not in the table."""
         found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        at = len(self.slots)
-        while at + len(n) > len(self.first):
+        while self.known + len(n) > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.first[at : at + len(n)] = self.used + np.cumsum(n) - n
-        self.count[at : at + len(n)] = n
+        self.first[self.known : self.known + len(n)] = self.used + np.cumsum(n) - n
+        self.count[self.known : self.known + len(n)] = n
+        if 2 * (self.known + len(n)) > len(self.keys):
+            there = np.flatnonzero(self.keys)
+            keys, slots = self.keys[there], self.slots[there]
+            size = 1 << (4 * (self.known + len(n))).bit_length()
+            self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._insert(keys, slots)
+        self._insert(hashes, self.known + np.arange(len(n)))
+        self.known += len(n)
         self.used += len(flat)
-        self.slots.update(zip(words, range(at, at + len(n)), strict=True))
-        self.bytes += sum(map(len, words))
+
+    def _insert(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        left = np.arange(len(hashes))
+        while len(left):
+            _, one = np.unique(places := self._places(hashes[left]), return_index=True)  # of those that want the same place, one gets it
+            self.keys[places[one]], self.slots[places[one]] = hashes[left[one]], slots[left[one]]
+            left = np.delete(left, one)
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and n+1 offsets of the texts' ids."""
-        if len(self.slots) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
+        if self.known > REMEMBERED or self.used > REMEMBERED_IDS:
             self._forget()
         whole, cut = raw.tobytes(), breaks(raw)
         for m in self.special.finditer(whole):
@@ -123,12 +150,15 @@ class WordwiseEncoder:
         edges = np.flatnonzero(mark)
         if len(edges) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        words = [whole[a:b] for a, b in pairwise(edges.tolist())]
-        slots = list(map(self.slots.get, words))
-        if None in slots:
-            self._learn(list(dict.fromkeys(w for w, slot in zip(words, slots) if slot is None)))
-            slots = list(map(self.slots.__getitem__, words))
-        slot = np.array(slots, np.int64)
+        hashes = np.maximum(W.span_hashes(raw, edges[:-1], edges[1:]), np.uint64(1))  # 0 is an empty place
+        place = self._places(hashes)
+        new = np.flatnonzero(self.keys[place] == 0)
+        if len(new):
+            own, first = np.unique(hashes[new], return_index=True)
+            at = new[first]
+            self._learn(own, [whole[a:b] for a, b in zip(edges[at].tolist(), edges[at + 1].tolist())])
+            place = self._places(hashes)  # the table may have grown
+        slot = self.slots[place]
         n = self.count[slot]
         before = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(self.first[slot] - before[:-1], n) + np.arange(before[-1])]
