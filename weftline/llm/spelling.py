@@ -34,6 +34,8 @@ FORM_TIMES = 5
 REMEMBERED = 1_000_000
 #: Shards of more words are dealt out by gram and place.
 HOT = 20_000
+#: Words in the shards of one task, about.
+DEALT = 50_000
 #: Runs of more bytes are hashed one by one.
 LONG = 64
 MAX_ROUNDS = 40
@@ -222,7 +224,9 @@ def near_pairs(counts: DataFrame, hot: int = HOT) -> DataFrame:
 
     # those that are indexed come first, so that only they are kept
     order = [F.col("key"), F.col("longer"), F.col("asked"), F.col("word")]
-    dealt_out = rows.repartition("key").sortWithinPartitions(*order)
+    n = sizes.agg(F.sum("size")).first()[0] or 0
+    # rows are few bytes each, but take long: their number says how many tasks there are
+    dealt_out = rows.repartition(1 + n // DEALT, "key").sortWithinPartitions(*order)
     return dealt_out.select("key", "word", "n", "indexed", "asked").mapInArrow(search, NEAR)
 
 
