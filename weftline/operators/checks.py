@@ -173,7 +173,8 @@ def last_purchases_missing(rows: DataFrame, log: DataFrame, start: int, end: int
     log = _of(log, ids, "customer_id").select(*KEY).distinct()
     weeks = log.groupBy("customer_id").agg(F.collect_set("week_num").alias("weeks"))
     after = F.array_min(F.filter("weeks", lambda w: w > F.col("week_num")))
-    wanted = log.join(weeks, "customer_id").withColumn("week_num", F.coalesce(after, F.lit(default_week).cast("int"))).where(F.col("week_num").between(start, end))
+    weeks = weeks.select("customer_id", "weeks", F.explode("weeks").alias("week_num")).withColumn("next", F.coalesce(after, F.lit(default_week).cast("int"))).drop("weeks")
+    wanted = log.join(weeks, ["customer_id", "week_num"]).where(F.col("next").between(start, end)).select("customer_id", F.col("next").alias("week_num"), "article_id")
     return wanted.select(*KEY).distinct().join(rows.select(*KEY).distinct(), KEY, "left_anti")
 
 

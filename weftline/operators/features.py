@@ -5,29 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.encoding import encoded, ordinal_codes
 from ..functions.scalars import AGE_EDGES, age_bin
 from .repurchase import last_k_changes
 
 
-def ordinal_codes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column, value, code``: values as text in their order, numbered from 0; null is the category "nan".
-
-    One pass: all columns' values are stacked and made distinct before they are numbered. An item
-    attribute has few values; the table is as large as all of them.
-    """
-    stacked = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("value")) for c in columns))).alias("x")).select("x.*")
-    number = F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1
-    return stacked.distinct().withColumn("code", number.cast("double"))
-
-
-def encoded(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with columns replaced by their codes; a value that the codes don't know is -1."""
-    for c in columns:
-        own = codes.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        df = df.join(own, F.coalesce(F.col(c).cast("string"), F.lit("nan")) == F.col("_value"), "left").withColumn(c, F.coalesce("_code", F.lit(-1.0))).drop("_value", "_code")
-    return df
-
-
 def customer_features(customers: DataFrame, columns: list[str], nulls: str = "fill", fill: dict | None = None, edges=AGE_EDGES, keep_age: bool = True) -> DataFrame:
     """Customers with lower-case names, nulls filled or dropped, age bins, the median for missing ages, and codes."""
     df = customers.toDF(*(c.lower() for c in customers.columns))
@@ -55,6 +37,22 @@ def _filled(columns: dict[str, str], key: str) -> dict:
     return {name: F.last(c, ignorenulls=True).over(order) for name, c in columns.items()}
 
 
+def carried_means(rows: DataFrame, key: str, value: str, start: int, end: int) -> DataFrame:
+    """``week_num, _mean``: the mean over all ids of their last known values, for each week of ``start..end``.
+
+    A value holds until the id's next one: each takes its place in the sum of its week, and sums run over the weeks. So the filled
+    panel isn't needed, which has a row for each id and week.
+    """
+    known = rows.where(F.col(value).isNotNull() & F.col("week_num").between(start, end))
+    before = F.lag(value).over(Window.partitionBy(key).orderBy("week_num"))
+    changes = known.select("week_num", (F.col(value) - F.coalesce(before, F.lit(0.0))).alias("_more"), F.when(before.isNull(), 1).otherwise(0).alias("_new"))
+    weekly = changes.groupBy("week_num").agg(F.sum("_more").alias("_more"), F.sum("_new").alias("_new"))
+    kind = rows.schema["week_num"].dataType
+    weeks = rows.sparkSession.range(start, end + 1, 1, 1).select(F.col("id").cast(kind).alias("week_num")).join(weekly, "week_num", "left")
+    so_far = Window.orderBy("week_num").rowsBetween(Window.unboundedPreceding, 0)  # a row for each week
+    return weeks.select("week_num", F.try_divide(F.sum("_more").over(so_far), F.sum("_new").over(so_far)).alias("_mean"))
+
+
 def cumulative_ages(log: DataFrame, customers: DataFrame, count_null_ages: bool = True) -> DataFrame:
     """``article_id, week_num, cumulative_mean_age, cumulative_sales_count`` of the weeks in which an item is sold.
 
@@ -86,10 +84,11 @@ def item_week_panel(log: DataFrame, articles: DataFrame, customers: DataFrame, s
     inside = F.col("week_num").between(start, end)
     weekly = log.where(inside).groupBy("article_id", "week_num").agg(F.count("t_dat").alias("sold"), F.avg("price").alias("price"))
     running = cumulative_ages(log, customers).where(inside)
-    grid = weeks_of(articles.select("article_id").distinct(), start, end)
+    ids = articles.select("article_id").distinct()
+    grid = weeks_of(ids, start, end)
     joined = grid.join(weekly.join(running, ["article_id", "week_num"], "left"), ["article_id", "week_num"], "left")
     out = joined.withColumns(_filled({"price": "price", "cumulative_mean_age": "cumulative_mean_age", "cumulative_sales_count": "cumulative_sales_count"}, "article_id"))
-    means = out.groupBy("week_num").agg(F.avg("price").alias("_mean"))
+    means = carried_means(weekly.join(ids, "article_id", "left_semi"), "article_id", "price", start, end)
     middle = customers.agg(F.median("age").alias("_median"))
     out = out.join(F.broadcast(means), "week_num").crossJoin(F.broadcast(middle))
     return out.select(
@@ -119,6 +118,6 @@ def customer_week_panel(log: DataFrame, embeddings: DataFrame, start: int, end:
     active = log.where(F.col("week_num").between(start, end)).select("customer_id").distinct()
     grid = weeks_of(active, start, end).join(prices.join(means, key), key, "left")
     out = grid.withColumns(_filled({"price": "price", "vector": "vector"}, "customer_id"))
-    week = out.groupBy("week_num").agg(F.avg("price").alias("_mean"))
+    week = carried_means(prices.join(active, "customer_id", "left_semi"), "customer_id", "price", start, end)
     out = out.join(F.broadcast(week), "week_num")
     return out.select("customer_id", "week_num", F.coalesce("price", "_mean").alias("customer_avg_price"), F.col("vector").alias("customer_avg_embedding"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.calendar import split_of
+from ..sources.scratch import discard, stored
 from ..sources.tables import Bundle, clean_articles, clean_customers, clean_transactions
 from .subsets import customer_items, subsample
 
@@ -22,8 +24,9 @@ def ingest(transactions: DataFrame, customers: DataFrame, articles: DataFrame, b
     log, customers, articles = clean_transactions(transactions, last_week), clean_customers(customers), clean_articles(articles)
     if share < 1:
         log, customers, articles = subsample(log, customers, articles, share, seed)
-    part = split_of(log["week_num"], last_week - 1, last_week)
-    tables = {f"log_{name}": log.where(part == name) for name in ("train", "valid", "test")}
+    log = stored(log.withColumn("part", split_of(log["week_num"], last_week - 1, last_week)), "cleaned-log", partition_by=["part"])
+    tables = {f"log_{name}": log.where(F.col("part") == name).drop("part") for name in ("train", "valid", "test")}
     tables |= {f"items_{name}": customer_items(tables[f"log_{name}"]) for name in ("valid", "test")}
     bundle.save(tables | {"customers": customers, "articles": articles}, {"share": share, "seed": seed, "last_week": last_week}, sort_by=LAYOUT)
+    discard(log)
     return bundle

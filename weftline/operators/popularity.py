@@ -22,14 +22,17 @@ def rolling_popular_items(log: DataFrame, window: int, k: int, week: str = "week
     sales rank after all others by their number, and the 2k smallest of them are enough to fill up a list.
     """
     log = log.where(F.col(item).isNotNull() & F.col(week).isNotNull())
-    if log.isEmpty():
+    # one pass over two columns tells whether there is anything to rank, what is wrong with it, and which weeks there are
+    found = log.agg(F.min(week), F.max(week), F.min(value) if value else F.lit(0)).first()
+    first, last, least = found
+    if first is None:
         raise ValueError("no rows to rank")
-    if value and not log.where(F.col(value) < 0).isEmpty():
+    if least is not None and least < 0:
         raise ValueError("values must not be negative")
+    kind = log.schema[week].dataType
     sums = log.groupBy(week, item).agg((F.sum(value) if value else F.count("*")).alias("v"))
-    span = log.agg(F.min(week).alias("lo"), F.max(week).alias("hi"))
-    moved = sums.crossJoin(F.broadcast(span)).select(F.explode(F.sequence(F.col(week), F.least(F.col(week) + window - 1, "hi"))).alias(week), item, "v")
-    weeks = span.select(F.explode(F.sequence("lo", "hi")).alias(week))
+    moved = sums.select(F.explode(F.sequence(F.col(week), F.least(F.col(week) + window - 1, F.lit(last)).cast(kind))).alias(week), item, "v")
+    weeks = log.sparkSession.range(first, last + 1, 1, 1).select(F.col("id").cast(kind).alias(week))
     filler = log.select(item).distinct().orderBy(item).limit(2 * k)
     none = weeks.crossJoin(F.broadcast(filler)).withColumn("v", F.lit(0))
     total = moved.unionByName(none).groupBy(week, item).agg(F.sum("v").alias("total"))
@@ -38,9 +41,14 @@ def rolling_popular_items(log: DataFrame, window: int, k: int, week: str = "week
 
 
 def item_week_stats(log: DataFrame, week: str = "week_num", item: str = "article_id", price: str = "price", channel: str = "sales_channel_id") -> DataFrame:
-    """``week, item, count, avg_price, mode_<channel>``; the smallest of equally frequent channels counts."""
+    """``week, item, count, avg_price, mode_<channel>``; the smallest of equally frequent channels counts.
+
+    Rows are counted and summed by channel first, with partial sums; an item has few channels to choose from.
+    """
     known = log.where(F.col(item).isNotNull() & F.col(week).isNotNull())
-    return known.groupBy(week, item).agg(F.count("*").alias("count"), F.avg(price).alias("avg_price"), F.mode(channel, True).alias(f"mode_{channel}"))
+    by_channel = known.groupBy(week, item, channel).agg(F.count("*").alias("n"), F.sum(price).alias("total"), F.count(price).alias("priced"))
+    most = F.max_by(channel, F.when(F.col(channel).isNotNull(), F.struct("n", -F.col(channel))))
+    return by_channel.groupBy(week, item).agg(F.sum("n").alias("count"), F.try_divide(F.sum("total"), F.sum("priced")).alias("avg_price"), most.alias(f"mode_{channel}"))
 
 
 def default_prediction(popular: DataFrame, week: int) -> DataFrame:

@@ -22,12 +22,32 @@ def ranker_for(config: RankerConfig | LambdaConfig) -> GbtRanker | LambdaRanker:
     return RANKERS[type(config).__name__][1](config)
 
 
+#: The key of a column's metadata that holds its kind.
+KIND = "kind"
+
+
+def marked(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    """``df`` with the kind of some columns in their metadata, which joins, selections and Parquet files keep."""
+    for c in columns:
+        df = df.withMetadata(c, df.schema[c].metadata | {KIND: kind})
+    return df
+
+
 @dataclass(frozen=True)
 class FeatureGroups:
     """Columns of a table by kind (numerical, categorical, id, label or any other); fit for a bundle's JSON as ``groups``."""
 
     groups: dict[str, list[str]]
 
+    @classmethod
+    def of(cls, df: DataFrame) -> FeatureGroups:
+        """The kinds that the columns of a table are marked with, in the order of the columns."""
+        found: dict[str, list[str]] = {}
+        for column in df.schema:
+            if KIND in column.metadata:
+                found.setdefault(column.metadata[KIND], []).append(column.name)
+        return cls(found)
+
     def merged(self, *others: FeatureGroups) -> FeatureGroups:
         """All kinds of all tables; a column counts once, at its first place."""
         out: dict[str, dict[str, None]] = {}

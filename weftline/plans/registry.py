@@ -9,9 +9,11 @@ from ..functions import calendar as C
 from ..functions import scalars as S
 from ..operators import candidates as O
 from ..operators import checks, features, listwise, popularity, profiles, ranking, repurchase, subsets
-from ..sources.scratch import stored
+from ..operators.runs import marked
+from ..sources.scratch import new_dir, stored
 from ..sources.tables import Domain
 from ..streaming import weekly
+from ..streaming.rolling import RollingPopularity
 from .oracle import FIRST, GRID, HISTORY, K, LAST, NEXT, seeded, sql
 
 QUERIES: dict = {}
@@ -59,17 +61,28 @@ def article_static(d: Domain) -> DataFrame:
     return features.encoded(articles, features.ordinal_codes(articles, CODES), CODES)
 
 
-def item_panel(d: Domain) -> DataFrame:
-    return features.item_week_panel(d.transactions, d.articles, d.customers, *GRID, HISTORY)
+def item_panel(d: Domain, log: DataFrame | None = None) -> DataFrame:
+    return features.item_week_panel(log or d.transactions, d.articles, d.customers, *GRID, HISTORY)
 
 
-def customer_panel(d: Domain) -> DataFrame:
-    return features.customer_week_panel(d.transactions, d.embeddings, *GRID, HISTORY)
+def customer_panel(d: Domain, log: DataFrame | None = None) -> DataFrame:
+    return features.customer_week_panel(log or d.transactions, d.embeddings, *GRID, HISTORY)
+
+
+def with_features(d: Domain, rows: DataFrame, log: DataFrame) -> DataFrame:
+    """``rows`` with all features; every table marks the kinds of its columns, and the matrix keeps the marks."""
+    numbers = lambda df, *columns: marked(df, "numerical", list(columns))
+    rows = marked(numbers(rows, "bestseller_rank", "price"), "id", O.KEY)
+    articles, customers = marked(article_static(d), "categorical", CODES), numbers(marked(customer_static(d), "categorical", STATIC), "age")
+    items = numbers(item_panel(d, log), "weekly_sales_count", "weekly_avg_price", "cumulative_mean_age", "cumulative_sales_count")
+    people = numbers(customer_panel(d, log), "customer_avg_price")
+    return numbers(ranking.ranking_matrix(rows, articles, customers, items, people, d.embeddings), "similarity", "age_difference", "age_ratio", "price_difference", "price_ratio")
 
 
 def matrix(d: Domain) -> DataFrame:
-    rows = O.training_candidates(d.transactions, FIRST, LAST, calendar(d), K)
-    return ranking.ranking_matrix(rows, article_static(d), customer_static(d), item_panel(d), customer_panel(d), d.embeddings)
+    """The training matrix. The log is joined once and written; candidates and both panels read what they need of it."""
+    log = stored(d.transactions.drop("quantity"), "log")
+    return with_features(d, O.training_candidates(log, FIRST, LAST, calendar(d), K), log)
 
 
 DAY = "((select d from mx) + 1 - (105 - week_num) * 7)"
@@ -203,16 +216,8 @@ def candidate_features(d: Domain) -> DataFrame:
 
 @query(
     sql(
-        f"""select c.customer_id, c.week_num, c.article_id, c.price, c.sales_channel_id, c.source, coalesce(b.bestseller_rank, 999.0) as bestseller_rank,
-  year((select d from mx) - 6) as year, month((select d from mx) - 6) as month, strftime((select d from mx) - 6, '%Y-%m-%d') as week from (
-  select *, row_number() over (partition by customer_id, week_num, article_id order by source, price, sales_channel_id) as r from (
-    select c.customer_id, {NEXT} as week_num, b.article_id, s.avg_price as price, s.mode_sales_channel_id as sales_channel_id, 'popularity' as source
-    from (select distinct customer_id from tx where week_num = {NEXT}) c, popular b join stats s on s.week_num = b.week_num and s.article_id = b.article_id where b.week_num = {NEXT - 1}
-    union all select customer_id, {NEXT}, article_id, price, sales_channel_id, 'repurchase' from (select *, max(week_num) over (partition by customer_id) as m from tx where week_num < {NEXT}) where week_num = m
-      and customer_id in (select customer_id from tx where week_num = {NEXT}))) c
-left join popular b on b.week_num = {NEXT - 1} and b.article_id = c.article_id where r = 1""",
-        "popular",
-        "stats",
+        """select * exclude (d0), year(d0) as year, month(d0) as month, strftime(d0, '%Y-%m-%d') as week from (select *, (select d from mx) - 6 as d0 from offered)""",
+        "offered",
     )
 )
 def inference_candidates(d: Domain) -> DataFrame:
@@ -273,8 +278,9 @@ def embedding_cosine(d: Domain) -> DataFrame:
 
 @query(
     sql(
-        """select *, round(s.age - cumulative_mean_age, 6) as age_difference, round((s.age - cumulative_mean_age) / s.age, 6) as age_ratio from (
-  select c.customer_id, c.week_num, c.article_id, c.label, c.source, c.bestseller_rank, c.price, a.brand, a.type, a.size, i.weekly_sales_count, i.cumulative_mean_age, i.cumulative_sales_count,
+        """select * exclude (exact_price), round(s.age - cumulative_mean_age, 6) as age_difference, round((s.age - cumulative_mean_age) / s.age, 6) as age_ratio,
+  round(case when exact_price <> 0 then (price - exact_price) / exact_price end, 6) as price_ratio from (
+  select p.customer_avg_price as exact_price, c.customer_id, c.week_num, c.article_id, c.label, c.source, c.bestseller_rank, c.price, a.brand, a.type, a.size, i.weekly_sales_count, i.cumulative_mean_age, i.cumulative_sales_count,
     round(p.customer_avg_price, 3) as customer_avg_price, round(i.weekly_avg_price, 3) as weekly_avg_price,
     round(case when p.vector is null or e.embedding is null then 0.0 else list_cosine_similarity(p.vector, e.embedding::double[]) end, 5) as similarity
   from dated c left join articles a on a.article_id = c.article_id
@@ -289,11 +295,36 @@ def embedding_cosine(d: Domain) -> DataFrame:
     )
 )
 def ranker_matrix(d: Domain) -> DataFrame:
-    rounded = {"customer_avg_price": 3, "weekly_avg_price": 3, "similarity": 5, "age_difference": 6, "age_ratio": 6}
+    rounded = {"customer_avg_price": 3, "weekly_avg_price": 3, "similarity": 5, "age_difference": 6, "age_ratio": 6, "price_ratio": 6}
     plain = ["customer_id", "week_num", "article_id", "label", "source", "bestseller_rank", "price", "brand", "type", "size", "weekly_sales_count", "cumulative_mean_age", "cumulative_sales_count", "age"]
     return matrix(d).select(*plain, *(F.round(c, n).alias(c) for c, n in rounded.items()))
 
 
+@query(
+    sql(
+        f"""select m.*, round(s.age - cumulative_mean_age, 6) as age_difference from (
+  select c.customer_id, c.week_num, c.article_id, c.source, c.bestseller_rank, c.price, a.brand, i.weekly_sales_count, i.cumulative_mean_age, i.cumulative_sales_count,
+    round(p.customer_avg_price, 3) as customer_avg_price, round(case when p.vector is null or e.embedding is null then 0.0 else list_cosine_similarity(p.vector, e.embedding::double[]) end, 5) as similarity
+  from offered c left join articles a on a.article_id = c.article_id
+  left join item_panel i on i.article_id = c.article_id and i.week_num = {NEXT - 1}
+  left join customer_panel p on p.customer_id = c.customer_id and p.week_num = {NEXT - 1}
+  left join embeddings e on e.vec_id = c.article_id) m left join (select customer_id, age from static) s using (customer_id)""",
+        "offered",
+        "articles",
+        "static",
+        "item_panel",
+        "customer_panel",
+    )
+)
+def inference_matrix(d: Domain) -> DataFrame:
+    """What the ranker scores: the candidates of the target week with the features of the week before."""
+    log = stored(d.transactions.drop("quantity"), "log")
+    rows = with_features(d, O.inference_candidates(log, NEXT, calendar(d), K), log)
+    rounded = {"customer_avg_price": 3, "similarity": 5, "age_difference": 6}
+    plain = ["customer_id", "week_num", "article_id", "source", "bestseller_rank", "price", "brand", "weekly_sales_count", "cumulative_mean_age", "cumulative_sales_count"]
+    return rows.select(*plain, *(F.round(c, n).alias(c) for c, n in rounded.items()))
+
+
 @query(sql("select customer_id, week_num, count(*) as n from labelled group by all", "labelled"))
 def group_sizes(d: Domain) -> DataFrame:
     _, positives, rows, _ = samples(d)
@@ -511,6 +542,37 @@ def event_weeks(d: Domain) -> DataFrame:
     return found.select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def streamed_events(d: Domain) -> DataFrame:
+    """The events as a stream of files; a pattern may be one file, a plain path must be a folder."""
+    path = f"{d.dir}/[e]vents.parquet"
+    return d.spark.readStream.schema(d.table("events").schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("select count(*) as n, count(distinct event_id) as events, sum(hash_free) as total from (select distinct event_id, user_id as hash_free from events)")
+def stream_distinct_events(d: Domain) -> DataFrame:
+    """Events read twice by a stream, and kept once each."""
+    folder = new_dir(d.spark, "events")
+    twice = streamed_events(d).unionByName(streamed_events(d))
+    kept = weekly.distinct_events(twice, "4000 days").select("event_id", "user_id")
+    kept.writeStream.format("parquet").option("path", f"{folder}/kept").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return d.spark.read.parquet(f"{folder}/kept").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"), F.sum("user_id").alias("total"))
+
+
+@query(
+    f"""with e as (select cast(floor(date_diff('day', date '1970-01-01', cast(ts as date)) / 7) as integer) as week_num, user_id as article_id from events where user_id is not null)
+select week_num, article_id, cast(total as bigint) as total, cast(place as integer) as place from (select *, row_number() over (partition by week_num order by total desc, article_id) as place from (
+  select week_num, article_id, sum(v) as total from (
+    select s.week_num + m.m as week_num, article_id, v from (select week_num, article_id, count(*) as v from e group by all) s, (select unnest(range(0, 4))::integer as m) m where s.week_num + m.m <= (select max(week_num) from e)
+    union all select w.week_num, a.article_id, 0 from (select distinct article_id from e) a, (select unnest(range(min(week_num), max(week_num) + 1))::integer as week_num from e) w) group by all)) where place <= {K}"""
+)
+def stream_rolling_users(d: Domain) -> DataFrame:
+    """The most active users of every four weeks, kept up by a stream of events."""
+    state = RollingPopularity(d.spark, new_dir(d.spark, "rolling"), 4, K)
+    week = F.floor(F.datediff("ts", F.lit("1970-01-01")) / 7)
+    state.start(streamed_events(d).select(week.alias("week_num"), F.col("user_id").alias("article_id"))).awaitTermination()
+    return state.lists()
+
+
 @query(
     """select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from (
   select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as visit from (

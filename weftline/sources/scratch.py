@@ -37,17 +37,18 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, *replaced: DataFrame) -> DataFrame:
+def stored(df: DataFrame, name: str, *replaced: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: a lost executor costs no recomputation before it.
 
     Tables in ``replaced``, stored before, are deleted once this one is whole: nothing may read them any more.
+    With ``partition_by``, rows of each value are in folders of their own, and reads of one value skip the others.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*(partition_by or [])).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
