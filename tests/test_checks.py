@@ -215,3 +215,27 @@ def test_appended_weeks_are_those_of_the_full_panels(spark, world, tmp_path):
         full = features.customer_week_panel(w["log"], w["vectors"], START, week, (1, week), 3)
         assert own(store.customer_panel().select(*people, "week_num"), week) == own(full.select(*people, "week_num"), week)
     assert store.item_panel().select("week_num").distinct().count() == END - START + 1
+
+
+def test_a_matrix_over_buckets_joins_customers_without_an_exchange(spark, world):
+    from weftline.operators import layout
+
+    w = world
+    static, people = w["articles"].withColumn("brand", F.lit(1.0)), w["customers"].withColumn("age", F.coalesce("age", F.lit(30.0)))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = ranking.ranking_matrix(w["made"], static, people, w["items"], w["people"], w["vectors"])
+        t = layout.lay_out_inputs(w["made"], people, w["items"], w["people"], "bucketed", 4)
+        with layout.joined_within_buckets(spark):
+            made = ranking.ranking_matrix(t["candidates"], static, t["customers"], t["item_panel"], t["customer_panel"], w["vectors"], shifted=True)
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            rows = sorted(map(str, made.select(sorted(made.columns)).collect()))
+        exchanges = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+        assert not any("customer_id" in x for x in exchanges) and sum("week_num" in x for x in exchanges) <= 2
+        assert len(exchanges) < plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert rows == sorted(map(str, plain.select(sorted(plain.columns)).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+        for name in ("candidates", "customers", "item_panel", "customer_panel"):
+            spark.sql(f"drop table if exists bucketed_{name}")

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.scalars import average_precision, cosine, ideal_precision
 
 
-def ranking_matrix(candidates: DataFrame, articles: DataFrame, customers: DataFrame, item_panel: DataFrame, customer_panel: DataFrame, embeddings: DataFrame) -> DataFrame:
+def ranking_matrix(candidates: DataFrame, articles: DataFrame, customers: DataFrame, item_panel: DataFrame, customer_panel: DataFrame, embeddings: DataFrame, shifted: bool = False) -> DataFrame:
     """Candidates with static features, both panels of the week before, similarity and derived ratios.
 
     Every right side has one row for each key, so no candidate is multiplied. Divisions by zero give null.
+    Panels that are ``shifted`` have the week in which they are used already (``layout.lay_out_inputs``). What is looked up by customer comes
+    first, so that candidates in buckets of the customer are dealt anew once only, by item.
     """
-    before = lambda df: df.withColumn("week_num", F.col("week_num") + 1)
-    out = candidates.join(articles, "article_id", "left").join(customers, "customer_id", "left")
-    out = out.join(before(item_panel), ["article_id", "week_num"], "left").join(before(customer_panel), ["customer_id", "week_num"], "left")
+    before = lambda df: df if shifted else df.withColumn("week_num", F.col("week_num") + 1)
+    out = candidates.join(customers, "customer_id", "left").join(before(customer_panel), ["customer_id", "week_num"], "left")
+    out = out.join(before(item_panel), ["article_id", "week_num"], "left").join(articles, "article_id", "left")
     out = out.join(embeddings.select("article_id", F.col("vector").alias("_vector")), "article_id", "left")
     out = out.withColumn("similarity", cosine(F.col("customer_avg_embedding"), F.col("_vector"))).drop("_vector", "customer_avg_embedding")
     age = F.col("age") - F.col("cumulative_mean_age")

@@ -9,6 +9,7 @@ from ..functions import calendar as C
 from ..functions import scalars as S
 from ..operators import candidates as O
 from ..operators import checks, features, listwise, popularity, profiles, ranking, repurchase, subsets
+from ..operators.incremental import PanelStore
 from ..operators.runs import marked
 from ..sources.scratch import new_dir, stored
 from ..sources.tables import Domain
@@ -251,6 +252,30 @@ def article_week_panel(d: Domain) -> DataFrame:
     return item_panel(d).withColumn("weekly_avg_price", F.round("weekly_avg_price", 3))
 
 
+LATE = (103, 104)
+
+
+def appended(d: Domain) -> PanelStore:
+    """Panels of the last two weeks, each appended to the state that the week before left."""
+    log = stored(d.transactions.where(F.col("week_num").between(*HISTORY)), "log")
+    store = PanelStore(d.spark, new_dir(d.spark, "panels"), LATE[0])
+    store.begin(log, d.customers)
+    for week in range(LATE[0], LATE[1] + 1):
+        store.append(log, week, d.articles, d.customers, d.embeddings)
+    return store
+
+
+@query(sql(f"select article_id, week_num, weekly_sales_count, round(weekly_avg_price, 3) as weekly_avg_price, cumulative_mean_age, cumulative_sales_count from item_panel where week_num = {LATE[1]}", "item_panel", grid=LATE))
+def appended_item_week(d: Domain) -> DataFrame:
+    return appended(d).item_panel().where(F.col("week_num") == LATE[1]).withColumn("weekly_avg_price", F.round("weekly_avg_price", 3))
+
+
+@query(sql(f"select customer_id, week_num, round(customer_avg_price, 3) as customer_avg_price, round(list_sum(vector), 6) as vector_sum from customer_panel where week_num = {LATE[1]}", "customer_panel", grid=LATE))
+def appended_customer_week(d: Domain) -> DataFrame:
+    total = F.aggregate("customer_avg_embedding", F.lit(0.0), lambda s, x: s + x)
+    return appended(d).customer_panel().where(F.col("week_num") == LATE[1]).select("customer_id", "week_num", F.round("customer_avg_price", 3).alias("customer_avg_price"), F.round(total, 6).alias("vector_sum"))
+
+
 @query(sql("select * from latest", "latest"))
 def customer_last_k(d: Domain) -> DataFrame:
     log = d.transactions.where(F.col("week_num").between(*HISTORY))
