@@ -357,7 +357,7 @@ def score_blocks(table: DataFrame, answers: DataFrame, s: Settings, losses: dict
     return _by_block(table, answers, score, SCORES)
 
 
-def katz_scores(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, a row for each row of ``docs``.
 
     ``score`` is by n-grams of up to ``order`` words, ``base_score`` by single words.

@@ -166,6 +166,7 @@ def write_archives(pages: DataFrame, directory: str, least: int = REVISIT_BYTES,
     of them, if rows repeat it, under one record identifier) and others revisit it; page_id null counts as
     smaller than any. Other columns are ignored; an empty table writes no archive.
     """
+    directory = qualified(pages.sparkSession, directory)  # without a scheme, tasks would write to their own disks
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     whole = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
     plan = revisits(pages, least).withColumnsRenamed({"page_id": "p", "digest": "d"})
