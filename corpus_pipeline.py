@@ -40,12 +40,12 @@ STAGES = [
     ("benchmark_decontamination", without_benchmarks),
     ("best_fit_packing", packed),
 ]
-#: The stages learn, hash and tokenize, which SQL can't express; tests hold each against brute force.
+#: The stages learn, hash and tokenize, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", docs)  # what the stage before left is deleted then
     return STAGES[-1][1](spark, docs, sf_dir)
