@@ -345,7 +345,7 @@ def test_katz_equals_brute_force(spark):
     texts = ["a b a b c", "a b c", "b c a", "A b zz", "", None, "c c c a b", "q a b"]
     docs = docs_of(spark, texts)
     held = F.col("doc_id") % 3 == 0
-    got = {r.doc_id: r for r in katz.katz_scores(docs, held).collect()}
+    got = {r.doc_id: r for r in katz.katz_scores(docs, held, 2).collect()}
     token = lambda t: [*(t or "").lower().split(), None]
     train = [token(t) for k, t in enumerate(texts) if k % 3]
     uni = Counter(w for t in train for w in t)
