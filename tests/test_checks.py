@@ -239,3 +239,71 @@ def test_a_matrix_over_buckets_joins_customers_without_an_exchange(spark, world)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
         for name in ("candidates", "customers", "item_panel", "customer_panel"):
             spark.sql(f"drop table if exists bucketed_{name}")
+
+
+def test_text_and_image_vectors_side_by_side(spark, world):
+    """Two vectors of each item: both are averaged, both have their similarity, and one alone gives what the plain panel gives."""
+    w = world
+    both = w["vectors"].withColumn("image", F.transform("vector", lambda x: -x)).unionByName(spark.createDataFrame([(50, None, [1.0, 2.0, 3.0])], "article_id int, vector array<double>, image array<double>"))
+    names = {"vector": "customer_avg_text", "image": "customer_avg_image"}
+    panel = features.customer_week_panel(w["log"], both, START, END, HISTORY, 3, names)
+    one_text = features.customer_week_panel(w["log"], both.select("article_id", "vector"), START, END, HISTORY, 3)
+    joined = panel.join(one_text, ["customer_id", "week_num"]).collect()
+    assert panel.columns == ["customer_id", "week_num", *["customer_avg_price"], *names.values()] and len(joined) == one_text.count()
+    assert all(r.customer_avg_text is not None for r in joined if r.customer_avg_embedding is not None)
+    static = w["articles"].withColumn("brand", F.lit(1.0))
+    wanted = {"text_similarity": ("customer_avg_text", "vector"), "image_similarity": ("customer_avg_image", "image")}
+    made = ranking.ranking_matrix(w["made"], static, w["customers"], w["items"], panel, both, similarities=wanted)
+    assert not {"customer_avg_text", "customer_avg_image", "_vector", "_image"} & set(made.columns)
+    assert checks.similarity_differences(made, panel, both, column="text_similarity", own="customer_avg_text").isEmpty()
+    assert checks.similarity_differences(made, panel, both, column="image_similarity", own="customer_avg_image", vector="image").isEmpty()
+    assert made.count() == w["made"].count() and made.where("image_similarity > 0").count() > 0
+
+
+def test_configurations_make_the_same_tables_again(world):
+    from weftline.operators.configs import CandidateConfig, PanelConfig, StaticConfig
+
+    w, cal = world, Calendar(DAY, END)
+    for config in (CandidateConfig(START + 1, END, 4, ratio=2), PanelConfig(START, END, 1, 3), StaticConfig(("age_bin",), fill={"x": "y"})):
+        again = type(config).from_json(config.to_json())
+        assert again.to_json() == config.to_json()
+        with pytest.raises(ValueError):
+            type(config).from_json(config.to_json()[:-1] + ', "other": 1}')
+    with pytest.raises(ValueError):
+        PanelConfig.from_json(CandidateConfig(1, 2).to_json())
+    for bad in (lambda: CandidateConfig(3, 2), lambda: CandidateConfig(1, 2, strategy="none"), lambda: PanelConfig(3, 4, 5)):
+        with pytest.raises(ValueError):
+            bad()
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(PanelConfig(START, END, 1, 3).items(w["log"], w["articles"], w["customers"])) == rows(w["items"])
+    assert rows(PanelConfig(START, END, 1, 3).customers(w["log"], w["vectors"])) == rows(w["people"])
+    assert rows(CandidateConfig(START + 1, END, 4).prepared(w["log"], "train", cal)["train"]) == rows(w["made"])
+
+
+def test_filters_of_transactions_and_tables_by_kind(spark, world, tmp_path):
+    from weftline.operators.repurchase import base_transactions
+    from weftline.sources.tables import Bundle, load_kind, path_to
+
+    log = world["log"]
+    n = lambda **how: base_transactions(log, **how).count()
+    day = DAY + timedelta(days=20)
+    assert n() == log.count() and n(articles=[]) == n(customers=[]) == 0 and n(first_day=day) + n(last_day=day - timedelta(days=1)) == log.count()
+    assert n(articles=world["articles"].where("article_id < 55"), customers=[1, 2]) == log.where("article_id < 55 and customer_id in (1, 2)").count()
+    root = f"file://{tmp_path}/root"
+    Bundle(spark, path_to(root, "candidates", 0.25)).save({"candidates_valid": world["made"].limit(3)})
+    assert load_kind(spark, root, "candidates", "candidates", 0.25, sample="valid").count() == 3
+    for bad in ({"sample": "all"}, {"sample": "test"}):
+        with pytest.raises(ValueError):
+            load_kind(spark, root, "candidates", "candidates", 0.25, **bad)
+    with pytest.raises(ValueError):
+        load_kind(spark, root, "none", "candidates")
+
+
+def test_an_evaluation_of_one_week_takes_no_more(spark):
+    lists = "customer_id int, week_num int, articles array<int>"
+    actual = spark.createDataFrame([(1, 5, [1, 2]), (2, 5, [3])], lists)
+    predicted = spark.createDataFrame([(1, 5, [1, 9]), (2, 5, [9, 3])], lists)
+    found = ranking.evaluation(actual, predicted, predicted, 2, one_week=True).first()
+    assert (found.customers, found.map_model, found.map_heuristic) == (2, 0.5, 0.5) and found.map_ideal == 0.75
+    with pytest.raises(ValueError):
+        ranking.evaluation(actual, predicted.unionByName(predicted.withColumn("week_num", F.lit(6))), predicted, 2, one_week=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import encoded, ordinal_codes
@@ -103,21 +103,33 @@ def vector_means(rows: DataFrame, keys: list[str], vector: str = "vector") -> Da
     return flat.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda s: s["_x"]).alias(vector))
 
 
-def customer_week_panel(log: DataFrame, embeddings: DataFrame, start: int, end: int, history: tuple[int, int], k: int = 5) -> DataFrame:
-    """Every customer active in ``start..end``, in every week of it: mean price and vector of the k latest distinct items.
+def _any(columns) -> Column:
+    """Whether one of the columns is known."""
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.col(c).isNotNull()
+    return found
 
-    Where none of the k items has a vector, neither is known; both are carried on from earlier
+
+def customer_week_panel(log: DataFrame, embeddings: DataFrame, start: int, end: int, history: tuple[int, int], k: int = 5, vectors: dict[str, str] | None = None) -> DataFrame:
+    """Every customer active in ``start..end``, in every week of it: mean price and vectors of the k latest distinct items.
+
+    ``vectors`` names the columns of ``embeddings`` that are averaged (of texts and of images, say) and what their means are called. Where none
+    of the k items is in ``embeddings`` with a vector, neither price nor means are known; they are carried on from earlier
     weeks of the grid, and a price that is still missing is the week's mean.
     """
+    vectors = vectors or {"vector": "customer_avg_embedding"}
     log = log.where(F.col("week_num").between(*history))
     latest = last_k_changes(log, k, start, end)  # what holds until the next change is carried on below
-    with_vectors = latest.join(embeddings.select("article_id", "vector"), "article_id", "left")
+    with_vectors = latest.join(embeddings.select("article_id", *vectors), "article_id", "left")
     key = ["customer_id", "week_num"]
-    prices = with_vectors.groupBy(*key).agg(F.avg("price").alias("price"), F.count("vector").alias("n")).where("n > 0").drop("n")
-    means = vector_means(with_vectors.where("vector is not null"), key)
+    prices = with_vectors.groupBy(*key).agg(F.avg("price").alias("price"), F.count_if(_any(vectors)).alias("n")).where("n > 0").drop("n")
     active = log.where(F.col("week_num").between(start, end)).select("customer_id").distinct()
-    grid = weeks_of(active, start, end).join(prices.join(means, key), key, "left")
-    out = grid.withColumns(_filled({"price": "price", "vector": "vector"}, "customer_id"))
+    known = prices
+    for v in vectors:
+        known = known.join(vector_means(with_vectors.where(F.col(v).isNotNull()), key, v), key, "left")
+    grid = weeks_of(active, start, end).join(known, key, "left")
+    out = grid.withColumns(_filled({c: c for c in ("price", *vectors)}, "customer_id"))
     week = carried_means(prices.join(active, "customer_id", "left_semi"), "customer_id", "price", start, end)
     out = out.join(F.broadcast(week), "week_num")
-    return out.select("customer_id", "week_num", F.coalesce("price", "_mean").alias("customer_avg_price"), F.col("vector").alias("customer_avg_embedding"))
+    return out.select("customer_id", "week_num", F.coalesce("price", "_mean").alias("customer_avg_price"), *(F.col(v).alias(name) for v, name in vectors.items()))

@@ -12,18 +12,22 @@ from pyspark.sql import functions as F
 from ..functions.scalars import average_precision, cosine, ideal_precision
 
 
-def ranking_matrix(candidates: DataFrame, articles: DataFrame, customers: DataFrame, item_panel: DataFrame, customer_panel: DataFrame, embeddings: DataFrame, shifted: bool = False) -> DataFrame:
+def ranking_matrix(candidates: DataFrame, articles: DataFrame, customers: DataFrame, item_panel: DataFrame, customer_panel: DataFrame, embeddings: DataFrame, shifted: bool = False, similarities: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Candidates with static features, both panels of the week before, similarity and derived ratios.
 
     Every right side has one row for each key, so no candidate is multiplied. Divisions by zero give null.
     Panels that are ``shifted`` have the week in which they are used already (``layout.lay_out_inputs``). What is looked up by customer comes
-    first, so that candidates in buckets of the customer are dealt anew once only, by item.
+    first, so that candidates in buckets of the customer are dealt anew once only, by item. ``similarities`` are the cosines that are wanted, each
+    of a column of the customer panel and one of ``embeddings``: by default ``similarity`` of ``customer_avg_embedding`` and ``vector``.
     """
+    similarities = similarities or {"similarity": ("customer_avg_embedding", "vector")}
     before = lambda df: df if shifted else df.withColumn("week_num", F.col("week_num") + 1)
     out = candidates.join(customers, "customer_id", "left").join(before(customer_panel), ["customer_id", "week_num"], "left")
     out = out.join(before(item_panel), ["article_id", "week_num"], "left").join(articles, "article_id", "left")
-    out = out.join(embeddings.select("article_id", F.col("vector").alias("_vector")), "article_id", "left")
-    out = out.withColumn("similarity", cosine(F.col("customer_avg_embedding"), F.col("_vector"))).drop("_vector", "customer_avg_embedding")
+    wanted = dict.fromkeys(v for _, v in similarities.values())
+    out = out.join(embeddings.select("article_id", *(F.col(v).alias(f"_{v}") for v in wanted)), "article_id", "left")
+    out = out.withColumns({name: cosine(F.col(own), F.col(f"_{v}")) for name, (own, v) in similarities.items()})
+    out = out.drop(*(f"_{v}" for v in wanted), *(own for own, _ in similarities.values()))
     age = F.col("age") - F.col("cumulative_mean_age")
     price = F.col("price") - F.col("customer_avg_price")
     return out.withColumns({"age_difference": age, "age_ratio": F.try_divide(age, F.col("age")), "price_difference": price, "price_ratio": F.try_divide(price, F.col("customer_avg_price"))})
@@ -66,8 +70,13 @@ def heuristic_lists(actual: DataFrame, popular: DataFrame, k: int = 12) -> DataF
     return actual.select("customer_id", "week_num").join(weekly, "week_num").select("customer_id", "week_num", "articles")
 
 
-def evaluation(actual: DataFrame, predicted: DataFrame, heuristic: DataFrame, k: int = 12) -> DataFrame:
-    """One row: customers' weeks, and the mean precisions of the model, of the heuristic, and of the model's items in the best order."""
+def evaluation(actual: DataFrame, predicted: DataFrame, heuristic: DataFrame, k: int = 12, one_week: bool = False) -> DataFrame:
+    """One row: customers' weeks, and the mean precisions of the model, of the heuristic, and of the model's items in the best order.
+
+    With ``one_week``, predictions of several weeks are an error, as an inference is for one.
+    """
+    if one_week:
+        single_week(predicted)
     model = mean_precision(actual, predicted, k)
     plain = mean_precision(actual, heuristic, k).select(F.col("map").alias("map_heuristic"))
     return model.join(plain).select("customers", F.col("map").alias("map_model"), "map_heuristic", F.col("ideal_map").alias("map_ideal"))

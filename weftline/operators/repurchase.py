@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,25 @@ def require(df: DataFrame, columns: tuple[str, ...]) -> None:
         raise ValueError(f"columns are missing: {missing}")
 
 
+def of_keys(rows: DataFrame, key: str, wanted: DataFrame | list | None = None) -> DataFrame:
+    """Rows of some keys, given as a table or a list; None means all, an empty list none."""
+    if wanted is None:
+        return rows
+    if isinstance(wanted, DataFrame):
+        return rows.join(wanted.select(key).distinct(), key, "left_semi")
+    return rows.where(F.col(key).isin(wanted) if wanted else F.lit(False))
+
+
 def of_customers(log: DataFrame, customers: DataFrame | list | None = None) -> DataFrame:
-    """Rows of some customers; None means all, an empty list none."""
-    if customers is None:
-        return log
-    if isinstance(customers, DataFrame):
-        return log.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
-    return log.where(F.col("customer_id").isin(customers) if customers else F.lit(False))
+    return of_keys(log, "customer_id", customers)
+
+
+def base_transactions(log: DataFrame, first_day: date | None = None, last_day: date | None = None, customers: DataFrame | list | None = None, articles: DataFrame | list | None = None) -> DataFrame:
+    """Purchases of some days (both included), customers and articles; None means all, an empty list none."""
+    for bound, inside in ((first_day, F.col("t_dat") >= F.lit(first_day)), (last_day, F.col("t_dat") <= F.lit(last_day))):
+        if bound is not None:
+            log = log.where(inside)
+    return of_keys(of_keys(log, "customer_id", customers), "article_id", articles)
 
 
 def next_purchase_week(log: DataFrame, default_week: int = 103) -> DataFrame:

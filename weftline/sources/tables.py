@@ -70,6 +70,13 @@ class Bundle:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
 
+def load_kind(spark: SparkSession, root: str, kind: str, table: str, subsample: float = 1, seed: int = 42, sample: str | None = None) -> DataFrame:
+    """A table of one of the KINDS, from the folder of its share of customers; with ``sample`` (train, valid or test), that part of it."""
+    if sample not in (None, "train", "valid", "test"):
+        raise ValueError(f"no such sample: {sample}")
+    return Bundle(spark, path_to(root, kind, subsample, seed)).load(f"{table}_{sample}" if sample else table)
+
+
 def save_mapping(mapping: DataFrame, path: str) -> None:
     """A table ``(key, list)`` as lines of JSON; large maps stay tables."""
     mapping.write.mode("overwrite").json(path)
