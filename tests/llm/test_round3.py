@@ -295,3 +295,44 @@ def test_encoder_that_forgets_and_grows_is_the_tokenizer(monkeypatch):
         ids, at = own.encode(raw, off)
         want = [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+
+
+# quotation linking
+
+
+def test_generated_reply_trees_are_found_and_quotes_taken_out(spark):
+    """Answers quote all or one of the lines of what they answer, some with its own quotes nested, under announcements in any language, marked in several ways."""
+    from weftline.llm import quote_linking
+
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for conv in range(12):
+        own, text = {}, {}
+        for turn in range(int(rng.integers(2, 14))):
+            own[turn] = [f"conversation {conv} says {turn} with {k} {rng.integers(1 << 30)}" for k in range(int(rng.integers(1, 4)))]
+            up = int(rng.integers(0, turn)) if turn and rng.random() < 0.8 else None
+            lines = []
+            if up is not None:
+                mark = str(rng.choice(["> ", ">", " > "]))
+                some = own[up] if rng.random() < 0.5 else [own[up][int(rng.integers(len(own[up])))]]
+                nested = [x for x in text[up] if x.lstrip().startswith(">")] if rng.random() < 0.5 else []
+                lines = [str(rng.choice(["Am Montag schrieb u:", "On Monday, u wrote:", "u a écrit :"]))] * int(rng.integers(0, 2)) + [mark + x.upper() for x in nested + some]
+            text[turn] = lines + own[turn]
+            rows.append((conv, turn, "u", "\n".join(text[turn])))
+            want[conv, turn] = (up, "\n".join(own[turn]))
+    got = quote_linking.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.reply_to, r.text) for r in got} == want
+    order = {}
+    for r in sorted(got, key=lambda r: (r.conv_id, r.position)):
+        order.setdefault(r.conv_id, []).append(r.turn)
+    for conv, turns in order.items():
+        below = lambda up: [x for t in sorted(t for (c, t), w in want.items() if c == conv and w[0] == up) for x in (t, *below(t))]  # noqa: E731, B023
+        assert turns == below(None)
+
+
+def test_lines_that_only_look_like_quotes_stay(spark):
+    from weftline.llm import quote_linking
+
+    rows = [(1, 0, "u", ">>> 1 + 1\n2\nthat is how"), (1, 1, "a", "see:\n> nobody said this here\nok"), (2, 0, "u", ">"), (2, 1, "u", "")]
+    got = quote_linking.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in got) == sorted(rows) and all(r.reply_to is None for r in got)

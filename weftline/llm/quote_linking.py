@@ -6,8 +6,9 @@ are normalised (marks off, white space collapsed, lower case) and hashed. What a
 level 1 is looked up among the own (level 0) lines and passages of earlier messages of its
 conversation, what it quotes at level n among their lines of level n - 1; the message answers the one
 that its outermost quotes lead to, on ties the one that most of these do, then the latest. Replies stand
-below what they answer, in the order of their turns, and the text of a message is its own lines without
-quotes and without the lines that announce one ("On Monday, u wrote:").
+below what they answer, in the order of their turns, and the text of a message that answers one is its own lines without
+quotes and without the lines that announce one: an own line right above a quote that ends in a colon, in whatever language.
+Where quotes lead nowhere, they may be anything (code, a prompt): the text stays whole.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ LEAST_WORDS = 3
 #: Turns that a running sum takes together before the sums of such groups are added up.
 TURNS = 10_000
 MAX_ROUNDS = 64
-#: A line that announces the quote below it.
-ANNOUNCED = r"(?m)^On [^\n>]*\bwrote:[ \t]*\n(?=\s*>)"
+#: A line that announces the quote right below it.
+ANNOUNCED = r"(?m)^[^\n>]*:[ \t]*\n(?=\s*>)"
 _MARKS = r"^(\s*>)+\s?"
 
 
@@ -124,10 +125,10 @@ def reply_order(nodes: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """``conv_id, position, turn, role, text, reply_to, depth, n_quoted``, a row for each row of ``messages``.
 
-    Ordered by position, a conversation's replies follow what they answer; text has no quotes, and
+    Ordered by position, a conversation's replies follow what they answer; the text of an answer has no quotes, and
     n_quoted counts the quoted passages that led to the answered turn. ``messages`` needs conv_id, turn, role and text; other
     columns are ignored. A message without quotes, or whose quotes lead nowhere, answers none
-    (reply_to null, depth 0); a null text stays null. Rows that repeat conv_id and turn are one
+    (reply_to null, depth 0) and keeps its text as it is; a null text stays null. Rows that repeat conv_id and turn are one
     message with several texts: they share a position. Where conv_id or turn is null, there
     is no order: reply_to and position are null. An empty table gives no rows.
     """
@@ -138,7 +139,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     order = reply_order(nodes.select("conv_id", "turn", "reply_to"))
     order = order.join(nodes.select("conv_id", "turn", "passages"), ["conv_id", "turn"])
     out = messages.join(order, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "position", "turn", "role", own_text(F.col("text")).alias("text"), "reply_to", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("passages", F.lit(0)).cast("long").alias("n_quoted"))
+    return out.select("conv_id", "position", "turn", "role", F.when(F.col("reply_to").isNotNull(), own_text(F.col("text"))).otherwise(F.col("text")).alias("text"), "reply_to", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("passages", F.lit(0)).cast("long").alias("n_quoted"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
