@@ -336,3 +336,78 @@ def test_lines_that_only_look_like_quotes_stay(spark):
     rows = [(1, 0, "u", ">>> 1 + 1\n2\nthat is how"), (1, 1, "a", "see:\n> nobody said this here\nok"), (2, 0, "u", ">"), (2, 1, "u", "")]
     got = quote_linking.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r.conv_id, r.turn, r.role, r.text) for r in got) == sorted(rows) and all(r.reply_to is None for r in got)
+
+
+# decontamination
+
+
+def brute_overlaps(docs, items, least_item=5, least_fuzzy=8, min_words=10):
+    """By all diagonals of all pairs: the best stretch of each document and item."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate(LOWER))
+    out = {}
+    for d, text in docs:
+        mine = words(text)
+        for i, item in items:
+            own = words(item)
+            least = min(min_words, len(own))
+            for shift in range(-len(own) + 1, len(mine)) if own else ():
+                lo, hi = max(0, -shift), min(len(own), len(mine) - shift)
+                equal = np.array([own[k] == mine[k + shift] for k in range(lo, hi)], bool)
+                if hi - lo < least:
+                    continue
+                total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
+                spans = [(b - a, -a, a, b) for a in range(len(total)) for b in range(a + least, len(total)) if total[b] >= total[a]]
+                if not spans:
+                    continue
+                _, _, a, b = max(spans)
+                while b - a > least and not equal[b - 1]:
+                    b -= 1
+                while b - a > least and not equal[a]:
+                    a += 1
+                matched = int(equal[a:b].sum())
+                if least >= least_fuzzy or matched == least >= least_item:
+                    out[d, i] = max(out.get((d, i), (0, 0, 0, 0)), (matched, a - b, -(lo + a + shift), -(lo + a)))
+    return {(d, i, m, -n, -x, -y) for (d, i), (m, n, x, y) in out.items()}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"least_item": 1}, {"least_item": 3, "least_fuzzy": 9, "min_words": 12}])
+def test_overlaps_with_several_items_masks_and_blocks_equal_brute_force(spark, monkeypatch, bounds):
+    """Items of 1 to 25 words, planted with substitutions in texts of few different words, so that seeds repeat; in one pass and in several, in small pieces."""
+    from weftline.llm import decontaminate
+
+    rng = np.random.default_rng(3)
+    some = [f"w{k}" for k in range(14)]
+    items = [(k, " ".join(rng.choice(some, n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 25, 25])] + [(50, "w1 " * 14), (51, ""), (52, None), (53, "w1 w2 " * 8)]
+    docs = []
+    for k in range(24):
+        words = list(rng.choice(some, int(rng.integers(0, 60))))
+        item = (items[int(rng.integers(len(items)))][1] or "").split()
+        item = [w if rng.random() > 0.12 else "zzz" for w in item]
+        docs.append((k, " ".join(words[:20] + item + words[20:])))
+    docs += [(90, "w1 " * 70), (91, "w2 w1 " * 30), (92, None), (93, "")]
+    want = brute_overlaps(docs, items, **bounds)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.overlaps(d, i, **bounds).collect()} == want and len(want) > 10
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    assert {tuple(r) for r in decontaminate.overlaps(d, i, **bounds).collect()} == want
+    with pytest.raises(ValueError):
+        decontaminate.overlaps(d, i, least_fuzzy=5)
+
+
+def test_very_repetitive_texts_cost_little():
+    """A thousand times one word against two hundred thousand times: a second or so, not all pairs of places."""
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from weftline.llm import decontaminate
+    from weftline.llm import words as W
+
+    items = decontaminate.Items(np.arange(1), pa.array(["word " * 1000]))
+    h, _, _, at = W.word_hashes(*W.bytes_of(pa.array(["word " * 200_000])), W.PLAIN)
+    tracemalloc.start()
+    began = time.time()
+    assert list(items.in_texts(h, at)) == [(0, 0, 1000, 1000, 0, 0)]
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()

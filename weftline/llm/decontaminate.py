@@ -22,8 +22,10 @@ MASKS = ("111011", "11010011", "11111")
 MIN_WORDS = 10
 #: An item of fewer words than MIN_WORDS counts as a whole, from this size on with up to 20 % of substitutions.
 LEAST_FUZZY = 8
-#: A still shorter item counts when all of its words stand in a row; under this, it never counts.
+#: A still shorter item counts when all of its words stand in a row; under this, it never counts unless asked for.
 LEAST_ITEM = 5
+#: Pairs of runs of seeds that are expanded at once.
+PAIRS = 1 << 20
 MISMATCH = -4
 #: Words of items that one pass over the documents looks for; more items take more passes.
 BLOCK_WORDS = 500_000
@@ -59,21 +61,35 @@ def best_stretch(equal: np.ndarray, least: int) -> tuple[int, int]:
     return a, b
 
 
+def seed_runs(h: np.ndarray, pos: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one seed hash at neighbouring places of a text begin, and their lengths; the rows are in the order of text and place, or of hash, text and place."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (pos[1:] != pos[:-1] + 1) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(h)))
+
+
 class Items:
-    """The items of one pass: word hashes and a sorted seed table."""
+    """The items of one pass: word hashes and a sorted table of runs of seeds for each mask."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array):
+    def __init__(self, ids: np.ndarray, texts: pa.Array, least_item: int = LEAST_ITEM, least_fuzzy: int = LEAST_FUZZY, min_words: int = MIN_WORDS):
         raw, off = W.bytes_of(texts)
-        self.ids = ids
+        self.ids, self.least_item, self.least_fuzzy, self.min_words = ids, least_item, least_fuzzy, min_words
         self.hashes, _, _, self.at = W.word_hashes(raw, off, W.PLAIN)
         self.count = np.diff(self.at)
         self.tables = []
         text = np.repeat(np.arange(len(self.count)), self.count)
-        for mask in MASKS:
+        # items of fewer words than the masks' stretch of equal words are looked up whole
+        for mask in (*MASKS, *("1" * n for n in range(max(least_item, 1), len(MASKS[-1])))):
             h, pos = seeds(self.hashes, self.at, mask)
+            if mask not in MASKS:
+                whole = self.count[text[pos]] == len(mask)
+                h, pos = h[whole], pos[whole]
             order = np.argsort(h, kind="stable")
             h, pos = h[order], pos[order]
-            self.tables.append((mask, h, pos - self.at[text[pos]], text[pos], self._bits(h)))
+            first, n = seed_runs(h, pos, text[pos])
+            h, item = h[first], text[pos[first]]
+            self.tables.append((mask, h, pos[first] - self.at[item], n, item, self._bits(h)))
 
     @staticmethod
     def _bits(h: np.ndarray) -> np.ndarray:
@@ -81,46 +97,90 @@ class Items:
         bits[h >> np.uint64(42)] = True
         return bits
 
-    def in_texts(self, hashes: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(text, item, matched, words, first word in the text, first word in the item), the best of each text and item."""
-        found = []
+    def _diagonals(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distinct rows ``text, item, shift`` on which a seed is common.
+
+        Where a seed stands m times in a row in a text and n times in an item, these are m + n - 1 shifts, not m times n. They are made in pieces
+        of a bounded size, of which only the distinct ones stay: there are never more than a text's and an item's words together.
+        """
         text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        for mask, table, item_word, item, bits in self.tables:
+        found = np.zeros((0, 3), np.int64)
+        for mask, table, item_word, item_n, item, bits in self.tables:
             h, pos = seeds(hashes, at, mask)
             near = bits[h >> np.uint64(42)]
             h, pos = h[near], pos[near]
-            a, b = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            n = b - a
-            if n.any():
-                hit = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                p = np.repeat(pos, n)
-                found.append(np.stack([text[p], item[hit], p - at[text[p]] - item_word[hit]], 1))
-        if not found:
-            return
+            first, runs = seed_runs(h, pos, text[pos])
+            h, pos = h[first], pos[first]
+            a, n = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
+            n -= a
+            some = np.flatnonzero(n)
+            upto = np.cumsum(n[some])
+            for k in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+                pair = np.arange(k, min(k + PAIRS, int(upto[-1])))
+                row = np.searchsorted(upto, pair, "right")
+                hit = a[some[row]] + pair - (upto[row] - n[some[row]])
+                mine = some[row]
+                d = text[pos[mine]]
+                # from the text's first place against the item's last to the other way round
+                low = pos[mine] - at[d] - item_word[hit] - item_n[hit] + 1
+                size = runs[mine] + item_n[hit] - 1
+                for x, y in _pieces(size):
+                    shift = np.repeat(low[x:y], size[x:y]) + np.arange(int(size[x:y].sum())) - np.repeat(np.cumsum(size[x:y]) - size[x:y], size[x:y])
+                    rows = np.stack([np.repeat(d[x:y], size[x:y]), np.repeat(item[hit[x:y]], size[x:y]), shift], 1)
+                    found = _distinct(np.concatenate([found, _distinct(rows)]))
+        return found
+
+    def in_texts(self, hashes: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(text, item, matched, words, first word in the text, first word in the item), the best of each text and item."""
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for d, i, shift in np.unique(np.concatenate(found), axis=0).tolist():
+        for d, i, shift in self._diagonals(hashes, at).tolist():
             mine, own = hashes[at[d] : at[d + 1]], self.hashes[self.at[i] : self.at[i + 1]]
             lo, hi = max(0, -shift), min(len(own), len(mine) - shift)
             equal = own[lo:hi] == mine[lo + shift : hi + shift]
-            least = min(MIN_WORDS, len(own))
+            least = min(self.min_words, len(own))
+            if best.get((d, i), (0,))[0] > hi - lo or hi - lo < least:
+                continue  # it can't be better
             a, b = best_stretch(equal, least)
             matched = int(equal[a:b].sum())
-            if b - a >= least and (least >= LEAST_FUZZY or matched == least >= LEAST_ITEM):
+            if b - a >= least and (least >= self.least_fuzzy or matched == least >= self.least_item):
                 best[d, i] = max(best.get((d, i), (0, 0, 0, 0)), (matched, -(b - a), -(lo + a + shift), -(lo + a)))
         for (d, i), (matched, n, at_doc, at_item) in best.items():
             yield d, i, matched, -n, -at_doc, -at_item
 
 
-def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _pieces(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about PAIRS elements, or one larger row."""
+    upto, a = np.cumsum(size), 0
+    while a < len(size):
+        before = int(upto[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(upto, before + PAIRS, "right")))
+        yield a, b
+        a = b
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Distinct rows in order; np.unique over an axis compares bytes and is slower."""
+    if len(rows) < 2:
+        return rows
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    keep = np.ones(len(rows), bool)
+    keep[1:] = (rows[1:] != rows[:-1]).any(1)
+    return rows[keep]
+
+
+def overlaps(docs: DataFrame, items: DataFrame, least_item: int = LEAST_ITEM, least_fuzzy: int = LEAST_FUZZY, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document and benchmark item that overlap: ``doc_id, item_id, n_matched, n_words, doc_word, item_word``.
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are ignored. An overlap
-    has ten words or more, or all of a shorter item, of which 80 % are equal; an item of five to seven
-    words stands in it unchanged, and a still shorter one never counts.
+    has ``min_words`` or more, or all of a shorter item, of which 80 % are equal; an item of under ``least_fuzzy``
+    words stands in it unchanged, and one of under ``least_item`` never counts (from 1 on, all items with words do). Seeds are
+    sure to meet in stretches of eight words with substitutions and of any number without: ``least_fuzzy`` is 8 at least.
     Null and empty texts overlap with nothing, a null id stays null, repeated rows give repeated
     overlaps on the side of ``docs``, and once on the side of ``items``. Items go to the tasks in
     blocks of a bounded number of words, each a pass over the documents.
     """
+    if least_fuzzy < LEAST_FUZZY or least_item < 1 or min_words < 1:
+        raise ValueError("these bounds are too low for the seeds")
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -133,7 +193,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, texts = sent.value
-            here = Items(np.arange(len(ids)), texts)
+            here = Items(np.arange(len(ids)), texts, least_item, least_fuzzy, min_words)
             for batch in batches:
                 for part, raw, off in W.chunks(batch):
                     h, _, _, at = W.word_hashes(raw, off, W.PLAIN)
