@@ -411,3 +411,15 @@ def test_very_repetitive_texts_cost_little():
     assert list(items.in_texts(h, at)) == [(0, 0, 1000, 1000, 0, 0)]
     assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 1 << 30
     tracemalloc.stop()
+
+
+# embedding near-dedup
+
+
+@pytest.mark.parametrize(("kind", "labels"), [("double", [1.2, 1.5, 1.2, None]), ("long", [1 << 40, 5, 1 << 40, None]), ("string", ["a", "b", "a", None]), ("int", [1, 2, 1, None])])
+def test_labels_of_any_type_are_compared_as_they_are(spark, kind, labels):
+    from weftline.llm import embedding_dedup
+
+    rows = spark.createDataFrame([(k, [1.0, 0.5], x) for k, x in enumerate(labels)], f"vec_id long, embedding array<double>, label {kind}")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(rows).collect()}
+    assert got == {0: (1, 0, True), 1: (0, 1, True), 2: (1, 0, False), 3: (0, 3, True)}

@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from .components import components
 from .scratch import stored
@@ -29,12 +30,18 @@ CENTERS, CELL = 1024, 1024
 TOP_RADIUS, LEVELS = 1.0, 5
 #: Bounds are kept this much wider than computed, more than rounding can take away.
 SLACK = 1e-6
-POINTS = "vec_id long, point string, label int, dim int, embedding array<double>"
-CELLED = "point string, n long, label int, dim int, center int, part int, embedding array<double>"
-CELLS = "cell long, label int, dim int, center array<double>, radius double, n int, points array<string>, copies array<long>, vectors binary, tree binary"
+POINTS = "vec_id long, point string, label long, dim int, embedding array<double>"
+CELLED = "point string, n long, label long, dim int, center int, part int, embedding array<double>"
+CELLS = "cell long, label long, dim int, center array<double>, radius double, n int, points array<string>, copies array<long>, vectors binary, tree binary"
 FOUND = "point string, n_links long, other string"
 
 
+def label_key(kind: DataType) -> Column:
+    """Labels of any type as numbers: integers as they are, others by their 64-bit hash; null stays null."""
+    label = F.col("label")
+    return label.cast("long") if isinstance(kind, IntegralType) else F.when(label.isNotNull(), F.xxhash64(label))
+
+
 def points(rows: DataFrame) -> DataFrame:
     """``vec_id, point, label, dim, embedding``; point is null for a vector that links with nothing."""
 
@@ -48,7 +55,7 @@ def points(rows: DataFrame) -> DataFrame:
                 dim.append(len(x) if good else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(point, pa.string()), batch.column(2), pa.array(dim, pa.int32()), batch.column(1)], ["vec_id", "point", "label", "dim", "embedding"])
 
-    rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("int"))
+    rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), label_key(rows.schema["label"].dataType).alias("label"))
     return rows.mapInArrow(read, POINTS)
 
 
@@ -198,7 +205,7 @@ def cells(points_in: DataFrame) -> DataFrame:
             "cell": number, "label": label, "dim": dim, "center": middle.tolist(), "radius": radius, "n": len(x),
             "points": group["point"].take(pa.array(order)).to_pylist(), "copies": group["n"].take(pa.array(order)).to_pylist(), "vectors": x.tobytes(), "tree": pickle.dumps(cover(u)),
         }
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
     return points_in.groupBy("label", "dim", "center", "part").applyInArrow(build, CELLS)
