@@ -423,3 +423,24 @@ def test_labels_of_any_type_are_compared_as_they_are(spark, kind, labels):
     rows = spark.createDataFrame([(k, [1.0, 0.5], x) for k, x in enumerate(labels)], f"vec_id long, embedding array<double>, label {kind}")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(rows).collect()}
     assert got == {0: (1, 0, True), 1: (0, 1, True), 2: (1, 0, False), 3: (0, 3, True)}
+
+
+# pipeline
+
+
+def test_a_pipeline_leaves_few_tables(spark):
+    """Of all tables that its stages store, those that the result is read from are left, and small ones with decisions."""
+    import os
+
+    import corpus_pipeline
+    from weftline.llm.scratch import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    rows = corpus_pipeline.run(spark, SF)
+    assert rows.count() > 100
+    left = set(os.listdir(root)) - before
+    size = sum(os.path.getsize(os.path.join(at, f)) for x in left for at, _, files in os.walk(f"{root}/{x}") for f in files)
+    kinds = sorted(x.removeprefix("weftline-").rsplit("-", 1)[0] for x in left)
+    assert kinds == sorted({"again", "gone", "gone-lines", "pieces", "stage-benchmark_decontamination"} | (set(kinds) & {"preferences"}))
+    assert size < 1.5 * os.path.getsize(f"{SF}/documents.parquet")

@@ -239,6 +239,11 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     repeat a doc_id and its text are one document, whose decisions hold for all of them; a line with
     a null doc_id is kept only where no other document has its like. An empty table gives no rows.
     """
+    return _line_components(docs, num, den)[0]
+
+
+def _line_components(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The lines, and the stored tables that they are read from."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     every = stored(signed_lines(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")), "lines")
     compared = every.where("id is not null")
@@ -262,6 +267,7 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
         own = stored(own.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")), "own", components)
         head = stored(own.groupBy("component").agg(F.min("place").alias("place")), "heads")
         own = stored(own.select("id", "check", "component").join(head, "component").select("id", "check", "place"), "firsts", own, head)
+    tables = [every, *([own] if components is not None else [])]
     low = F.pmod("place", F.lit(LATE))
     doc = ((F.col("place") - low) / F.lit(LATE)).cast("decimal(20,0)")
     own = own.select("id", "check", F.when(doc < F.lit(LATE), doc.cast("long")).alias("d"), low.cast("long").alias("low"))
@@ -270,7 +276,7 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     out = every.where("id is not null").join(own, ["id", "check"])
     out = out.select("doc_id", "text_hash", "line_no", F.col("d").alias("first_doc_id"), F.col("l").alias("first_line_no"), first.alias("kept"))
     short = every.where("id is null").select("doc_id", "text_hash", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"), F.lit(True).alias("kept"))
-    return out.unionByName(short)
+    return out.unionByName(short), tables
 
 
 def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -279,8 +285,9 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     A document goes when lines of it were removed and nothing but blank lines is left; one that had no
     lines to remove stays as it is, as do null and empty texts.
     """
-    found = line_components(docs, num, den)
+    found, tables = _line_components(docs, num, den)
     gone = found.where("not kept").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_set("line_no").alias("gone"))
+    gone = stored(gone, "gone-lines", *tables)  # the decisions are all that is kept
     # the document stands as one value beside the keys, so that no column of its own can clash with them
     whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     joined = whole.join(gone, F.col("own").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("t")), "left")

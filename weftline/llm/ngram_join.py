@@ -222,7 +222,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
         own = own.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         first = stored(own.groupBy("component").agg(F.min_by(F.struct("doc_id", "row"), order).alias("first")), "firsts")
         own = own.select("set_id", "component").join(first, "component").select("set_id", "first.*")
-    return rows, stored(own, "classes", *([first] if found is not None else []))
+    return rows, stored(own, "firsts", classes, *([first, found] if found is not None else []))
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -250,11 +250,11 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     It is decided row by row: other rows of an id stay or go by their own texts, and of rows that
     repeat both id and text one stays. Documents without words link with nothing, and all stay.
     """
-    rows, own = _components(docs, n, num, den)
-    rows = rows.where("set_id is not null")
+    every, own = _components(docs, n, num, den)
+    rows = every.where("set_id is not null")
     gone = rows.join(own.select("set_id", F.col("row").alias("first")), "set_id").where("row != first").select("row").distinct()
-    left = docs.select(F.struct("*").alias("doc"), row_key(docs).alias("row")).join(stored(gone, "gone"), "row", "left_anti")
-    again = stored(rows.groupBy("row").count().where("count > 1").select("row"), "again")
+    left = docs.select(F.struct("*").alias("doc"), row_key(docs).alias("row")).join(stored(gone, "gone", own), "row", "left_anti")
+    again = stored(rows.groupBy("row").count().where("count > 1").select("row"), "again", every)
     if again.isEmpty():
         return left.select("doc.*")
     return left.join(again, "row", "left_anti").unionByName(left.join(again, "row", "left_semi").dropDuplicates(["row"])).select("doc.*")
