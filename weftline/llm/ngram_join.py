@@ -16,7 +16,7 @@ then their exact sets of shingles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from . import words as W
 from .components import bucket_components, rare_members
 from .scratch import stored
 
-SETS = "doc_id long, row long, n_shingles long, set_id long, segments array<long>, sketch binary"
+SETS = "doc_id long, row long, n_shingles long, set_id long, segments array<long>, sketch array<long>"
 #: Steps of the similarity that a band of sizes spans.
 SPAN = 3
 SPARE = 1.3
@@ -114,34 +114,35 @@ def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 order = np.argsort(own, kind="stable")
                 keys = np.concatenate([keys, more])[order].view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.diff(ko) + np.diff(mo))])
-                narrow = []
+                narrow = [np.zeros(0, np.int64)]
                 for k in range(len(size)):
                     bits = narrow_bits(int(size[k]), num, den)
-                    narrow.append(np.packbits((np.bincount((h[so[k] : so[k + 1]] % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes() if size[k] else b"")
+                    odd = (np.bincount((h[so[k] : so[k + 1]] % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)
+                    narrow.append(np.packbits(odd).view(np.int64) if size[k] else narrow[0])
+                words = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in narrow]), pa.int32()), pa.array(np.concatenate(narrow)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(size), pa.array(ids, mask=size == 0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys)), pa.array(narrow, pa.binary())],
+                    [part.column(0), part.column(1), pa.array(size), pa.array(ids, mask=size == 0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys)), words],
                     ["doc_id", "row", "n_shingles", "set_id", "segments", "sketch"],
                 )
 
     return docs.mapInArrow(sketch, SETS)
 
 
-def close_sketches(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of rows ``a, b, n_a, n_b, s_a, s_b``, the pairs whose sizes and sketches allow the similarity."""
+def close_traits(num: int, den: int) -> Callable[[Column, Column], Column]:
+    """Whether sizes ``n`` and sketches ``w`` of two sets allow the similarity: a bit that differs takes a shingle that only one has.
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y, s, t in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                u, v = np.frombuffer(s, np.uint8), np.frombuffer(t, np.uint8)
-                u, v = (u, v) if len(u) >= len(v) else (v, u)
-                while len(u) > len(v):
-                    # residues modulo half the bits: a sketch folds by XOR of its halves
-                    u = u[: len(u) // 2] ^ u[len(u) // 2 :]
-                keep.append(min(x, y) * den >= max(x, y) * num and int(np.bitwise_count(u ^ v).sum()) * (den + num) <= (x + y) * (den - num))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"]) if keep else pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"])
+    Sketches are residues modulo their bits, a power of two: the longer one is folded to half by XOR. Sizes that allow the
+    similarity have sketches of one length, or one of twice the other's.
+    """
 
-    return pairs.mapInArrow(test, "a long, b long")
+    def test(x: Column, y: Column) -> Column:
+        low, high = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+        m = F.least(F.size(x["w"]), F.size(y["w"]))
+        folded = lambda t, i: F.when(F.size(t["w"]) > m, F.get(t["w"], i).bitwiseXOR(F.get(t["w"], i + m))).otherwise(F.get(t["w"], i))
+        apart = F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0), lambda s, i: s + F.bit_count(folded(x, i).bitwiseXOR(folded(y, i))))
+        return (low * den >= high * num) & (apart * (den + num) <= (x["n"] + y["n"]) * (den - num))
+
+    return test
 
 
 def exact_links(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -198,13 +199,15 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     classes = stored(classes.select("set_id", "x.*"), "classes")
     rows = stored(rows.select("doc_id", "row", "n_shingles", "set_id"), "rows", rows)
     spread = classes.select(F.col("set_id").alias("id"), F.explode(F.array_distinct("segments")).alias("key"))
-    a, b = (classes.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        near = stored(close_sketches(pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "s_a", "s_b"), num, den), "near")
+    def traits_of(ids: DataFrame) -> DataFrame:
+        own = classes.select(F.col("set_id").alias("id"), F.struct(F.col("n_shingles").alias("n"), F.col("sketch").alias("w")).alias("trait"))
+        return stored(own.join(ids, "id", "left_semi"), "traits")
+
+    def linked(near: DataFrame) -> DataFrame:
         sets = sets_of(near.select(F.col("a").alias("set_id")).unionByName(near.select(F.col("b").alias("set_id"))).distinct())
         h_a, h_b = (sets.select(F.col("set_id").alias(x), F.col("hashes").alias(f"h_{x}")) for x in "ab")
-        return stored(exact_links(near.join(h_b, "b").join(h_a, "a").select("a", "b", "h_a", "h_b"), num, den), "links", near, sets)
+        return stored(exact_links(near.join(h_b, "b").join(h_a, "a").select("a", "b", "h_a", "h_b"), num, den), "links", sets)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         found = shingle_sets(docs.select("row", "text"), row_filter(classes.join(wanted, "set_id")), n)
@@ -216,7 +219,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
         sets = sets_of(members.select(F.col("id").alias("set_id")).distinct())
         return rare_members(sets.select(F.col("set_id").alias("id"), F.col("hashes").alias("set")), num, den)
 
-    found = bucket_components(spread, linked, refine)
+    found = bucket_components(spread, linked, refine, traits_of, close_traits(num, den))
     own = classes.select("set_id", "doc_id", "row")
     if found is not None:
         own = own.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
