@@ -85,7 +85,7 @@ def words_of(docs: list[int | None], raw: np.ndarray, off: np.ndarray, every: in
     start, end, points = start[keep], end[keep], points[keep]
     before = np.array([zlib.crc32(f"{'' if d is None else d}:".encode()) for d in docs], np.uint32)
     crc = run_hashes(low, start, end, before[doc]) if len(start) else np.zeros(0, np.uint32)
-    changed = crc % every == 0
+    changed = crc.astype(np.int64) % every == 0
     _, first, n = np.unique(W.span_hashes(low, start, end)[~changed], return_index=True, return_counts=True)
     a, b = start[~changed][first].tolist(), end[~changed][first].tolist()
     whole = low.tobytes()
