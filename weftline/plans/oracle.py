@@ -143,6 +143,15 @@ from recent join customers using (customer_id) window w as (partition by article
         from (select distinct customer_id from tx where week_num = {NEXT}) c, popular b join stats s on s.week_num = b.week_num and s.article_id = b.article_id where b.week_num = {NEXT - 1}
         union all select customer_id, {NEXT}, article_id, price, sales_channel_id, 'repurchase' from (select *, max(week_num) over (partition by customer_id) as m from tx where week_num < {NEXT}) where week_num = m
       and customer_id in (select customer_id from tx where week_num = {NEXT}))) c
+left join popular b on b.week_num = {NEXT - 1} and b.article_id = c.article_id where r = 1""",
+        ),
+        "offered_to_all": (
+            ("tx", "popular", "stats", "mx"),
+            f"""select c.customer_id, c.week_num, c.article_id, c.price, c.sales_channel_id, c.source, coalesce(b.bestseller_rank, 999.0) as bestseller_rank from (
+  select *, row_number() over (partition by customer_id, week_num, article_id order by source, price, sales_channel_id) as r from (
+        select c.customer_id, {NEXT} as week_num, b.article_id, s.avg_price as price, s.mode_sales_channel_id as sales_channel_id, 'popularity' as source
+        from (select distinct customer_id from tx where week_num <= {NEXT}) c, popular b join stats s on s.week_num = b.week_num and s.article_id = b.article_id where b.week_num = {NEXT - 1}
+        union all select customer_id, {NEXT}, article_id, price, sales_channel_id, 'repurchase' from (select *, max(week_num) over (partition by customer_id) as m from tx where week_num < {NEXT}) where week_num = m)) c
 left join popular b on b.week_num = {NEXT - 1} and b.article_id = c.article_id where r = 1""",
         ),
         "actual": (("tx",), f"select distinct customer_id, week_num, article_id from tx where week_num between {FIRST} and {LAST}"),

@@ -217,12 +217,14 @@ def candidate_features(d: Domain) -> DataFrame:
 
 @query(
     sql(
-        """select * exclude (d0), year(d0) as year, month(d0) as month, strftime(d0, '%Y-%m-%d') as week from (select *, (select d from mx) - 6 as d0 from offered)""",
-        "offered",
+        """select * exclude (d0), year(d0) as year, month(d0) as month, strftime(d0, '%Y-%m-%d') as week from (select *, (select d from mx) - 6 as d0 from offered_to_all)""",
+        "offered_to_all",
     )
 )
 def inference_candidates(d: Domain) -> DataFrame:
-    return O.inference_candidates(d.transactions, NEXT, calendar(d), K)
+    """Candidates of the target week for all customers who bought up to or in it."""
+    log = d.transactions
+    return O.inference_candidates(log, NEXT, calendar(d), K, customers=log.where(F.col("week_num") <= NEXT))
 
 
 @query(sql("select * from static", "static"))
