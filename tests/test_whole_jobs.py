@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from weftline.operators import popularity
 from weftline.plans import registry
+from weftline.sources import tables
 from weftline.sources.tables import Domain
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +15,27 @@ def test_inference_candidates_are_made_for_all_customers(spark):
     ids = lambda df: {r[0] for r in df.select("customer_id").distinct().collect()}
     wanted, buyers = ids(log.where(F.col("week_num") <= registry.NEXT)), ids(log.where(F.col("week_num") == registry.NEXT))
     assert ids(registry.QUERIES["inference_candidates"](spark, SF)) == wanted and len(wanted) > len(buyers)
+
+
+def lists(df, *keys):
+    return [tuple(r) for r in df.orderBy(*keys).collect()]
+
+
+def test_rolling_parts_grow_with_the_rows(spark, monkeypatch):
+    """The same lists from parts of any size; the moved sums are not dealt out again by week and item."""
+    log = spark.createDataFrame([(n % 9, (n * n) % 61, n % 4) for n in range(3000)], "week_num int, article_id int, q int")
+    whole = lists(popularity.rolling_popular_items(log, 4, 5, value="q"), "week_num", "place")
+    monkeypatch.setattr(popularity, "PART_ROWS", 500)
+    small = popularity.rolling_popular_items(log, 4, 5, value="q")
+    assert lists(small, "week_num", "place") == whole
+    assert "RepartitionByExpression [article_id" in small._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 25" in [line for line in small._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in line][0]
+
+
+def test_transactions_are_joined_in_parts(spark, monkeypatch):
+    whole = lists(Domain(spark, SF).transactions, "customer_id", "t_dat", "article_id", "price", "quantity")
+    monkeypatch.setattr(tables, "FEW_LINES", 100)
+    monkeypatch.setattr(tables, "PART_LINES", 1000)
+    log = Domain(spark, SF).transactions
+    assert lists(log, "customer_id", "t_dat", "article_id", "price", "quantity") == whole
+    assert log.rdd.getNumPartitions() == Domain(spark, SF)._n_lines // 1000 + 1

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of moved sums that a task is given.
+PART_ROWS = 1_000_000
+
 
 def weekly_popular_items(log: DataFrame, k: int = 12, week: str = "week_num", item: str = "article_id") -> DataFrame:
     """``week, item, bestseller_rank``: the k best items of each week, by dense rank of sales, ties by item."""
@@ -20,24 +23,30 @@ def rolling_popular_items(log: DataFrame, window: int, k: int, week: str = "week
 
     A negative value is an error. Each week's sums go to the weeks that they count in; items without
     sales rank after all others by their number, and the 2k smallest of them are enough to fill up a list.
+    All sums of an item are in one part, in which totals and the part's own lists are made without a further exchange;
+    there are as many parts as the rows ask for, so that a task's part doesn't grow with the table.
     """
     log = log.where(F.col(item).isNotNull() & F.col(week).isNotNull())
-    # one pass over two columns tells whether there is anything to rank, what is wrong with it, and which weeks there are
-    found = log.agg(F.min(week), F.max(week), F.min(value) if value else F.lit(0)).first()
-    first, last, least = found
+    sold = log.select(week, item, *([value] if value else []))
+    # one pass tells whether there is anything to rank, what is wrong with it, which weeks there are and how many parts are wanted
+    found = sold.agg(F.min(week), F.max(week), F.min(value) if value else F.lit(0), F.count("*")).first()
+    first, last, least, n_rows = found
     if first is None:
         raise ValueError("no rows to rank")
     if least is not None and least < 0:
         raise ValueError("values must not be negative")
     kind = log.schema[week].dataType
-    sums = log.groupBy(week, item).agg((F.sum(value) if value else F.count("*")).alias("v"))
-    moved = sums.select(F.explode(F.sequence(F.col(week), F.least(F.col(week) + window - 1, F.lit(last)).cast(kind))).alias(week), item, "v")
+    parts = n_rows * window // PART_ROWS + 1
+    sums = sold.groupBy(week, item).agg((F.sum(value) if value else F.count("*")).alias("v"))  # of an item with very many sales a row a week is left
+    moved = sums.repartition(parts, item).select(F.explode(F.sequence(F.col(week), F.least(F.col(week) + window - 1, F.lit(last)).cast(kind))).alias(week), item, "v")
+    order = Window.partitionBy(week).orderBy(F.desc("total"), item)
+    best = lambda rows: rows.groupBy(week, item).agg(F.sum("v").alias("total")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     weeks = log.sparkSession.range(first, last + 1, 1, 1).select(F.col("id").cast(kind).alias(week))
     filler = log.select(item).distinct().orderBy(item).limit(2 * k)
     none = weeks.crossJoin(F.broadcast(filler)).withColumn("v", F.lit(0))
-    total = moved.unionByName(none).groupBy(week, item).agg(F.sum("v").alias("total"))
-    order = Window.partitionBy(week).orderBy(F.desc("total"), item)
-    return total.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(week, item, "total", "place")
+    # what the k best sold items leave behind ranks after them whatever fills the list up
+    listed = best(moved).select(week, item, F.col("total").alias("v"))
+    return best(listed.unionByName(none)).select(week, item, "total", "place")
 
 
 def item_week_stats(log: DataFrame, week: str = "week_num", item: str = "article_id", price: str = "price", channel: str = "sales_channel_id") -> DataFrame:

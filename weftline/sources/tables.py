@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cached_property
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from ..functions.calendar import with_week_num
 from ..functions.scalars import hex_id
 
 RAW_TRANSACTIONS = "t_dat string, customer_id string, article_id string, price double, sales_channel_id int"
+#: Lines that a task joins to their orders, and the lines up to which the session decides.
+PART_LINES, FEW_LINES = 500_000, 4_000_000
 KINDS = ("raw", "candidates", "article_features", "customer_features", "embeddings", "ranking")
 
 
@@ -121,8 +124,16 @@ class Domain:
         # the last day of the log is that of its orders; lines are joined to orders once
         last = orders.agg(F.max("t_dat").alias("_last"))
         dated = orders.crossJoin(F.broadcast(last)).withColumn("week_num", (F.lit(104) - F.floor(F.datediff("_last", "t_dat") / 7)).cast("int")).drop("_last")
+        if self._n_lines > FEW_LINES:  # parts of the session's size hold many millions of these narrow rows
+            parts = self._n_lines // PART_LINES + 1
+            lines, dated = lines.repartition(parts, "k"), dated.repartition(parts, "k")
         return lines.join(dated, "k").drop("k")
 
+    @cached_property
+    def _n_lines(self) -> int:
+        """Counted in the files' footers."""
+        return self.table("lineitem").count()
+
     @property
     def customers(self) -> DataFrame:
         age = F.when(F.col("c_acctbal") >= 0, (F.col("c_custkey") % 60 + 16).cast("double"))
