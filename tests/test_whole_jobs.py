@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftline.operators import popularity
+from weftline.operators import popularity, profiles
 from weftline.plans import registry
 from weftline.sources import tables
 from weftline.sources.tables import Domain
@@ -21,6 +21,24 @@ def lists(df, *keys):
     return [tuple(r) for r in df.orderBy(*keys).collect()]
 
 
+def test_described_quartiles_need_no_task_with_all_values(spark):
+    """As by ``percentile``, over many ranges, with nulls, one value only, and none at all; no aggregate keeps the values of a column."""
+    rows = [(n % 997 * 1.5, 7 if n % 3 else None, (n * n) % 10007 - 5000, None) for n in range(20000)]
+    df = spark.createDataFrame(rows, "a double, b int, c long, d double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = profiles.described(df)
+        got = lists(found.select("column", "q1", "median", "q3"), "column")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = []
+    for c in df.columns:
+        x = F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        want.append((c, *df.agg(x[0], x[1], x[2]).first()))
+    assert got == want
+    assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rolling_parts_grow_with_the_rows(spark, monkeypatch):
     """The same lists from parts of any size; the moved sums are not dealt out again by week and item."""
     log = spark.createDataFrame([(n % 9, (n * n) % 61, n % 4) for n in range(3000)], "week_num int, article_id int, q int")

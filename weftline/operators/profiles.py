@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..sources.scratch import stored
+
 #: Figures of a description, in their order.
 FIGURES = ("mean", "std", "min", "q1", "median", "q3", "max")
 #: Standard error of distinct counts is 1.04 / sqrt(2 ** HLL_BITS); ranks of quantiles are off by about 1.65 % for k = 200, less for more.
@@ -43,25 +45,49 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None) -> DataFrame:
     """``column, value, n, place``: the k most frequent values of each column, ties by value, null last."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value"))
     return value_counts(df, columns).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def described(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column, n`` and the FIGURES of numeric columns, exact (quartiles interpolated, the standard deviation that of a sample), in one pass.
-
-    For quartiles a task holds the counts of distinct values: use ``sketched`` for columns with very many.
-    """
+    """``column, n`` and the FIGURES of numeric columns, exact (quartiles interpolated, the standard deviation that of a sample)."""
     columns = columns or numeric(df)
 
     def figures(c: str) -> Column:
         x = F.col(c).cast("double")
-        quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), quartiles[0].alias("q1"), quartiles[1].alias("median"), quartiles[2].alias("q3"), F.max(x).alias("max"))
+        return F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
 
-    return df.agg(F.array(*map(figures, columns)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    found = df.agg(F.array(*map(figures, columns)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    quartiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
+    named = quartiles.select("column", *(F.col("quantiles")[k].alias(c) for k, c in enumerate(("q1", "median", "q3"))))
+    return found.join(F.broadcast(named), "column", "left").select("column", "n", *FIGURES)
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], wanted: tuple[float, ...]) -> DataFrame:
+    """``column, quantiles``: exact, interpolated quantiles of each column that has a value.
+
+    Counts of values are stored in ranges, so that no task holds a column's values: sums of the ranges tell
+    in which of them a rank lies, and only these are counted through.
+    """
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
+    counts = df.select(F.explode(pairs).alias("x")).select("x.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    ranges = stored(counts.repartitionByRange("column", "value").withColumn("_part", F.spark_partition_id()), "values")
+    sums = ranges.groupBy("column", "_part").agg(F.sum("n").alias("_n"))  # a row for each range
+    own = Window.partitionBy("column")
+    upto = F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.select("column", "_part", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), F.sum("_n").over(own).alias("_total"))
+    at = F.posexplode(F.array(*(F.lit(float(q)) for q in wanted))).alias("_k", "_q")
+    place = F.col("_q") * (F.col("_total") - 1)
+    sums = sums.select("*", at).withColumn("_at", place).withColumns({"_low": F.floor("_at"), "_high": F.ceil("_at")})
+    inside = lambda rank: (F.col(rank) >= F.col("_before")) & (F.col(rank) < F.col("_upto"))
+    sums = sums.where(inside("_low") | inside("_high")).drop("_upto", "_total", "_q")
+    order = Window.partitionBy("column", "_part", "_k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranges.join(F.broadcast(sums), ["column", "_part"]).withColumn("_upto", F.col("_before") + F.sum("n").over(order)).withColumn("_before", F.col("_upto") - F.col("n"))
+    found = rows.groupBy("column", "_k", "_at", "_low", "_high").agg(F.max(F.when(inside("_low"), F.col("value"))).alias("_a"), F.max(F.when(inside("_high"), F.col("value"))).alias("_b"))
+    between = (F.col("_high") - F.col("_at")) * F.col("_a") + (F.col("_at") - F.col("_low")) * F.col("_b")
+    value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between)
+    listed = F.array_sort(F.collect_list(F.struct("_k", value.alias("v"))))  # as many as are wanted
+    return found.groupBy("column").agg(F.transform(listed, lambda s: s["v"]).alias("quantiles"))
 
 
 def sketched(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
