@@ -57,3 +57,38 @@ def test_transactions_are_joined_in_parts(spark, monkeypatch):
     log = Domain(spark, SF).transactions
     assert lists(log, "customer_id", "t_dat", "article_id", "price", "quantity") == whole
     assert log.rdd.getNumPartitions() == Domain(spark, SF)._n_lines // 1000 + 1
+
+
+def test_rankers_read_a_stored_matrix(spark, monkeypatch):
+    """They go over their rows several times, so these must not be joined anew."""
+    seen = []
+
+    class Looks:
+        def __init__(self, config):
+            self.features = config.features
+
+        def train(self, rows, valid=None):
+            seen.extend([rows] if valid is None else [rows, valid])
+            return self
+
+        def ranks(self, rows, k):
+            seen.append(rows)
+            return rows
+
+    monkeypatch.setattr(registry.ranking, "GbtRanker", Looks)
+    registry.QUERIES["gbt_rank_topk"](spark, SF)
+    assert len(seen) == 2 and not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in seen)
+
+
+def test_data_checks_make_each_table_once(spark, monkeypatch):
+    made = []
+
+    def counted(module, name):
+        own = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **k: made.append(name) or own(*a, **k))
+
+    counted(registry.features, "item_week_panel")
+    counted(registry.features, "customer_week_panel")
+    counted(registry.O, "training_candidates")
+    registry.QUERIES["data_checks"](spark, SF)
+    assert sorted(made) == ["customer_week_panel", "item_week_panel", "training_candidates"]

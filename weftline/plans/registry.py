@@ -70,13 +70,13 @@ def customer_panel(d: Domain, log: DataFrame | None = None) -> DataFrame:
     return features.customer_week_panel(log or d.transactions, d.embeddings, *GRID, HISTORY)
 
 
-def with_features(d: Domain, rows: DataFrame, log: DataFrame) -> DataFrame:
-    """``rows`` with all features; every table marks the kinds of its columns, and the matrix keeps the marks."""
+def with_features(d: Domain, rows: DataFrame, log: DataFrame, items: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
+    """``rows`` with all features; every table marks the kinds of its columns, and the matrix keeps the marks. Panels that are there already are not made again."""
     numbers = lambda df, *columns: marked(df, "numerical", list(columns))
     rows = marked(numbers(rows, "bestseller_rank", "price"), "id", O.KEY)
     articles, customers = marked(article_static(d), "categorical", CODES), numbers(marked(customer_static(d), "categorical", STATIC), "age")
-    items = numbers(item_panel(d, log), "weekly_sales_count", "weekly_avg_price", "cumulative_mean_age", "cumulative_sales_count")
-    people = numbers(customer_panel(d, log), "customer_avg_price")
+    items = numbers(items or item_panel(d, log), "weekly_sales_count", "weekly_avg_price", "cumulative_mean_age", "cumulative_sales_count")
+    people = numbers(people or customer_panel(d, log), "customer_avg_price")
     return numbers(ranking.ranking_matrix(rows, articles, customers, items, people, d.embeddings), "similarity", "age_difference", "age_ratio", "price_difference", "price_ratio")
 
 
@@ -86,6 +86,11 @@ def matrix(d: Domain) -> DataFrame:
     return with_features(d, O.training_candidates(log, FIRST, LAST, calendar(d), K), log)
 
 
+def ranker_rows(d: Domain) -> DataFrame:
+    """What rankers read of the matrix, stored: they go over their rows several times."""
+    return stored(matrix(d).select(*O.KEY, "label", *FEATURES), "matrix")
+
+
 DAY = "((select d from mx) + 1 - (105 - week_num) * 7)"
 
 
@@ -448,7 +453,7 @@ def profile_nulls(d: Domain) -> DataFrame:
 @query(None)
 def gbt_rank_topk(d: Domain) -> DataFrame:
     """The five best candidates of each customer and week by gradient-boosted trees."""
-    rows = matrix(d)
+    rows = ranker_rows(d)
     ranker = ranking.GbtRanker(ranking.RankerConfig(FEATURES)).train(rows.where(F.col("week_num") < LAST))
     return ranker.ranks(rows.where(F.col("week_num") == LAST), 5)
 
@@ -458,7 +463,7 @@ LISTWISE = listwise.LambdaConfig(FEATURES, trees=6, depth=3, patience=2)
 
 def listwise_ranker(d: Domain):
     """(matrix, ranker): learnt from the weeks before the last but one, stopped by that one."""
-    rows = stored(matrix(d), "matrix")
+    rows = ranker_rows(d)
     week = F.col("week_num")
     return rows, listwise.LambdaRanker(LISTWISE).train(rows.where(week < LAST - 1), rows.where(week == LAST - 1))
 
@@ -551,13 +556,15 @@ def candidate_provenance(d: Domain) -> DataFrame:
 @query("select * from (values " + ", ".join(f"('{c}', 0)" for c in ("shape", "repeated", "positives", "negatives", "repurchases", "items", "customers", "matrix", "prices", "similarity")) + ") t(\"check\", violations)")
 def data_checks(d: Domain) -> DataFrame:
     """Violations of the candidates', panels' and matrix's invariants: none is wanted."""
-    log = d.transactions
-    rows, items, people = stored(matrix(d), "matrix"), stored(item_panel(d), "items"), stored(customer_panel(d), "customers")
+    log = stored(d.transactions.drop("quantity"), "log")  # every check and table reads it
+    items, people = stored(item_panel(d, log), "items"), stored(customer_panel(d, log), "customers")
+    made = stored(O.training_candidates(log, FIRST, LAST, calendar(d), K), "candidates")
+    rows = stored(with_features(d, made, log, items, people), "matrix")
     found = checks.candidate_checks(rows, log, "last_purchase", FIRST, LAST)
     found |= {
         "items": checks.panel_shape(items, d.articles, "article_id", *GRID),
         "customers": checks.panel_shape(people, checks.active_customers(log, *GRID), "customer_id", *GRID),
-        "matrix": checks.matrix_shape(rows, O.training_candidates(log, FIRST, LAST, calendar(d), K)),
+        "matrix": checks.matrix_shape(rows, made),
         "prices": checks.customer_price_differences(rows, people),
         "similarity": checks.similarity_differences(rows, people, d.embeddings),
     }
