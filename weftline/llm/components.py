@@ -15,8 +15,12 @@ Close = Callable[[Column, Column], Column]
 MAX_ROUNDS = 60
 #: Buckets of so many members or fewer, if still mixed, pair all members of different components.
 FEW = 32
-#: Turns in which larger buckets pair their members with one member, before they too pair all.
+#: Turns in which larger buckets pair their members with some of them, before they too pair all.
 TURNS = 2
+#: About so many components of a large bucket give a member that the others are paired with in the first turn, as many more in each later one.
+HUBS = 8
+#: Of ids in so many buckets or fewer, a pair comes out in one of those that it shares.
+LISTED = 64
 #: Members of a large bucket that one row's block is paired with.
 BLOCK = 1000
 
@@ -74,14 +78,35 @@ def _joined(forest: DataFrame, new: DataFrame) -> DataFrame:
     return stored(known.unionByName(fresh), "forest", forest, more)
 
 
-def _all_pairs(members: DataFrame, close: Close | None) -> DataFrame:
-    """Pairs of members of different components of each bucket; those of a large one are dealt to tasks by blocks."""
+def _all_pairs(members: DataFrame, close: Close | None, hubs: DataFrame | None = None) -> DataFrame:
+    """Pairs of members of different components of each bucket, or of members and ``hubs``; those of a large one are dealt to tasks by blocks.
+
+    Members that share several buckets are a pair in that of the smallest key alone, so that buckets of much the same members
+    don't repeat each other's pairs. Only of ids in more than LISTED buckets a pair may come out again, before ``distinct``.
+    """
+    if hubs is None:
+        lists = members.groupBy("id").agg(F.collect_set("key").alias("keys")).where(F.size("keys").between(2, LISTED))
+        members = members.join(lists, "id", "left")
+    else:
+        members = members.withColumn("keys", F.lit(None).cast("array<long>"))
+        hubs = hubs.withColumn("keys", F.lit(None).cast("array<long>"))
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    named = lambda x, c: [F.col("id").alias(x), F.col("component").alias(f"c_{x}"), F.col("excess").alias(f"e_{x}"), *([F.col("trait").alias(f"t_{x}")] if close else []), c.alias("block")]
+    named = lambda x, c: [F.col("id").alias(x), F.col("component").alias(f"c_{x}"), F.col("excess").alias(f"e_{x}"), F.col("keys").alias(f"k_{x}"), *([F.col("trait").alias(f"t_{x}")] if close else []), c.alias("block")]
     x = members.select("key", *named("a", F.pmod(F.xxhash64("id"), blocks).cast("int")))
-    y = members.select("key", *named("b", F.explode(F.sequence(F.lit(0), blocks - 1))))
-    pairs = x.join(y, ["key", "block"]).where("a < b and c_a != c_b and e_a + e_b <= 0")
-    return (pairs.where(close(F.col("t_a"), F.col("t_b"))) if close else pairs).select("a", "b").distinct()
+    y = (members if hubs is None else hubs).select("key", *named("b", F.explode(F.sequence(F.lit(0), blocks - 1))))
+    pairs = x.join(y, ["key", "block"]).where(("a < b and " if hubs is None else "") + "c_a != c_b and e_a + e_b <= 0")
+    pairs = pairs.where(close(F.col("t_a"), F.col("t_b"))) if close else pairs
+    if hubs is None:
+        pairs = pairs.where("k_a is null or k_b is null or array_min(array_intersect(k_a, k_b)) = key")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _hubs(members: DataFrame, turn: int) -> DataFrame:
+    """A member of each of about HUBS components of every bucket (times the turn), chosen by hash."""
+    of = members.groupBy("key", "component").agg(F.min_by(F.struct("*"), F.xxhash64("id", F.lit(turn))).alias("x"))
+    some = of.groupBy("key").count()
+    dealt = F.pmod(F.xxhash64("component", "key", F.lit(turn)), F.ceil(F.col("count") / F.lit(HUBS * turn)))
+    return of.join(some, "key").where(dealt == 0).select("x.*")
 
 
 def _close_pairs(pairs: DataFrame, traits: DataFrame | None, close: Close | None) -> DataFrame:
@@ -126,10 +151,23 @@ def rare_members(sets: DataFrame, num: int, den: int) -> DataFrame:
     return stored(has.where("rank <= first and count > 1").select("key", "id", excess.alias("excess")), "rare", sets, common)
 
 
+def _mixed(buckets: DataFrame, forest: DataFrame, traits: DataFrame | None) -> DataFrame | None:
+    """``key, n, id, excess, component`` and the trait of members of buckets (replaced) that hold several components; None without any."""
+    own = forest.select("id", "component")
+    members = stored(buckets.join(own, "id", "left").select("key", "n", "id", "excess", F.coalesce("component", "id").alias("component")), "members", buckets)
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("excess").alias("least")).where("lo < hi")
+    mixed = stored(mixed.select("key", "least"), "mixed")
+    if mixed.isEmpty():
+        discard(mixed, members)
+        return None
+    known = members.join(mixed, "key").where("excess + least <= 0").drop("least")
+    return stored(known.join(traits.select("id", "trait"), "id") if traits is not None else known, "members", members, mixed)
+
+
 def bucket_components(
     spread: DataFrame,
     linked: Callable[[DataFrame], DataFrame],
-    refine: Callable[[DataFrame, int], DataFrame | None] | None = None,
+    refine: Callable[[DataFrame], DataFrame | None] | None = None,
     traits_of: Callable[[DataFrame], DataFrame] | None = None,
     close: Close | None = None,
 ) -> DataFrame | None:
@@ -138,9 +176,9 @@ def bucket_components(
     ``spread`` has rows ``key, id``, which may repeat; ``linked`` takes candidate pairs
     ``a, b`` and gives a stored table of those that are links. In each bucket the members pair with
     one member. Buckets whose members are then not in one component are taken up again: with FEW
-    members all those of different components pair. In larger ones they pair with another member, for
-    some turns, and in the end with all. Meanwhile ``refine(members, turn)`` may split them into buckets
-    ``key, id, excess`` (a stored table) that hold all of their links; None leaves them as they are.
+    members all those of different components pair. In larger ones they pair with members of some
+    components, for some turns, and in the end with all. After the first of these turns, ``refine(members)`` may split those that
+    are mixed still into buckets ``key, id, excess`` (a stored table) that hold all of their links; None leaves them as they are.
     Members whose excesses add up to more than 0 are no link, nor are those whose traits are not ``close``:
     ``traits_of`` gives a stored table ``id, trait`` of ids that share a bucket. Traits go with the members,
     so that pairs which are not close are never written or shuffled. So a bucket of n similar members costs n pairs, and no link
@@ -150,29 +188,27 @@ def bucket_components(
     if buckets is None:
         return None
     traits = traits_of(buckets.select("id").distinct()) if traits_of else None
+    known = traits if close else None
     pairs = buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     pairs = stored(_close_pairs(pairs, traits, close), "pairs")
     new = linked(pairs)
     forest = components(new, "a", "b")
     discard(pairs, new)
     for turn in range(1, TURNS + 2):
-        own = forest.select("id", "component")
-        members = stored(buckets.join(own, "id", "left").select("key", "n", "id", "excess", F.coalesce("component", "id").alias("component")), "members", buckets)
-        order = F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")
-        mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("hub"), F.min("excess").alias("least")).where("lo < hi")
-        mixed = stored(mixed.select("key", "least", F.col("hub.id").alias("hub"), F.col("hub.component").alias("c_hub")), "mixed")
-        if mixed.isEmpty():
-            discard(mixed, members)
+        members = _mixed(buckets, forest, known)
+        if turn == 2 and members is not None and refine:
+            finer = refine(members.select("key", "id"))
+            if finer is not None:
+                discard(members)
+                buckets = _buckets(finer)
+                discard(finer)
+                members = _mixed(buckets, forest, known) if buckets is not None else None
+        if members is None:
             break
-        known = members.join(mixed, "key").where("excess + least <= 0")
-        members = stored(known.join(traits.select("id", "trait"), "id") if close else known, "members", members, mixed)
         large = members.where(F.col("n") > FEW)
-        finer = refine(large.select("key", "id"), turn) if refine and turn <= TURNS else None
         pairs = _all_pairs(members if turn > TURNS else members.where(F.col("n") <= FEW), close)
         if turn <= TURNS:
-            star = large.where(F.col("component") != F.col("c_hub"))
-            star = star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-            pairs = pairs.unionByName(_close_pairs(star, traits, close)).distinct()
+            pairs = pairs.unionByName(_all_pairs(large, close, _hubs(large, turn))).distinct()
         pairs = stored(pairs, "pairs")
         new = linked(pairs)
         forest = _joined(forest, new)
@@ -180,10 +216,7 @@ def bucket_components(
         if turn > TURNS or large.isEmpty():
             discard(members)
             break
-        buckets = _buckets(finer) if finer is not None else stored(large.select("key", "n", "id", "excess"), "buckets")
-        discard(members, *([finer] if finer is not None else []))
-        if buckets is None:
-            break
+        buckets = stored(large.select("key", "n", "id", "excess"), "buckets", members)
     if traits is not None:
         discard(traits)
     return forest

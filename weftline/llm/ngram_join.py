@@ -213,9 +213,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
         found = shingle_sets(docs.select("row", "text"), row_filter(classes.join(wanted, "set_id")), n)
         return stored(found.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
 
-    def refine(members: DataFrame, turn: int) -> DataFrame | None:
-        if turn > 1 or members.isEmpty():
-            return None
+    def refine(members: DataFrame) -> DataFrame:
         sets = sets_of(members.select(F.col("id").alias("set_id")).distinct())
         return rare_members(sets.select(F.col("set_id").alias("id"), F.col("hashes").alias("set")), num, den)
 
