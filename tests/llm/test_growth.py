@@ -1,8 +1,13 @@
 """How the work of corpus operators grows with groups."""
 
+import hashlib
+import time
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import components
+from weftline.llm import components, katz, line_dedup
 from weftline.llm.scratch import stored
 
 
@@ -26,3 +31,32 @@ def test_pairs_of_many_common_buckets_are_joined_once(spark):
     assert pairs.count() == 60 * 59 // 2
     rows = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" in rows  # a pair of eight common buckets came out eight times
+
+
+def test_removed_lines_are_taken_out_without_splitting_anew_for_each(spark):
+    """A text of many lines takes time in proportion to them: that it is split for each line took minutes."""
+    lines = [hashlib.sha256(str(k).encode()).hexdigest() if k % 2 else "the same line stands here again and again" for k in range(20_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    began = time.time()
+    (left,) = line_dedup.dedup_lines(docs).collect()
+    took = time.time() - began
+    assert left.text.split("\n") == [x for k, x in enumerate(lines) if k % 2 or k == 0]
+    assert took < 60
+
+
+def test_katz_keeps_buckets_in_place_of_hashes(spark):
+    """What blocks travel with in each order has a fraction of the bytes of the words' hashes; sums of buckets hold no table."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(500))) for k in range(40)]
+    table = katz.blocks(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)))
+    size = lambda df: sum(len(x) for row in df.collect() for x in row if isinstance(x, (bytes, bytearray)))
+    assert size(katz.asked(table, 23)) < size(table) / 2
+    words = katz.answer_words(katz.ask_words(table, 3), 3).where("kind = 'model'").collect()
+    assert sum(r["v"] for r in words) == 20_000 and all(r["body"] is None for r in words)
+
+
+@pytest.mark.parametrize("least", [0, -5, -(1 << 40)])
+def test_keys_are_sorted_as_one_or_apart(least):
+    rng = np.random.default_rng(7)
+    keys = [rng.integers(least, 9, 500), rng.integers(0, 5, 500), rng.integers(0, 1 << 33, 500)]
+    got, want = katz.ordered(*keys), np.lexsort(keys[::-1])
+    assert all((x[got] == x[want]).all() for x in keys)

@@ -7,15 +7,15 @@ follow a seen h has ``P(w | h')`` itself. A context reaches back to the start of
 
 Texts are dealt into blocks of some millions of tokens. A block asks for each distinct word once,
 and then, order by order, for each distinct n-gram once, with its own training counts: the questions,
-hashed into buckets of bounded size, are summed where they meet, kept as the model's table, and answered
-to every block. N-grams go by their context, so that a bucket has all of its followers, unless it is so
-frequent that it would fill a bucket alone: then by the word too, and its sums are added up after.
+hashed into buckets of bounded size, are summed where they meet and answered to every block. N-grams go
+by their context, so that a bucket has all of its followers, unless it is so frequent that it would fill
+a bucket alone: then by the word too, and its sums are added up after.
 Arrays travel as Zstandard-compressed columns, as they are as large as the distinct n-grams.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ RELIABLE = 5
 CLASSES = RELIABLE + 1
 START, END, FIRST_ID = 0, 1, 2
 BLOCKS = "block long, doc_id binary, held_out binary, size binary, local binary, words binary, counts binary, n_words long, n_tokens long"
+ASKED = "block long, doc_id binary, held_out binary, size binary, local binary, buckets binary"
 QUESTIONS = "bucket long, block long, body binary"
 WORD_ANSWERS = "kind string, bucket long, block long, body binary, n long, v long"
 GRAM_ANSWERS = "kind string, bucket long, block long, body binary, rest binary, seen array<long>"
@@ -91,6 +92,17 @@ def ask_words(table: DataFrame, buckets: int) -> DataFrame:
     return table.select("block", "words", "counts").mapInArrow(ask, QUESTIONS)
 
 
+def asked(table: DataFrame, buckets: int) -> DataFrame:
+    """Blocks whose words are asked for: of each word its bucket alone stays, as hashes are by far the most of a block's bytes."""
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [packed((unpacked(w)[0] % np.uint64(buckets)).astype(np.int64)) for w in batch.column(5).to_pylist()]
+            yield _batch(ASKED, *batch.columns[:5], of)
+
+    return table.select("block", "doc_id", "held_out", "size", "local", "words").mapInArrow(strip, ASKED)
+
+
 def _split(bucket: np.ndarray, *arrays: np.ndarray) -> list[tuple[int, bytes]]:
     """(bucket, its packed arrays) in the arrays' own order."""
     order = np.argsort(bucket, kind="stable")
@@ -99,7 +111,7 @@ def _split(bucket: np.ndarray, *arrays: np.ndarray) -> list[tuple[int, bytes]]:
 
 
 def answer_words(questions: DataFrame, buckets: int) -> DataFrame:
-    """The word table of each bucket (kind model) and, for each block, the words' ids and counts in the order asked."""
+    """Sums of each bucket's words (kind model) and, for each block, the words' ids and counts in the order asked."""
 
     def answer(group: pa.Table) -> pa.Table:
         asked = [(b, *unpacked(x)) for b, x in sorted(zip(group["block"].to_pylist(), group["body"].to_pylist()))]
@@ -107,7 +119,7 @@ def answer_words(questions: DataFrame, buckets: int) -> DataFrame:
         words, where = np.unique(np.concatenate([w for _, w, _ in asked]), return_inverse=True)
         total = np.bincount(where, np.concatenate([c for _, _, c in asked]).astype(np.float64), len(words)).astype(np.int64)
         ids = FIRST_ID + bucket + buckets * np.arange(len(words))
-        rows, at = [("model", bucket, -1, packed(words, total), int(total.sum()), int((total > 0).sum()))], 0
+        rows, at = [("model", bucket, -1, None, int(total.sum()), int((total > 0).sum()))], 0
         for block, w, _ in asked:
             mine = where[at : at + len(w)]
             rows.append(("answer", bucket, block, packed(ids[mine], total[mine]), None, None))
@@ -117,30 +129,41 @@ def answer_words(questions: DataFrame, buckets: int) -> DataFrame:
     return questions.groupBy("bucket").applyInArrow(answer, WORD_ANSWERS)
 
 
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """Places in ascending order of integer keys, the first one first; two keys that fit into 64 bits are sorted as one."""
+    joint = [keys[0]]
+    for x in keys[1:]:
+        y = joint[-1]
+        if len(x) and -(1 << 31) <= y.min() and y.max() < 1 << 31 and x.min() >= 0 and x.max() < 1 << 32:
+            joint[-1] = y << 32 | x
+        else:
+            joint.append(x)
+    return np.argsort(joint[0]) if len(joint) == 1 else np.lexsort(joint[::-1])
+
+
 class Block:
     """A block's tokens with the answers for its words."""
 
-    def __init__(self, row: dict, answers: list[tuple[int, bytes]], word_buckets: int):
+    def __init__(self, row: dict, answers: Iterable[tuple[int, bytes]]):
         self.doc, self.null = unpacked(row["doc_id"])
         self.held = unpacked(row["held_out"])[0].astype(bool)
-        self.size, self.local, self.words = (unpacked(row[k])[0] for k in ("size", "local", "words"))
-        bucket = (self.words % np.uint64(word_buckets)).astype(np.int64)
-        self.ids, self.counts = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+        self.size, local, bucket = (unpacked(row[k])[0] for k in ("size", "local", "buckets"))
+        ids, counts = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
         for b, body in answers:
-            self.ids[bucket == b], self.counts[bucket == b] = unpacked(body)
+            ids[bucket == b], counts[bucket == b] = unpacked(body)
         # every text is its words and an end, each after the one before or the start
         n = self.size + 1
         last = np.cumsum(n) - 1
         is_word = np.ones(int(n.sum()), bool)
         is_word[last] = False
         self.word = np.full(len(is_word), END, np.int64)
-        self.word[is_word] = self.ids[self.local]
+        self.word[is_word] = ids[local]
         self.before = np.concatenate([[START], self.word[:-1]])
         self.before[last - n + 1] = START
-        self.text = np.repeat(np.arange(len(n)), n)
-        self.place = np.arange(len(is_word)) - np.repeat(last - n + 1, n)
+        self.text = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.place = np.arange(len(is_word), dtype=np.int32) - np.repeat((last - n + 1).astype(np.int32), n)
         self.count = np.zeros(len(is_word), np.int64)
-        self.count[is_word] = self.counts[self.local]
+        self.count[is_word] = counts[local]
         self.is_word = is_word
 
     def grams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -151,13 +174,16 @@ class Block:
         context = self.before
         for n in range(2, order + 1):
             order_of = np.flatnonzero(self.place >= n - 2)
-            order_of = order_of[np.lexsort((self.word[order_of], context[order_of]))]
+            order_of = order_of[ordered(context[order_of], self.word[order_of])]
             a, b = context[order_of], self.word[order_of]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
             which = np.full(len(self.word), -1, np.int64)
             which[order_of] = np.cumsum(new) - 1
-            yield n, order_of[new], which
+            first = order_of[new]
+            del context, order_of, a, b, new  # not held while the n-grams are dealt with
+            yield n, first, which
             context = np.concatenate([[-1], which[:-1]])
+            del first, which
 
     def contexts(self, n: int, first: np.ndarray) -> list[np.ndarray]:
         """The n - 1 words before tokens that have as many."""
@@ -177,8 +203,8 @@ def _by_block(table: DataFrame, answers: DataFrame, f, schema: str) -> DataFrame
 
 
 class Settings:
-    def __init__(self, word_buckets: int, tokens: int, all_tokens: int, ends: int, distinct: int):
-        self.word_buckets, self.all_tokens, self.bucket_keys = word_buckets, all_tokens, BUCKET_KEYS
+    def __init__(self, tokens: int, all_tokens: int, ends: int, distinct: int):
+        self.all_tokens, self.bucket_keys = all_tokens, BUCKET_KEYS
         self.ends, self.tokens, self.distinct = ends, tokens, distinct
         self.scale = tokens + 0.5 * (distinct + 1)
 
@@ -205,12 +231,19 @@ def _dealt(block: Block, n: int, first: np.ndarray, before: np.ndarray, s: Setti
     return order, np.searchsorted(bucket[order], np.arange(s.buckets(n) + 1)), hot
 
 
-def _block(left: pa.Table, right: pa.Table, s: Settings) -> tuple[Block, int, list[tuple]]:
-    """The block, its number, and its answers: (kind, bucket, body, and rest if it was read)."""
+def _block(left: pa.Table, right: pa.Table) -> tuple[Block, int, Callable[[str], Iterator[tuple]]]:
+    """The block, its number, and its answers of a kind, one at a time: (bucket, body, and rest if it was read)."""
     row = left.to_pylist()[0]
-    names = ("kind", "bucket", "body", *(["rest"] if "rest" in right.column_names else []))
-    got = list(zip(*(right[c].to_pylist() for c in names)))
-    return Block(row, [x[1:3] for x in got if x[0] == "words"], s.word_buckets), row["block"], got
+    bodies = [right[c] for c in ("body", "rest") if c in right.column_names]
+    own: dict[str, list[tuple]] = {}
+    for k, (kind, bucket) in enumerate(zip(right["kind"].to_pylist(), right["bucket"].to_pylist())):
+        own.setdefault(kind, []).append((bucket, k))
+
+    def got(kind: str) -> Iterator[tuple]:
+        for bucket, k in own.get(kind, []):
+            yield (bucket, *(c[k].as_py() for c in bodies))
+
+    return Block(row, (x[:2] for x in got("words"))), row["block"], got
 
 
 def ask_grams(table: DataFrame, answers: DataFrame, s: Settings, n: int) -> DataFrame:
@@ -219,19 +252,17 @@ def ask_grams(table: DataFrame, answers: DataFrame, s: Settings, n: int) -> Data
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows:
-            block, number, got = _block(left, right, s)
+            block, number, got = _block(left, right)
             lower, before = _word_counts(block, s)
             for m, first, which in block.grams(n):
                 if m == n:
                     break
                 order, edges, _ = _dealt(block, m, first, before[first], s)
                 count = np.zeros(len(first) + 1, np.int64)  # the last is that of no n-gram
-                for kind, k, body, *_ in got:
-                    if kind == str(m):
-                        count[order[edges[k] : edges[k + 1]]] = unpacked(body)[0]
+                for k, body, *_ in got(str(m)):
+                    count[order[edges[k] : edges[k + 1]]] = unpacked(body)[0]
                 lower = count[which]
                 before = np.concatenate([[0], lower[:-1]])
-            del got
             seen = np.bincount(which[(which >= 0) & ~block.held[block.text]], minlength=len(first))
             order, edges, hot = _dealt(block, n, first, before[first], s)
             a, *more = block.contexts(n, first)
@@ -248,7 +279,7 @@ def ask_grams(table: DataFrame, answers: DataFrame, s: Settings, n: int) -> Data
 
 
 def answer_grams(questions: DataFrame, s: Settings, n: int, lower_loss: np.ndarray | None) -> DataFrame:
-    """The n-gram table of each bucket (kind model), sums of hot contexts (hot), and each block's counts in the order asked.
+    """How often n-grams of each bucket are seen (kind model), sums of hot contexts (hot), and each block's counts in the order asked.
 
     For n-grams that training has not seen, the answer has the sum of the context's followers by the
     model of one order less (times the count of the shorter context, from pairs on), and their number
@@ -261,7 +292,7 @@ def answer_grams(questions: DataFrame, s: Settings, n: int, lower_loss: np.ndarr
         b, c, lower = (np.concatenate([x[k] for x in asked]) for k in (n, n + 1, n + 2))
         numbers, sizes = [x[0] for x in asked], [len(x[1]) for x in asked]
         del asked
-        order = np.lexsort((b, *context[::-1]))
+        order = ordered(*context, b)
         new_context = np.ones(len(b), bool)
         new_context[1:] = np.any([np.diff(x[order]) != 0 for x in context], axis=0)
         new = new_context.copy()
@@ -272,7 +303,7 @@ def answer_grams(questions: DataFrame, s: Settings, n: int, lower_loss: np.ndarr
         total = np.bincount(which, c.astype(np.float64), size).astype(np.int64)
         below = np.zeros(size, np.int64)
         np.maximum.at(below, which, lower)
-        context, second = [x[order][new] for x in context], b[order][new]
+        context = [x[order][new] for x in context]
         # sums by context
         start = np.flatnonzero(new_context[new])
         worth = s.base(below) if lower_loss is None else below - lower_loss[np.minimum(below, CLASSES)]
@@ -282,8 +313,7 @@ def answer_grams(questions: DataFrame, s: Settings, n: int, lower_loss: np.ndarr
         of_gram = np.repeat(np.arange(len(start)), np.diff(np.append(start, size)))
         histogram = np.bincount(np.minimum(total, CLASSES + 1), minlength=CLASSES + 2)[1 : CLASSES + 1].tolist()
         bucket = group["bucket"][0].as_py()
-        model = total > 0
-        rows = [("model", bucket, -1, packed(np.diff(context[0][model], prepend=0), *(x[model] for x in context[1:]), second[model], total[model]), None, histogram)]
+        rows = [("model", bucket, -1, None, None, histogram)]
         hot = np.flatnonzero(context[0][start] < 0)
         if len(hot):
             rows.append(("hot", bucket, -1, packed(*(x[start[hot]] for x in context), mass[hot].view(np.uint64), seen[hot].reshape(-1)), None, None))
@@ -319,7 +349,7 @@ def score_blocks(table: DataFrame, answers: DataFrame, s: Settings, losses: dict
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([_batch(SCORES, *([] for _ in range(7)))])
-        block, _, got = _block(left, right, s)
+        block, _, got = _block(left, right)
         count, before = _word_counts(block, s)
         lowest = s.base(count)
         p, lower, shorter = lowest.copy(), count, np.ones(len(count), np.int64)
@@ -328,9 +358,7 @@ def score_blocks(table: DataFrame, answers: DataFrame, s: Settings, losses: dict
             loss, whole = losses[n], before[first]
             order, edges, is_hot = _dealt(block, n, first, whole, s)
             total, weight = np.zeros(len(first) + 1, np.int64), np.ones(len(first) + 1)
-            for kind, k, body, rest in got:
-                if kind != str(n):
-                    continue
+            for k, body, rest in got(str(n)):
                 mine = order[edges[k] : edges[k + 1]]
                 (total[mine],) = unpacked(body)
                 back, mass, seen = unpacked(rest)
@@ -345,6 +373,7 @@ def score_blocks(table: DataFrame, answers: DataFrame, s: Settings, losses: dict
             lower = total[which]
             p = np.where(lower > 0, (lower - loss[np.minimum(lower, CLASSES)]) / np.maximum(before, 1), p * weight[which])
             shorter, before = before, np.concatenate([[0], lower[:-1]])
+            del first, which, whole, order, edges, is_hot, total, weight
         n = len(block.size)
         add = lambda x: np.bincount(block.text, x, n)
         return pa.Table.from_batches([
@@ -373,7 +402,8 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     ends = docs.where("not held_out").count()
     words = stored(answer_words(ask_words(table, word_buckets), word_buckets), "katz-words")
     total = words.where("kind = 'model'").agg(F.sum("n"), F.sum("v")).first()
-    s = Settings(word_buckets, int(total[0] or 0) + ends, int(size[1] or 0), ends, int(total[1] or 0) + (ends > 0))
+    table = stored(asked(table, word_buckets), "blocks", table)
+    s = Settings(int(total[0] or 0) + ends, int(size[1] or 0), ends, int(total[1] or 0) + (ends > 0))
     answers = words.where("kind = 'answer'").select(F.lit("words").alias("kind"), "bucket", "block", "body", F.lit(None).cast("binary").alias("rest"))
     losses: dict[int, np.ndarray] = {}
     hot: dict[tuple, tuple] = {}
