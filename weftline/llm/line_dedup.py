@@ -291,9 +291,13 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     # the document stands as one value beside the keys, so that no column of its own can clash with them
     whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     joined = whole.join(gone, F.col("own").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("t")), "left")
-    split = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    left = F.when(F.col("gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+
+    def kept(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    # the text is split once, as the element of an array, not anew for each line
+    left = F.when(F.col("gone").isNotNull(), F.transform(F.array(F.split("text", "\n")), kept)[0])
     out = joined.select("doc", left.alias("left")).where(F.col("left").isNull() | F.col("left").rlike(r"\S"))
     new = {"text": F.coalesce("left", "doc.text")}
     if "n_chars" in docs.columns:
