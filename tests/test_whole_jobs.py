@@ -92,3 +92,16 @@ def test_data_checks_make_each_table_once(spark, monkeypatch):
     counted(registry.O, "training_candidates")
     registry.QUERIES["data_checks"](spark, SF)
     assert sorted(made) == ["customer_week_panel", "item_week_panel", "training_candidates"]
+
+
+def test_values_of_sketched_columns_meet_their_medians_without_a_shuffle_by_column(spark):
+    """Joined by column, all distinct values of one would be sorted by one task."""
+    from weftline.plans import registry
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["profile_sketches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [column" in plan

@@ -530,7 +530,7 @@ def profile_sketches(d: Domain) -> DataFrame:
     counts = profiles.value_counts(log)
     exact = counts.groupBy("column").agg(F.count("value").alias("distinct"), F.max("n").alias("top_n"))
     median = found.select("column", F.col("quantiles")[0].alias("m"))
-    values = counts.join(median, "column").withColumn("v", F.col("value").cast("double"))
+    values = counts.join(F.broadcast(median), "column").withColumn("v", F.col("value").cast("double"))
     ranks = values.groupBy("column").agg(F.sum(F.when(F.col("v") <= F.col("m"), F.col("n")).otherwise(0)).alias("upto"), F.sum(F.when(F.col("v") < F.col("m"), F.col("n")).otherwise(0)).alias("below"))
     joined = found.join(exact, "column").join(ranks, "column")
     far = F.col("top_n") - F.coalesce(F.get("top", F.lit(0))["count"], F.lit(0))
