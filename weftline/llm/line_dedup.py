@@ -9,25 +9,20 @@ the candidates' shingle maps differ, goes before the exact Jaccard similarity of
 joined to components by distributed union-find, and the first line of each component is kept: that of
 the smallest document, then the smallest line number. Lines that are equal are one class before all that.
 
-Lines are split and signed in numpy over Arrow batches: in DataFrame functions alone, hashing shingles
-cost more than twice what the operator may (README).
+All of it is DataFrame functions. Only the shingles after spaces are taken of every line, so that few
+strings are made; the sets that are compared are those of candidates alone.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from decimal import Decimal
-from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import words as W
-from .components import bucket_components
-from .scratch import stored
+from .components import bucket_components, passing
+from .scratch import discard, stored
 
 SHINGLE = 5
 #: Least hashes that sign a line: of 11-character shingles after spaces, of 8-character ones, of those that are compared.
@@ -37,162 +32,73 @@ FEW, MANY = 8, 5
 #: Lines of this many characters or more are signed by 8-character shingles, up to that many by those that are compared.
 LONG, BRIEF = 16, 24
 #: A longer line is signed by the latter too if one of its first so many shingles repeats: rules of dashes
-#: have few shingles at any length. Without that, it has more than a line under LONG can be similar to.
-WITHIN = 16
-#: Bits of a line's shingle map. A longer line's map tells less, and leaves more to the exact test.
-MAP_BITS = 512
-WORDS = MAP_BITS // 64
-NO_HASH = np.uint64((1 << 64) - 1)
-#: Characters that are signed together.
-PART = 1 << 18
+#: have few shingles at any length. Without that, it has more than a line under LONG can be similar to,
+#: as it has with more than VARIED distinct shingles after spaces.
+WITHIN, VARIED = 16, 16
+#: 64-bit words of a line's shingle map. A longer line's map tells less, and leaves more to the exact test; with
+#: more words, the join's condition is a method that the JVM doesn't compile.
+WORDS = 16
 #: Over any doc_id; a place has a null one's lines there.
 LATE = Decimal(1 << 63)
-LINES = "doc_id long, text_hash long, line_no int, id long, check long, line string, bands array<long>"
-
-
-def normal(line: str) -> str:
-    return line.rstrip("\r").strip(" ").lower()
-
-
-def bottom(h: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` least distinct hashes of every line, ascending, then NO_HASH; ``count`` is each line's number of hashes."""
-    out = np.full((len(count), k), NO_HASH)
-    some = np.flatnonzero(count)
-    if len(some):
-        start, h = (np.cumsum(count) - count)[some], h.copy()
-        for j in range(k):
-            least = np.minimum.reduceat(h, start)
-            out[some, j] = least
-            h[h == np.repeat(least, count[some])] = NO_HASH
-    return out
-
-
-def pair_bands(least: np.ndarray, salt: int) -> np.ndarray:
-    """A key for each two hashes of a line, or for its only one; 0 for none."""
-    first = W.scramble(least + np.uint64(salt))
-    keys = [np.where(least[:, j] == NO_HASH, 0, W.scramble(first[:, i] ^ least[:, j])) for i, j in combinations(range(least.shape[1]), 2)]
-    return np.stack([*keys, np.where((least[:, 0] != NO_HASH) & (least[:, 1] == NO_HASH), first[:, 0], 0)], axis=1)
-
-
-def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All characters, hashes of the SHINGLE characters from each place on, and each line's first place and size."""
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    start = np.cumsum(size) - size
-    a = chars[:-4] | chars[1:-3] << np.uint64(21) | chars[2:-2] << np.uint64(42)
-    h = W.scramble(W.scramble(a) ^ (chars[3:-1] | chars[4:] << np.uint64(21)))
-    return chars, h, start, size
-
-
-def maps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Every line's number of distinct shingles, and the parity of how many of their hashes have each value modulo MAP_BITS."""
-    _, h, start, size = shingles(lines)
-    n = size - SHINGLE + 1
-    owner = np.repeat(np.arange(len(lines)), n)
-    h = h[np.arange(len(owner)) + np.repeat(start - (np.cumsum(n) - n), n)]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    at = owner * MAP_BITS + (h & np.uint64(MAP_BITS - 1)).astype(np.int64)
-    bits = (np.bincount(at, minlength=len(lines) * MAP_BITS) & 1).astype(bool).reshape(len(lines), MAP_BITS)
-    return np.bincount(owner, minlength=len(lines)), np.packbits(bits, axis=1)
-
-
-def mapped(lines: DataFrame) -> DataFrame:
-    """``id, line, trait`` of ``id, line``; a trait is the number n of distinct shingles and the map as words m0, m1 and so on."""
-    fields = ["n", *(f"m{k}" for k in range(WORDS))]
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, *_ in W.chunks(batch, "line", PART):
-                n, bits = maps(part.column(1).to_pylist())
-                words = bits.view(np.int64)
-                trait = pa.StructArray.from_arrays([pa.array(n, pa.int64()), *(pa.array(words[:, k].copy()) for k in range(WORDS))], fields)
-                yield pa.RecordBatch.from_arrays([*part.columns, trait], ["id", "line", "trait"])
-
-    return lines.mapInArrow(add, f"id long, line string, trait struct<{', '.join(f'{x}: bigint' for x in fields)}>")
-
-
-def signatures(lines: list[str]) -> np.ndarray:
-    """The bands of every line (0: none); all lines have SHINGLE characters or more."""
-    chars, h, start, size = shingles(lines)
-
-    def places(which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all shingles of some lines, and each line's number of them."""
-        n = np.maximum(size[which] - width + 1, 0)
-        return np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
-
-    n = size - SHINGLE + 1
-    # shingles of 11 characters that follow a space
-    after = np.flatnonzero(chars[:-1] == 0x20) + 1
-    of = np.searchsorted(start, after, "right") - 1
-    inside = (after > start[of]) & (after + 11 <= start[of] + size[of])
-    after, of = after[inside], of[inside]
-    wide = W.scramble(W.scramble(h[after] + h[after + 5] * np.uint64(3)) ^ h[after + 6])
-    least = bottom(wide, np.bincount(of, minlength=len(lines)), FEW + 1)
-    distinct = (least != NO_HASH).sum(axis=1)
-    out = [pair_bands(np.where((distinct >= MANY)[:, None], least[:, :AFTER_SPACE], NO_HASH), 1)]
-    head = np.full((len(lines), WITHIN), NO_HASH)
-    for k in range(WITHIN):
-        has = np.flatnonzero(n > k)
-        head[has, k] = h[start[has] + k]
-    head.sort(axis=1)
-    again = ((head[:, 1:] == head[:, :-1]) & (head[:, 1:] != NO_HASH)).any(axis=1)
-    for salt, width, which, k in ((2, 8, (distinct <= FEW) & (size >= LONG), ANYWHERE), (3, SHINGLE, (size <= BRIEF) | again, SHORT)):
-        own = np.flatnonzero(which)
-        at, n = places(own, width)
-        x = h[at] if width == SHINGLE else W.scramble(h[at] + h[at + 3] * np.uint64(5))
-        found = np.full((len(lines), k), NO_HASH)
-        found[own] = bottom(x, n, k)
-        out.append(pair_bands(found, salt))
-    return np.concatenate(out, axis=1)
+
+
+def shingles(line: Column, width: int, after: str = "") -> Column:
+    """All substrings of ``width`` characters of a line, or those that follow the character ``after``."""
+    return F.regexp_extract_all(line, F.lit(f"(?s){after}(?=(.{{{width}}}))"), F.lit(1))
+
+
+def hashes(strings: Column) -> Column:
+    return F.array_distinct(F.transform(strings, lambda x: F.xxhash64(x)))
+
+
+def bottom(h: Column, k: int) -> Column:
+    return F.slice(F.sort_array(h), 1, k)
+
+
+def pair_bands(least: Column, salt: int, k: int) -> Column:
+    """A key for each two of up to ``k`` hashes, or for the only one; none of null."""
+    pairs = F.flatten(F.transform(least, lambda x, i: F.transform(F.slice(least, i + 2, F.lit(k)), lambda y: F.xxhash64(F.lit(salt), x, y))))
+    return F.coalesce(F.when(F.size(least) == 1, F.transform(least, lambda x: F.xxhash64(F.lit(salt), x))).otherwise(pairs), F.array().cast("array<long>"))
+
+
+def split_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, line_no, line, id, check``: lines as they are compared, and 128 bits of hashes, null under SHINGLE characters."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.withColumn("line", F.lower(F.trim(F.rtrim("line", F.lit("\r")))))
+    long = F.length("line") >= SHINGLE
+    return rows.withColumn("id", F.when(long, F.xxhash64("line"))).withColumn("check", F.when(long, F.xxhash64(F.lit(1), "line")))
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """LINES of all documents (doc_id, text_hash, text); what follows line_no is null or empty for lines under SHINGLE characters."""
-
-    def rows_of(place: list[tuple], lines: list[str]) -> pa.RecordBatch:
-        long = np.fromiter((len(x) >= SHINGLE for x in lines), bool, len(lines))
-        some = [x for x in lines if len(x) >= SHINGLE]
-        doc, text, number = zip(*place, strict=True)
-        digests = b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in some)
-        own = np.frombuffer(digests, np.int64).reshape(-1, 2)
-        keys = signatures(some) if some else np.zeros((0, 1), np.uint64)
-        has = keys != 0
-        count = np.zeros(len(lines), np.int64)
-        count[long] = has.sum(axis=1)
-        at = np.full(len(lines), -1, np.int64)
-        at[long] = np.arange(len(some))
-        take = pa.array(at, mask=~long)
-        column = lambda x: pa.array(x).take(take)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(number, pa.int32()), column(own[:, 0].copy()), column(own[:, 1].copy()),
-                pa.array(some, pa.string()).take(take),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(keys[has].view(np.int64))),
-            ],
-            [x.split()[0] for x in LINES.split(", ")],
-        )
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, lines, n = [], [], 0
-        for batch in batches:
-            for doc, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text is None:
-                    continue
-                for k, line in enumerate(text.split("\n")):
-                    place.append((doc, text_hash, k))
-                    lines.append(normal(line))
-                    n += len(line) + 8
-                    if n >= PART:
-                        yield rows_of(place, lines)
-                        place, lines, n = [], [], 0
-        if place:
-            yield rows_of(place, lines)
-
-    return docs.mapInArrow(sign, LINES)
+    """Rows of ``split_lines`` with the least hashes ``after, anywhere, short`` in place of the line; null where a line is not signed so."""
+    line, long = F.col("line"), F.col("id").isNotNull()
+    rows = split_lines(docs).withColumn("wide", F.when(long, hashes(shingles(line, 11, " "))))
+    again = F.substring(line, 1, WITHIN + SHINGLE - 1).rlike(f"(?s)(?=(.{{{SHINGLE}}})).(?=.*?\\1)")
+    return rows.select(
+        "doc_id", "text_hash", "line_no", "id", "check",
+        F.when(F.size("wide") >= MANY, bottom(F.col("wide"), AFTER_SPACE)).alias("after"),
+        F.when(long & (F.size("wide") <= FEW) & (F.length(line) >= LONG), bottom(hashes(shingles(line, 8)), ANYWHERE)).alias("anywhere"),
+        F.when(long & ((F.length(line) <= BRIEF) | ((F.size("wide") <= VARIED) & again)), bottom(hashes(shingles(line, SHINGLE)), SHORT)).alias("short"),
+    )
+
+
+def bands() -> Column:
+    return F.concat(pair_bands(F.col("after"), 1, AFTER_SPACE), pair_bands(F.col("anywhere"), 2, ANYWHERE), pair_bands(F.col("short"), 3, SHORT))
+
+
+def shingle_sets(lines: DataFrame) -> DataFrame:
+    """``id, n, shingles`` of ``id, line``: the distinct shingles as 32-bit hashes, and their number."""
+    sets = lines.select("id", F.array_distinct(F.transform(shingles(F.col("line"), SHINGLE), lambda x: F.hash(x))).alias("shingles"))
+    return sets.select("id", F.size("shingles").cast("long").alias("n"), "shingles")
+
+
+def mapped(sets: DataFrame) -> DataFrame:
+    """``id, trait`` of shingle sets; a trait is the number n of shingles and the parity of how many have each hash modulo the map's bits, as words m0, m1 and so on."""
+    each = sets.select("id", F.explode("shingles").alias("h"))
+    each = each.select("id", F.pmod(F.shiftright("h", 6), F.lit(WORDS)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64))).alias("bit"))
+    words = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(WORDS)]
+    found = each.groupBy("id").agg(F.count("*").alias("n"), *words)
+    return found.select("id", F.struct("n", *(f"m{k}" for k in range(WORDS))).alias("trait"))
 
 
 def close_traits(num: int, den: int) -> Callable[[Column, Column], Column]:
@@ -206,22 +112,10 @@ def close_traits(num: int, den: int) -> Callable[[Column, Column], Column]:
     return test
 
 
-def similar_lines(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of rows ``a, b, line_a, line_b``, the pairs ``a, b`` of similar lines."""
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = lambda line: {line[k : k + SHINGLE] for k in range(len(line) - SHINGLE + 1)}
-        for batch in batches:
-            keep, last, x = [], None, set()
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if a != last:
-                    last, x = a, parts(a)
-                y = parts(b)
-                both = len(x & y)
-                keep.append(both * den >= (len(x) + len(y) - both) * num)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    return pairs.mapInArrow(test, "a long, b long")
+def similar_sets(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of rows ``a, b, n_a, n_b, s_a, s_b`` with shingle sets and their sizes, the pairs ``a, b`` that are similar."""
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    return pairs.where(both * (den + num) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b")
 
 
 def place() -> Column:
@@ -245,22 +139,22 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
 def _line_components(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
     """The lines, and the stored tables that they are read from."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    every = stored(signed_lines(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")), "lines")
-    compared = every.where("id is not null")
-    spread = compared.select("id", F.explode("bands").alias("key"))
-    texts = compared.select("id", "line")
+    every = stored(signed_lines(docs), "lines")
+    spread = every.where("id is not null").select("id", F.explode(bands()).alias("key"))
 
     own: list[DataFrame] = []
 
     def traits_of(ids: DataFrame) -> DataFrame:
-        own.append(stored(mapped(texts.join(ids, "id", "left_semi").dropDuplicates(["id"])), "traits"))
-        return own[0]
+        lines = split_lines(docs).where("id is not null").select("id", "line")
+        own.append(stored(shingle_sets(passing(lines, ids, "id").join(ids, "id", "left_semi").dropDuplicates(["id"])), "sets"))
+        return stored(mapped(own[0]), "traits")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        x, y = (own[0].select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "ab")
-        return stored(similar_lines(pairs.join(y, "b").join(x, "a").select("a", "b", "line_a", "line_b"), num, den), "links")
+        x, y = (own[0].select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("shingles").alias(f"s_{i}")) for i in "ab")
+        return stored(similar_sets(pairs.join(y, "b").join(x, "a"), num, den), "links")
 
     components = bucket_components(spread, linked, traits_of=traits_of, close=close_traits(num, den))
+    discard(*own)
     every = stored(every.select("doc_id", "text_hash", "line_no", "id", "check"), "places", every)
     own = every.where("id is not null").groupBy("id", "check").agg(F.min(place()).alias("place"))
     if components is not None:
