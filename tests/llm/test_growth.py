@@ -4,10 +4,12 @@ import hashlib
 import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import components, katz, line_dedup
+from weftline.llm import components, katz, line_dedup, suffix_dedup
 from weftline.llm.scratch import stored
 
 
@@ -60,3 +62,29 @@ def test_keys_are_sorted_as_one_or_apart(least):
     keys = [rng.integers(least, 9, 500), rng.integers(0, 5, 500), rng.integers(0, 1 << 33, 500)]
     got, want = katz.ordered(*keys), np.lexsort(keys[::-1])
     assert all((x[got] == x[want]).all() for x in keys)
+
+
+def test_suffix_blocks_are_read_few_at_a_time(spark):
+    """However many blocks a task writes, its reader takes at most four of a file at once, and Python some megabytes: all of a file before."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda x: F.sha2(F.concat_ws(" ", "doc_id", x), 256))
+    docs = spark.range(0, 1500, 1, 1).withColumnRenamed("id", "doc_id").withColumn("text", F.array_join(words, " "))
+    table, spans = suffix_dedup.repeated_spans(docs)
+    (path,) = table.inputFiles()
+    meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+    assert meta.num_rows >= 9 and max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 4
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    seen = stored(table.select("text").coalesce(1).mapInArrow(sizes, "n long"), "sizes", batch_bytes=suffix_dedup.BATCH_BYTES)
+    assert seen.agg(F.max("n")).first()[0] < 2 * suffix_dedup.BATCH_BYTES < table.agg(F.sum("n_bytes")).first()[0]
+    assert sum(len(suffix_dedup.unpacked(r.body)[0]) for r in spans.collect()) == 0
+
+
+def test_anchors_do_not_depend_on_how_many_places_are_hashed_together(monkeypatch):
+    rng = np.random.default_rng(8)
+    raw = np.concatenate([rng.integers(97, 100, 5_000), np.full(700, 97), rng.integers(97, 123, 3_000)]).astype(np.uint8)
+    off = np.array([0, 99, 199, 199, 2_000, 8_000, len(raw)])
+    want = suffix_dedup.anchors(raw, off)
+    for step in (64, 1_000, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "_STEP", step)
+        assert all((x == y).all() for x, y in zip(suffix_dedup.anchors(raw, off), want, strict=True))
+    at, _, first, last = want
+    assert len(at) > 100 and (first <= at).all() and (at + suffix_dedup.SEED <= last + suffix_dedup.MATCH).all()
