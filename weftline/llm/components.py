@@ -27,16 +27,19 @@ BLOCK = 1000
 FILTER_BITS = 1 << 24
 
 
-def passing(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def passing(rows: DataFrame, wanted: DataFrame, key: str, made: list[DataFrame] | None = None) -> DataFrame:
     """The ``rows`` whose ``key`` (a hash) may be one of ``wanted``, all that are and few others, found without dealing rows out.
 
-    FILTER_BITS bits, in which those of all wanted keys are set, go to every task as one array.
+    FILTER_BITS bits, in which those of all wanted keys are set, go to every task as one array. ``made`` gets
+    the stored table that has them, to be deleted when the rows were read.
     """
     word, bit = F.shiftright(F.pmod(key, F.lit(FILTER_BITS)), 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int"))
     some = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     every = rows.sparkSession.range(FILTER_BITS // 64).withColumnRenamed("id", "word").join(some, "word", "left")
     listed = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all"))
     bits = stored(listed.select(F.col("all.bits").alias("filter_bits")), "filter")
+    if made is not None:
+        made.append(bits)
     return rows.join(F.broadcast(bits), F.get("filter_bits", word.cast("int")).bitwiseAND(bit) != 0, "left_semi")
 
 
@@ -139,7 +142,9 @@ def _buckets(spread: DataFrame) -> DataFrame | None:
     # singles go first, by as few columns as that takes: they are by far the most
     ends = spread.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far")
     ends = stored(ends.select("key", "hub"), "keys")
-    members = stored(passing(spread, ends, "key").join(ends, "key").select("key", "hub", "id", "excess").distinct(), "buckets", ends)
+    bits: list[DataFrame] = []
+    members = passing(spread, ends, "key", bits).join(ends, "key").select("key", "hub", "id", "excess").distinct()
+    members = stored(members, "buckets", ends, *bits)
     same = members.groupBy("key", "hub").agg(F.count("*").alias("n"), F.max("id").alias("far"), F.bit_xor(F.xxhash64("id")).alias("all"))
     keys = stored(same.groupBy("hub", "n", "far", "all").agg(F.min("key").alias("key")).select("key", "n"), "keys")
     if keys.isEmpty():

@@ -146,7 +146,9 @@ def _line_components(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, li
 
     def traits_of(ids: DataFrame) -> DataFrame:
         lines = split_lines(docs).where("id is not null").select("id", "line")
-        own.append(stored(shingle_sets(passing(lines, ids, "id").join(ids, "id", "left_semi").dropDuplicates(["id"])), "sets"))
+        bits: list[DataFrame] = []
+        wanted = passing(lines, ids, "id", bits).join(ids, "id", "left_semi").dropDuplicates(["id"])
+        own.append(stored(shingle_sets(wanted), "sets", *bits))
         return stored(mapped(own[0]), "traits")
 
     def linked(pairs: DataFrame) -> DataFrame:
